@@ -17,6 +17,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns that are costly to compute, evaluating each once per row.
+
+    A plain projection would let Spark copy the expressions into every later filter or
+    column that mentions them. Behind a one-row generator they stay where they are, while
+    filters on other columns still pass through to the scan.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(packed)))
+
+
 def int_div(a: Column, b: Column | int) -> Column:
     """Integer quotient of two non-negative integers."""
     b = b if isinstance(b, Column) else F.lit(b)

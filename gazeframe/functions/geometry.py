@@ -51,11 +51,17 @@ def resize_scale(width: Column, height: Column, target: Column | int = MODEL_SIZ
 def model_to_original(
     x: Column, y: Column, width: Column, height: Column, target: Column | int = MODEL_SIZE
 ) -> Column:
-    """``struct(x, y)`` of a model-space point in the supplied image."""
+    """``struct(x, y)`` of a model-space point in the supplied image.
+
+    NULL where the image is so narrow that its resized side vanishes.
+    """
     return let(
         resize_scale(width, height, target),
-        lambda g: F.struct(
-            ((x - g.pad_left) / g.scale_x).alias("x"), ((y - g.pad_top) / g.scale_y).alias("y")
+        lambda g: F.when(
+            (g.scale_x > 0) & (g.scale_y > 0),
+            F.struct(
+                ((x - g.pad_left) / g.scale_x).alias("x"), ((y - g.pad_top) / g.scale_y).alias("y")
+            ),
         ),
     )
 
@@ -65,7 +71,7 @@ def model_to_input_length(
 ) -> Column:
     """A model-space length in input pixels, by the geometric mean of both scales."""
     return let(
-        resize_scale(width, height, target), lambda g: length / F.sqrt(g.scale_x * g.scale_y)
+        resize_scale(width, height, target), lambda g: F.try_divide(length, F.sqrt(g.scale_x * g.scale_y))
     )
 
 

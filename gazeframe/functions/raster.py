@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def axis_weights(size: int, new_size: int) -> np.ndarray:
@@ -36,7 +37,7 @@ def resize_levels(image: np.ndarray, new_width: int, new_height: int) -> np.ndar
     return wide if height == new_height else _levels(axis_weights(height, new_height) @ wide)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def resize_bilinear(
     pixels: pd.Series, width: pd.Series, height: pd.Series, new_w: pd.Series, new_h: pd.Series
 ) -> pd.Series:
@@ -48,7 +49,7 @@ def resize_bilinear(
     return pd.Series(out)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def grey_levels(
     data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series
 ) -> pd.Series:

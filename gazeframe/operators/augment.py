@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe import schemas as S
-from gazeframe.functions.columns import int_div, let, require_columns, unit_draw
+from gazeframe.functions.columns import int_div, let, once, require_columns, unit_draw
 from gazeframe.functions.geometry import resize_scale
 from gazeframe.functions.raster import resize_bilinear
 
@@ -85,12 +85,11 @@ def gather(
 
         return F.transform(_square(size), pixel)
 
-    # Bound outside the loop: Spark may otherwise inline the column's own expression in it.
     return let(pixels, filled)
 
 
 def _each(df: DataFrame, build: Callable[[str], Column], names=("image", "mask")) -> DataFrame:
-    return df.withColumns({n: build(n) for n in names})
+    return once(df, **{n: build(n) for n in names})
 
 
 def augment_flip(df: DataFrame, size: int, draws: Draws, chance: float = CHANCE) -> DataFrame:
@@ -282,7 +281,7 @@ def augment_photometric(
     changed = F.when(F.col("_first"), let(brighten(F.col("image")), contrast)).otherwise(
         let(contrast(F.col("image")), brighten)
     )
-    toned = toned.withColumn("image", F.when(F.col("_on"), changed).otherwise(F.col("image")))
+    toned = once(toned, image=F.when(F.col("_on"), changed).otherwise(F.col("image")))
 
     raw = [F.exp(-0.5 * F.pow(F.lit(float(d)) / F.col("_sig"), 2)) for d in range(3)]
     total = raw[0] + 2 * raw[1] + 2 * raw[2]
@@ -308,7 +307,7 @@ def augment_photometric(
         let(F.col("image"), blur(True)),
         lambda a: F.transform(blur(False)(a), lambda v: F.rint(F.round(v, 6)).cast("int")),
     )
-    done = toned.withColumn("image", F.when(F.col("_soft"), softened).otherwise(F.col("image")))
+    done = once(toned, image=F.when(F.col("_soft"), softened).otherwise(F.col("image")))
     return done.drop("_on", "_bf", "_cf", "_first", "_soft", "_sig", "_k")
 
 
@@ -329,11 +328,8 @@ def resize_with_pad(
     else:
         small = resize_nearest(F.col(pixels), F.col(width), F.col(height), w, h)
     move = lambda x, y: (x - F.col("_g.pad_left"), y - F.col("_g.pad_top"))
-    return (
-        placed.withColumn("_small", small)
-        .withColumn(name or pixels, gather(F.col("_small"), w, h, size, move))
-        .drop("_g", "_small")
-    )
+    fitted = {name or pixels: gather(F.col("_small"), w, h, size, move)}
+    return once(placed.withColumn("_small", small), **fitted).drop("_g", "_small")
 
 
 def training_pairs(
@@ -363,6 +359,8 @@ def training_pairs(
         sized = augment_flip(sized, size, draws)
         sized = augment_affine(sized, size, draws)
         sized = augment_photometric(sized, size, draws)
-    return sized.withColumn("image", F.transform("image", lambda v: v / F.lit(255.0))).withColumn(
-        "mask", F.transform("mask", lambda v: (v > 0).cast("int"))
+    return once(
+        sized,
+        image=F.transform("image", lambda v: v / F.lit(255.0)),
+        mask=F.transform("mask", lambda v: (v > 0).cast("int")),
     )

@@ -90,7 +90,7 @@ def plot_series(table: DataFrame) -> DataFrame:
     """Long series of a diameter or velocity table: panel, series, frame, value, status."""
     status = "tracking_status" if "tracking_status" in table.columns else "segmentation_status"
     code = F.coalesce(*[F.when(F.col(status) == k, F.lit(v)) for k, v in S.STATUS_CODES.items()])
-    series = [("diameter", "estimated_pupil_diameter", F.col("estimated_pupil_diameter"))]
+    series = [("diameter", "diameter", F.col("estimated_pupil_diameter"))]
     if status == "tracking_status":
         series += [
             ("center", "x", F.col("center_x_pixels")),

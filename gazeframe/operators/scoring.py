@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazeframe.functions.columns import require_columns
+from gazeframe.functions.columns import once, require_columns
 from gazeframe.functions.geometry import equivalent_diameter
 
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -50,8 +50,9 @@ def score_frames(
                 yield part[names].assign(logit=list(logits))
 
     scored = frames.mapInPandas(run, schema)
+    sigmoid = F.transform("logit", lambda z: 1.0 / (1.0 + F.exp(-z.cast("double"))))
     return (
-        scored.withColumn("prob", F.transform("logit", lambda z: 1.0 / (1.0 + F.exp(-z.cast("double")))))
+        once(scored, prob=sigmoid)
         .drop("logit")
         .withColumn("map_height", F.lit(size))
         .withColumn("map_width", F.lit(size))

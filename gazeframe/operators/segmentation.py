@@ -15,7 +15,7 @@ from gazeframe import schemas as S
 from gazeframe.functions import geometry as G
 from gazeframe.functions import quality as Q
 from gazeframe.functions import runs as R
-from gazeframe.functions.columns import let, require_columns
+from gazeframe.functions.columns import let, once, require_columns
 
 MAP_COLUMNS = ("prob", "map_height", "map_width")
 
@@ -69,7 +69,7 @@ def binarize_area_diameter(df: DataFrame, threshold: float | str) -> DataFrame:
     require_columns(df, MAP_COLUMNS, "Probability maps")
     cut = _cut(df, threshold)
     area = F.size(F.filter("prob", lambda p: p > cut))
-    return df.withColumn("foreground_area", area).withColumn(
+    return once(df, foreground_area=area).withColumn(
         "estimated_pupil_diameter", G.equivalent_diameter(F.col("foreground_area"))
     )
 
@@ -193,8 +193,7 @@ def component_evidence(
 ) -> DataFrame:
     """Model-space measurements of each frame's largest component, without judging them."""
     require_columns(df, MAP_COLUMNS, "Probability maps")
-    measured = df.withColumn("_m", let(mask_links(df, threshold, mask), _evidence))
-    return measured.select(*df.columns, "_m.*")
+    return once(df, _m=let(mask_links(df, threshold, mask), _evidence)).select(*df.columns, "_m.*")
 
 
 def judge_components(df: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe import schemas as S
+from gazeframe.functions.columns import once
 from gazeframe.operators import review
 from gazeframe.operators.augment import resize_with_pad
 from gazeframe.operators.motion import track_frames
-from gazeframe.operators.results import diameter_table, tracking_status, velocity_columns
+from gazeframe.operators.results import tracking_status, velocity_columns
 from gazeframe.operators.scoring import score_frames
 from gazeframe.operators.segmentation import measure_frames
 from gazeframe.sources.catalog import frame_catalogue, index_frames
@@ -116,16 +117,11 @@ def analyze_videos(
     return analyze_maps(maps, threshold, calculate_velocity, acquisition_fps)
 
 
-def compare_tables(results: DataFrame, frames: DataFrame, segmentation: DataFrame) -> DataFrame:
-    """The diameter table when predictions, frames and evidence are stored apart."""
-    return diameter_table(results, frames, segmentation, strict=True)
-
-
 def overlay_frames(
     frames: DataFrame, threshold: float = S.DEFAULT_THRESHOLD, opacity: float = review.MASK_OPACITY
 ) -> DataFrame:
     """Overlay pixels of measured frames that still carry ``grey`` and ``prob``."""
-    coded = frames.withColumn(
-        "confidence", F.transform("prob", lambda p: review.encode_confidence(p, threshold))
+    coded = once(
+        frames, confidence=F.transform("prob", lambda p: review.encode_confidence(p, threshold))
     )
     return review.center_marker(review.blend_overlay(coded, "grey", "confidence", opacity=opacity))
