@@ -4,136 +4,163 @@ A frame's mask is bounded by its own height and width, so everything that concer
 mask - labelling, hole filling, perimeter - is evaluated where the frame's row already
 is. No pixel leaves the row, hence no shuffle, whatever the number of frames.
 
-A run is ``struct(y, x0, x1)``, both ends inclusive, listed in row-major order.
+A run is ``struct(y, x0, x1)``, both ends inclusive, listed in row-major order. Expressions
+are composed as SQL text: a deep tree of column objects would cost one gateway call per node.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+_names = itertools.count()
+Body = Callable[[str], str]
 
-from gazeframe.functions.columns import int_div, let
 
+def _new(prefix: str) -> str:
+    return f"{prefix}_{next(_names)}"
 
-def run(y: Column, x0: Column, x1: Column) -> Column:
-    return F.struct(y.cast("int").alias("y"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"))
 
+def bind(value: str, body: Body) -> str:
+    """``body`` over the value, which is evaluated once."""
+    v = _new("v")
+    return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
 
-def _upto(lo: Column, stop: Column, body: Callable[[Column], Column], empty: str) -> Column:
-    """``body`` over lo..stop-1, or an empty array of the given type."""
-    return F.when(stop > lo, body(F.sequence(lo, stop - 1))).otherwise(F.array().cast(empty))
 
+def each(array: str, body: Body) -> str:
+    v = _new("e")
+    return f"transform({array}, {v} -> {body(v)})"
 
-def foreground(count: Column, is_set: Callable[[Column], Column]) -> Column:
+
+def keep(array: str, test: Body) -> str:
+    v = _new("k")
+    return f"filter({array}, {v} -> {test(v)})"
+
+
+def keep_at(array: str, test: Callable[[str, str], str]) -> str:
+    v, i = _new("k"), _new("i")
+    return f"filter({array}, ({v}, {i}) -> {test(v, i)})"
+
+
+def pairwise(a: str, b: str, body: Callable[[str, str], str]) -> str:
+    x, y = _new("a"), _new("b")
+    return f"zip_with({a}, {b}, ({x}, {y}) -> {body(x, y)})"
+
+
+def fold(array: str, zero: str, step: Callable[[str, str], str], finish: Body | None = None) -> str:
+    s, r = _new("s"), _new("r")
+    if finish is None:
+        return f"aggregate({array}, {zero}, ({s}, {r}) -> {step(s, r)})"
+    f = _new("f")
+    return f"aggregate({array}, {zero}, ({s}, {r}) -> {step(s, r)}, {f} -> {finish(f)})"
+
+
+def pack(**fields: str) -> str:
+    return "named_struct({})".format(", ".join(f"'{k}', {v}" for k, v in fields.items()))
+
+
+def run(y: str, x0: str, x1: str) -> str:
+    return pack(y=f"int({y})", x0=f"int({x0})", x1=f"int({x1})")
+
+
+def _rows(lo: str, stop: str, body: Body, empty: str) -> str:
+    """``body`` over lo..stop-1, or an empty array of the given element type."""
+    some = body(f"sequence({lo}, {stop} - 1)")
+    return f"CASE WHEN {stop} > {lo} THEN {some} ELSE CAST(array() AS array<{empty}>) END"
+
+
+def foreground(count: str, is_set: Body) -> str:
     """Ascending flat indices of the set pixels."""
-    return F.filter(F.sequence(F.lit(0), count.cast("int") - 1), is_set)
+    return keep(f"sequence(0, int({count}) - 1)", is_set)
 
 
-def runs_of(pixels: Column, width: Column) -> Column:
+def runs_of(pixels: str, width: str) -> str:
     """Row runs of ascending flat pixel indices."""
 
-    def split(a: Column) -> Column:
-        starts = F.filter(
-            a, lambda i, k: (k == 0) | (F.get(a, k - 1) < i - 1) | (i % width == 0)
-        )
-        stops = F.filter(
+    def split(a: str) -> str:
+        starts = keep_at(a, lambda i, k: f"{k} = 0 OR get({a}, {k} - 1) < {i} - 1 OR {i} % {width} = 0")
+        stops = keep_at(
             a,
-            lambda i, k: (k == F.size(a) - 1)
-            | (F.get(a, k + 1) > i + 1)
-            | (i % width == width - 1),
+            lambda i, k: f"{k} = size({a}) - 1 OR get({a}, {k} + 1) > {i} + 1 "
+            f"OR {i} % {width} = {width} - 1",
         )
-        return F.zip_with(
-            starts, stops, lambda s, e: run(int_div(s, width), s % width, e % width)
+        return pairwise(
+            starts, stops, lambda s, e: run(f"{s} div {width}", f"{s} % {width}", f"{e} % {width}")
         )
 
-    return let(pixels, split)
+    return bind(pixels, split)
 
 
-def linked(runs: Column) -> Column:
+def linked(runs: str) -> str:
     """Each run with the index range ``[plo, phi)`` of the runs in the row above it."""
-    empty = F.array().cast("array<struct<y:int,x0:int,x1:int,plo:int,phi:int>>")
-    start = F.struct(
-        empty.alias("out"), F.lit(-9).alias("y"), F.lit(0).alias("lo"), F.lit(0).alias("plo")
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        k = F.size(s.out)
-        same = r.y == s.y
-        lo = F.when(same, s.lo).otherwise(k)
-        plo = F.when(same, s.plo).when(r.y == s.y + 1, s.lo).otherwise(k)
-        item = F.struct(
-            r.y.alias("y"), r.x0.alias("x0"), r.x1.alias("x1"), plo.alias("plo"), lo.alias("phi")
-        )
-        return F.struct(
-            F.array_append(s.out, item).alias("out"), r.y.alias("y"), lo.alias("lo"), plo.alias("plo")
+    layout = "struct<y:int,x0:int,x1:int,plo:int,phi:int>"
+    zero = pack(out=f"CAST(array() AS array<{layout}>)", y="-9", lo="0", plo="0")
+
+    def step(s: str, r: str) -> str:
+        k = f"size({s}.out)"
+        lo = f"CASE WHEN {r}.y = {s}.y THEN {s}.lo ELSE {k} END"
+        plo = (
+            f"CASE WHEN {r}.y = {s}.y THEN {s}.plo WHEN {r}.y = {s}.y + 1 THEN {s}.lo ELSE {k} END"
         )
+        item = pack(y=f"{r}.y", x0=f"{r}.x0", x1=f"{r}.x1", plo=plo, phi=lo)
+        return pack(out=f"array_append({s}.out, {item})", y=f"{r}.y", lo=lo, plo=plo)
 
-    return F.aggregate(runs, start, step, lambda s: s.out)
+    return fold(runs, zero, step, lambda s: f"{s}.out")
 
 
-def labels_of(links: Column, reach: int) -> Column:
+def labels_of(links: str, reach: int) -> str:
     """Component label of every linked run: the index of the component's first run.
 
     ``reach`` 1 joins runs that touch diagonally (8-connectivity), 0 only those that
     share a column (4-connectivity).
     """
 
-    def step(labels: Column, r: Column) -> Column:
-        touched = _upto(
-            r.plo,
-            r.phi,
-            lambda idx: F.array_distinct(
-                F.transform(
-                    F.filter(
-                        idx,
-                        lambda j: (F.get(links, j).x0 <= r.x1 + reach)
-                        & (F.get(links, j).x1 >= r.x0 - reach),
-                    ),
-                    lambda j: F.get(labels, j),
-                )
-            ),
-            "array<int>",
-        )
+    def step(labels: str, r: str) -> str:
+        def near(rows: str) -> str:
+            hits = keep(
+                rows,
+                lambda j: f"get({links}, {j}).x0 <= {r}.x1 + {reach} "
+                f"AND get({links}, {j}).x1 >= {r}.x0 - {reach}",
+            )
+            return f"array_distinct({each(hits, lambda j: f'get({labels}, {j})')})"
 
-        def merge(t: Column) -> Column:
-            low = F.array_min(t)
-            joined = F.when(
-                F.size(t) > 1,
-                F.transform(labels, lambda v: F.when(F.array_contains(t, v), low).otherwise(v)),
-            ).otherwise(labels)
-            return F.array_append(joined, F.coalesce(low, F.size(labels)))
+        def merge(t: str) -> str:
+            low = f"array_min({t})"
+            moved = each(labels, lambda v: f"CASE WHEN array_contains({t}, {v}) THEN {low} ELSE {v} END")
+            joined = f"CASE WHEN size({t}) > 1 THEN {moved} ELSE {labels} END"
+            return f"array_append({joined}, coalesce({low}, size({labels})))"
 
-        return let(touched, merge)
+        return bind(_rows(f"{r}.plo", f"{r}.phi", near, "int"), merge)
 
-    return F.aggregate(links, F.array().cast("array<int>"), step)
+    return fold(links, "CAST(array() AS array<int>)", step)
 
 
-def component_areas(links: Column, labels: Column) -> Column:
+def component_areas(links: str, labels: str) -> str:
     """``array<struct(label, area)>``, one entry per component, in label order."""
-    sized = F.sort_array(
-        F.zip_with(
-            links, labels, lambda r, v: F.struct(v.alias("label"), (r.x1 - r.x0 + 1).alias("area"))
+    sized = pairwise(links, labels, lambda r, v: pack(label=v, area=f"{r}.x1 - {r}.x0 + 1"))
+
+    def step(out: str, c: str) -> str:
+        last = f"get({out}, size({out}) - 1)"
+        grown = pack(label=f"{c}.label", area=f"{last}.area + {c}.area")
+        return (
+            f"CASE WHEN {last}.label = {c}.label THEN "
+            f"array_append(slice({out}, 1, size({out}) - 1), {grown}) "
+            f"ELSE array_append({out}, {c}) END"
         )
-    )
 
-    def step(out: Column, c: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        grown = F.struct(c.label.alias("label"), (last.area + c.area).alias("area"))
-        return F.when(
-            last.label == c.label, F.array_append(F.slice(out, 1, F.size(out) - 1), grown)
-        ).otherwise(F.array_append(out, c))
+    return fold(f"sort_array({sized})", "CAST(array() AS array<struct<label:int,area:int>>)", step)
+
 
-    return F.aggregate(sized, F.array().cast("array<struct<label:int,area:int>>"), step)
+def area_of(runs: str) -> str:
+    return fold(runs, "0", lambda s, r: f"{s} + {r}.x1 - {r}.x0 + 1")
 
 
-def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0) + 1)
+def _overlap(a0: str, a1: str, b0: str, b1: str) -> str:
+    return f"greatest(0, least({a1}, {b1}) - greatest({a0}, {b0}) + 1)"
 
 
-def _contact(a: Column, b: Column) -> Column:
+def _contact(a: str, b: str) -> str:
     """Counts for two runs in adjacent rows.
 
     ``straight`` and ``diagonal`` are the pair's share of the border length in units of 1
@@ -141,123 +168,120 @@ def _contact(a: Column, b: Column) -> Column:
     adjacent pixels holds a straight border step, one with three a diagonal step, one with
     two opposite pixels two diagonal steps.
     """
-    shared = _overlap(a.x0, a.x1, b.x0, b.x1)
-    full = F.greatest(F.lit(0), shared - 1)
-    corner = (a.x1 + 1 == b.x0).cast("int") + (b.x1 + 1 == a.x0).cast("int")
-    slanted = _overlap(a.x0 + 1, a.x1 + 1, b.x0, b.x1) + _overlap(a.x0 - 1, a.x1 - 1, b.x0, b.x1)
-    three = slanted - corner - 2 * full
-    touching = (a.x0 <= b.x1 + 1) & (a.x1 >= b.x0 - 1)
-    return F.struct(
-        (2 * shared - 2 * three - 4 * full).alias("straight"),
-        (three + 2 * corner).alias("diagonal"),
-        touching.cast("int").alias("edges"),
+    counts = pack(
+        shared=_overlap(f"{a}.x0", f"{a}.x1", f"{b}.x0", f"{b}.x1"),
+        corner=f"int({a}.x1 + 1 = {b}.x0) + int({b}.x1 + 1 = {a}.x0)",
+        slanted=_overlap(f"{a}.x0 + 1", f"{a}.x1 + 1", f"{b}.x0", f"{b}.x1")
+        + " + "
+        + _overlap(f"{a}.x0 - 1", f"{a}.x1 - 1", f"{b}.x0", f"{b}.x1"),
+        edges=f"int({a}.x0 <= {b}.x1 + 1 AND {a}.x1 >= {b}.x0 - 1)",
     )
 
+    def totals(c: str) -> str:
+        full = f"greatest(0, {c}.shared - 1)"
+        three = f"({c}.slanted - {c}.corner - 2 * {full})"
+        return pack(
+            straight=f"2 * {c}.shared - 2 * {three} - 4 * {full}",
+            diagonal=f"{three} + 2 * {c}.corner",
+            edges=f"{c}.edges",
+        )
+
+    return bind(counts, totals)
+
 
-def outline(links: Column) -> Column:
+def outline(links: str) -> str:
     """``struct(straight, diagonal, edges)`` summed over a linked run list."""
+    names = ("straight", "diagonal", "edges")
 
-    def add(s: Column, c: Column) -> Column:
-        return F.struct(
-            (s.straight + c.straight).alias("straight"),
-            (s.diagonal + c.diagonal).alias("diagonal"),
-            (s.edges + c.edges).alias("edges"),
-        )
+    def add(s: str, c: str) -> str:
+        return pack(**{n: f"{s}.{n} + {c}.{n}" for n in names})
 
-    def step(s: Column, r: Column) -> Column:
-        own = F.struct(
-            (2 * (r.x1 - r.x0)).alias("straight"),
-            F.lit(0).alias("diagonal"),
-            F.lit(0).alias("edges"),
+    def step(s: str, r: str) -> str:
+        contacts = _rows(
+            f"{r}.plo",
+            f"{r}.phi",
+            lambda rows: each(rows, lambda j: bind(f"get({links}, {j})", lambda a: _contact(a, r))),
+            "struct<straight:int,diagonal:int,edges:int>",
         )
-        contacts = _upto(
-            r.plo,
-            r.phi,
-            lambda idx: F.transform(idx, lambda j: _contact(F.get(links, j), r)),
-            "array<struct<straight:int,diagonal:int,edges:int>>",
+        own = pack(
+            straight=f"{s}.straight + 2 * ({r}.x1 - {r}.x0)", diagonal=f"{s}.diagonal", edges=f"{s}.edges"
         )
-        return F.aggregate(contacts, add(s, own), add)
+        return fold(contacts, own, add)
+
+    return fold(links, pack(straight="0", diagonal="0", edges="0"), step)
+
+
+def _gaps(runs: str, y: str, box: str) -> str:
+    """Background runs of row ``y`` inside the box."""
+    return bind(
+        keep(runs, lambda r: f"{r}.y = {y}"),
+        lambda own: pairwise(
+            f"concat(array({box}.left), {each(own, lambda r: f'{r}.x1 + 1')})",
+            f"concat({each(own, lambda r: f'{r}.x0 - 1')}, array({box}.right))",
+            lambda a, b: run(y, a, b),
+        ),
+    )
+
 
-    zero = F.struct(
-        F.lit(0).alias("straight"), F.lit(0).alias("diagonal"), F.lit(0).alias("edges")
+def _between(outer: str, y: str) -> str:
+    """What lies between the outer gaps of row ``y``."""
+    return bind(
+        keep(outer, lambda r: f"{r}.y = {y}"),
+        lambda p: pairwise(
+            f"slice({p}, 1, size({p}) - 1)",
+            f"slice({p}, 2, size({p}) - 1)",
+            lambda a, b: run(y, f"{a}.x1 + 1", f"{b}.x0 - 1"),
+        ),
     )
-    return F.aggregate(links, zero, step)
 
 
-def filled(runs: Column) -> Column:
+def filled(runs: str) -> str:
     """The runs with every hole closed.
 
     A hole is background that cannot reach the outside through shared pixel edges. The
     gaps of each row inside a one-pixel margin are labelled with 4-connectivity; the gap
     list that holds the margin is the outside, and whatever lies between its gaps is mask.
     """
-    top = F.array_min(F.transform(runs, lambda r: r.y)) - 1
-    bottom = F.array_max(F.transform(runs, lambda r: r.y)) + 1
-    left = F.array_min(F.transform(runs, lambda r: r.x0)) - 1
-    right = F.array_max(F.transform(runs, lambda r: r.x1)) + 1
-
-    def inside(box: Column) -> Column:
-        rows = F.sequence(box.top, box.bottom)
-
-        def gaps(y: Column) -> Column:
-            own = F.filter(runs, lambda r: r.y == y)
-            return let(
-                own,
-                lambda o: F.zip_with(
-                    F.concat(F.array(box.left), F.transform(o, lambda r: r.x1 + 1)),
-                    F.concat(F.transform(o, lambda r: r.x0 - 1), F.array(box.right)),
-                    lambda a, b: run(y, a, b),
-                ),
-            )
 
-        def close(links: Column) -> Column:
-            outer = let(
-                labels_of(links, 0),
-                lambda labels: F.filter(links, lambda r, k: F.get(labels, k) == 0),
-            )
-            return let(
-                outer,
-                lambda o: F.flatten(
-                    F.transform(
-                        rows,
-                        lambda y: let(
-                            F.filter(o, lambda r: r.y == y),
-                            lambda p: F.zip_with(
-                                F.slice(p, 1, F.size(p) - 1),
-                                F.slice(p, 2, F.size(p) - 1),
-                                lambda a, b: run(y, a.x1 + 1, b.x0 - 1),
-                            ),
-                        ),
-                    )
-                ),
-            )
+    def of_runs(a: str) -> str:
+        edge = lambda kind, part: f"array_{kind}({each(a, lambda r: f'{r}.{part}')})"
+        box = pack(
+            rows=f"sequence({edge('min', 'y')} - 1, {edge('max', 'y')} + 1)",
+            left=f"{edge('min', 'x0')} - 1",
+            right=f"{edge('max', 'x1')} + 1",
+        )
+        return bind(box, lambda b: inside(a, b))
 
-        return let(linked(F.flatten(F.transform(rows, gaps))), close)
+    def inside(a: str, box: str) -> str:
+        background = linked(f"flatten({each(f'{box}.rows', lambda y: _gaps(a, y, box))})")
+        outer = bind(
+            background,
+            lambda links: bind(
+                labels_of(links, 0),
+                lambda labels: keep_at(links, lambda r, k: f"get({labels}, {k}) = 0"),
+            ),
+        )
+        return bind(outer, lambda o: f"flatten({each(f'{box}.rows', lambda y: _between(o, y))})")
 
-    box = F.struct(
-        top.alias("top"), bottom.alias("bottom"), left.alias("left"), right.alias("right")
-    )
-    return let(box, inside)
+    return bind(runs, of_runs)
 
 
-def perimeter(links: Column, components: Column) -> Column:
+def perimeter(links: str, components: str) -> str:
     """Length of the outer borders through pixel centres, diagonal steps counting sqrt(2).
 
     In the graph of touching runs each independent cycle encloses one hole, so a mask whose
     edges equal runs minus components needs no filling, which is nearly every real mask.
     """
+    length = lambda o: f"({o}.straight + {math.sqrt(2.0)!r}D * {o}.diagonal)"
+    closed = bind(linked(filled(links)), lambda f: bind(outline(f), length))
 
-    def length(o: Column) -> Column:
-        return o.straight + math.sqrt(2.0) * o.diagonal
-
-    def choose(o: Column) -> Column:
-        holes = o.edges - F.size(links) + components
-        plain = F.transform(links, lambda r: run(r.y, r.x0, r.x1))
-        closed = let(linked(filled(plain)), lambda f: let(outline(f), length))
-        return F.when(holes > 0, closed).otherwise(length(o))
+    def choose(o: str) -> str:
+        holes = f"{o}.edges - size({links}) + {components}"
+        return f"CASE WHEN {holes} > 0 THEN {closed} ELSE {length(o)} END"
 
-    return F.when(F.size(links) == 0, F.lit(0.0)).otherwise(let(outline(links), choose))
+    return f"CASE WHEN size({links}) = 0 THEN 0D ELSE {bind(outline(links), choose)} END"
 
 
-def circularity(area: Column, border: Column) -> Column:
-    return F.when(border > 0, 4.0 * math.pi * area / (border * border)).otherwise(F.lit(0.0))
+def circularity(area: str, border: str) -> str:
+    ratio = f"{4.0 * math.pi!r}D * {area} / ({border} * {border})"
+    return f"CASE WHEN {border} > 0 THEN {ratio} ELSE 0D END"

@@ -7,7 +7,7 @@ work stays inside the frame's row: these operators add no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from gazeframe import schemas as S
 from gazeframe.functions import geometry as G
 from gazeframe.functions import quality as Q
 from gazeframe.functions import runs as R
-from gazeframe.functions.columns import let, once, require_columns
+from gazeframe.functions.columns import once, require_columns
 
 MAP_COLUMNS = ("prob", "map_height", "map_width")
 
@@ -28,46 +28,42 @@ _EVIDENCE = (
 )
 
 
-def _cut(df: DataFrame, threshold: float | str) -> Column:
-    """The threshold in the precision the map is stored in."""
+def _cut(df: DataFrame, threshold: float | str) -> str:
+    """The threshold in the precision the map is stored in: a number or a column."""
     if not isinstance(threshold, str) and not 0 < threshold < 1:
         raise ValueError("Prediction threshold must be between 0 and 1.")
-    value = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    value = f"`{threshold}`" if isinstance(threshold, str) else f"{float(threshold)!r}D"
     single = df.schema["prob"].dataType.elementType == T.FloatType()
-    return value.cast("float") if single else value
+    return f"float({value})" if single else value
 
 
-def _selector(df: DataFrame, threshold: float | str, mask: str | None):
+def _selector(df: DataFrame, threshold: float | str, mask: str | None) -> R.Body:
     """Whether a flat pixel index is foreground; a supplied mask overrides the threshold."""
-    if mask is not None:
-        kind = df.schema[mask].dataType.elementType
-        if isinstance(kind, T.BooleanType):
-            return lambda i: F.get(F.col(mask), i)
-        return lambda i: F.get(F.col(mask), i) != 0
     cut = _cut(df, threshold)
-    return lambda i: F.get(F.col("prob"), i) > cut
+    if mask is None:
+        return lambda i: f"get(prob, {i}) > {cut}"
+    if isinstance(df.schema[mask].dataType.elementType, T.BooleanType):
+        return lambda i: f"get(`{mask}`, {i})"
+    return lambda i: f"get(`{mask}`, {i}) != 0"
 
 
-def _checked_count(mask: str | None) -> Column:
-    count = F.size("prob")
-    fits = count == F.col("map_height") * F.col("map_width")
+def mask_links(df: DataFrame, threshold: float | str, mask: str | None = None) -> str:
+    """Linked row runs of a frame's mask, as SQL text."""
+    fits = "size(prob) = map_height * map_width"
     if mask is not None:
-        fits = fits & (F.size(mask) == count)
-    return F.when(fits, count).otherwise(
-        F.raise_error(F.lit("Map and mask sizes must match map_height x map_width."))
+        fits += f" AND size(`{mask}`) = size(prob)"
+    count = (
+        f"CASE WHEN {fits} THEN size(prob) "
+        "ELSE raise_error('Map and mask sizes must match map_height x map_width.') END"
     )
-
-
-def mask_links(df: DataFrame, threshold: float | str, mask: str | None = None) -> Column:
-    """Linked row runs of a frame's mask."""
-    pixels = R.foreground(_checked_count(mask), _selector(df, threshold, mask))
-    return R.linked(R.runs_of(pixels, F.col("map_width")))
+    pixels = R.foreground(count, _selector(df, threshold, mask))
+    return R.linked(R.runs_of(pixels, "map_width"))
 
 
 def binarize_area_diameter(df: DataFrame, threshold: float | str) -> DataFrame:
     """Foreground area over the whole map and its equivalent-circle diameter."""
     require_columns(df, MAP_COLUMNS, "Probability maps")
-    cut = _cut(df, threshold)
+    cut = F.expr(_cut(df, threshold))
     area = F.size(F.filter("prob", lambda p: p > cut))
     return once(df, foreground_area=area).withColumn(
         "estimated_pupil_diameter", G.equivalent_diameter(F.col("foreground_area"))
@@ -81,111 +77,99 @@ def connected_components(
     selected one (greatest area, first pixel on ties)."""
     require_columns(df, [*MAP_COLUMNS, *keys], "Probability maps")
 
-    def listed(links: Column) -> Column:
-        def named(parts: Column) -> Column:
-            best = _largest(parts)
-            return F.transform(
-                parts,
-                lambda c: F.struct(
-                    (F.get(links, c.label).y * F.col("map_width") + F.get(links, c.label).x0).alias(
-                        "first_pixel"
-                    ),
-                    c.area.alias("area"),
-                    (c.label == best).alias("selected"),
-                ),
-            )
+    def listed(links: str) -> str:
+        def named(parts: str) -> str:
+            def part(c: str, best: str) -> str:
+                first = f"get({links}, {c}.label)"
+                return R.pack(
+                    first_pixel=f"{first}.y * map_width + {first}.x0",
+                    area=f"{c}.area",
+                    selected=f"{c}.label = {best}",
+                )
 
-        return let(R.labels_of(links, 1), lambda v: let(R.component_areas(links, v), named))
+            return R.bind(_largest(parts), lambda best: R.each(parts, lambda c: part(c, best)))
 
-    parts = let(mask_links(df, threshold, mask), listed)
+        return R.bind(R.labels_of(links, 1), lambda v: R.bind(R.component_areas(links, v), named))
+
+    parts = F.expr(R.bind(mask_links(df, threshold, mask), listed))
     return df.select(*keys, F.inline(parts))
 
 
-def _largest(parts: Column) -> Column:
-    return -F.array_max(F.transform(parts, lambda c: F.struct(c.area, (-c.label).alias("v")))).v
+def _largest(parts: str) -> str:
+    """Label of the component with the greatest area, the first one on ties."""
+    ranked = R.each(parts, lambda c: R.pack(area=f"{c}.area", back=f"-{c}.label"))
+    return f"(-array_max({ranked}).back)"
 
 
-def _weights(width: Column, chosen: Column) -> Column:
+def _weights(chosen: str) -> str:
     """Sums of p, x*p, y*p, x and y over the selected pixels, run by run."""
     names = ("p", "xp", "yp", "x", "y")
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
-
-    def of_run(r: Column) -> Column:
-        base, count = r.y * width, r.x1 - r.x0 + 1
-        values = F.slice(F.col("prob"), base + r.x0 + 1, count)
-        moments = let(
-            values,
-            lambda v: F.struct(
-                F.aggregate(v, F.lit(0.0), lambda a, p: a + p).alias("p"),
-                F.aggregate(
-                    F.zip_with(v, F.sequence(r.x0, r.x1), lambda p, x: p.cast("double") * x),
-                    F.lit(0.0),
-                    lambda a, q: a + q,
-                ).alias("xp"),
-            ),
-        )
-        return let(
-            moments,
-            lambda m: F.struct(
-                m.p.alias("p"),
-                m.xp.alias("xp"),
-                (r.y * m.p).alias("yp"),
-                ((r.x0 + r.x1) * count / 2).alias("x"),
-                (r.y * count).cast("double").alias("y"),
-            ),
-        )
+    add = lambda s, t: R.pack(**{n: f"{s}.{n} + {t}.{n}" for n in names})
+
+    def of_run(r: str) -> str:
+        count = f"({r}.x1 - {r}.x0 + 1)"
 
-    def add(s: Column, t: Column) -> Column:
-        return F.struct(*[(s[n] + t[n]).alias(n) for n in names])
+        def moments(v: str) -> str:
+            weighed = R.pairwise(v, f"sequence({r}.x0, {r}.x1)", lambda p, x: f"double({p}) * {x}")
+            return R.pack(
+                p=R.fold(v, "0D", lambda s, p: f"{s} + {p}"),
+                xp=R.fold(weighed, "0D", lambda s, q: f"{s} + {q}"),
+            )
 
-    return F.aggregate(F.transform(chosen, of_run), zero, add)
+        values = f"slice(prob, {r}.y * map_width + {r}.x0 + 1, {count})"
+        return R.bind(
+            R.bind(values, moments),
+            lambda m: R.pack(
+                p=f"{m}.p",
+                xp=f"{m}.xp",
+                yp=f"{r}.y * {m}.p",
+                x=f"({r}.x0 + {r}.x1) * {count} / 2",
+                y=f"double({r}.y * {count})",
+            ),
+        )
 
+    return R.fold(R.each(chosen, of_run), R.pack(**{n: "0D" for n in names}), add)
 
-def _evidence(links: Column) -> Column:
-    width, height = F.col("map_width"), F.col("map_height")
-    foreground = F.aggregate(links, F.lit(0), lambda a, r: a + r.x1 - r.x0 + 1)
 
-    def pick(labels: Column) -> Column:
-        def of_parts(parts: Column) -> Column:
-            chosen = let(
+def _evidence(links: str) -> str:
+    def pick(labels: str) -> str:
+        def of_parts(parts: str) -> str:
+            chosen = R.bind(
                 _largest(parts),
-                lambda best: F.filter(links, lambda r, k: F.get(labels, k) == best),
-            )
-            return let(
-                chosen,
-                lambda c: let(_weights(width, c), lambda w: describe(c, w, F.size(parts))),
+                lambda best: R.linked(R.keep_at(links, lambda r, k: f"get({labels}, {k}) = {best}")),
             )
+            return R.bind(chosen, lambda c: R.bind(_weights(c), lambda w: sized(c, w, f"size({parts})")))
+
+        return R.bind(R.component_areas(links, labels), of_parts)
 
-        return let(R.component_areas(links, labels), of_parts)
+    def sized(chosen: str, w: str, count: str) -> str:
+        facts = R.pack(area=R.area_of(chosen), fg=R.area_of(links), length=R.perimeter(chosen, "1"))
+        return R.bind(facts, lambda m: described(chosen, w, count, m))
 
-    def describe(chosen: Column, w: Column, count: Column) -> Column:
-        area = F.aggregate(chosen, F.lit(0), lambda a, r: a + r.x1 - r.x0 + 1)
-        border = F.exists(
-            chosen,
-            lambda r: (r.y == 0) | (r.y == height - 1) | (r.x0 == 0) | (r.x1 == width - 1),
+    def described(chosen: str, w: str, count: str, m: str) -> str:
+        r = "edge_run"
+        border = (
+            f"exists({chosen}, {r} -> {r}.y = 0 OR {r}.y = map_height - 1 OR {r}.x0 = 0 "
+            f"OR {r}.x1 = map_width - 1)"
         )
-        own_links = R.linked(F.transform(chosen, lambda r: R.run(r.y, r.x0, r.x1)))
-        length = let(own_links, lambda o: R.perimeter(o, F.lit(1)))
-        return let(
-            F.struct(area.alias("area"), foreground.alias("fg"), length.alias("length")),
-            lambda m: F.struct(
-                m.area.alias("selected_component_area"),
-                m.fg.alias("foreground_area"),
-                count.alias("component_count"),
-                (m.area / m.fg).alias("component_dominance"),
-                (w.p / m.area).alias("mean_component_confidence"),
-                R.circularity(m.area, m.length).alias("component_circularity"),
-                border.alias("component_touches_border"),
-                F.when(w.p > 0, w.xp / w.p).otherwise(w.x / m.area).alias("raw_center_x_model_pixels"),
-                F.when(w.p > 0, w.yp / w.p).otherwise(w.y / m.area).alias("raw_center_y_model_pixels"),
-            ),
+        centre = lambda axis: (
+            f"CASE WHEN {w}.p > 0 THEN {w}.{axis}p / {w}.p ELSE {w}.{axis} / {m}.area END"
+        )
+        return R.pack(
+            selected_component_area=f"{m}.area",
+            foreground_area=f"{m}.fg",
+            component_count=count,
+            component_dominance=f"{m}.area / {m}.fg",
+            mean_component_confidence=f"{w}.p / {m}.area",
+            component_circularity=R.circularity(f"{m}.area", f"{m}.length"),
+            component_touches_border=border,
+            raw_center_x_model_pixels=centre("x"),
+            raw_center_y_model_pixels=centre("y"),
         )
 
-    empty = F.struct(
-        F.lit(0), F.lit(0), F.lit(0), F.lit(None), F.lit(None), F.lit(None), F.lit(False),
-        F.lit(None), F.lit(None),
-    ).cast(_EVIDENCE)
-    return F.when(F.size(links) == 0, empty).otherwise(let(R.labels_of(links, 1), pick).cast(_EVIDENCE))
+    empty = f"CAST(struct(0, 0, 0, null, null, null, false, null, null) AS {_EVIDENCE})"
+    found = R.bind(R.labels_of(links, 1), pick)
+    return f"CASE WHEN size({links}) = 0 THEN {empty} ELSE CAST({found} AS {_EVIDENCE}) END"
 
 
 def component_evidence(
@@ -193,7 +177,8 @@ def component_evidence(
 ) -> DataFrame:
     """Model-space measurements of each frame's largest component, without judging them."""
     require_columns(df, MAP_COLUMNS, "Probability maps")
-    return once(df, _m=let(mask_links(df, threshold, mask), _evidence)).select(*df.columns, "_m.*")
+    evidence = F.expr(R.bind(mask_links(df, threshold, mask), _evidence))
+    return once(df, _m=evidence).select(*df.columns, "_m.*")
 
 
 def judge_components(df: DataFrame) -> DataFrame:
