@@ -70,9 +70,11 @@ def _rows(lo: str, stop: str, body: Body, empty: str) -> str:
     return f"CASE WHEN {stop} > {lo} THEN {some} ELSE CAST(array() AS array<{empty}>) END"
 
 
-def foreground(count: str, is_set: Body) -> str:
-    """Ascending flat indices of the set pixels."""
-    return keep(f"sequence(0, int({count}) - 1)", is_set)
+def foreground(pixels: str, is_set: Body) -> str:
+    """Ascending flat indices of the set pixels of an array."""
+    v, i = _new("p"), _new("i")
+    marked = f"transform({pixels}, ({v}, {i}) -> CASE WHEN {is_set(v)} THEN {i} END)"
+    return keep(marked, lambda k: f"{k} IS NOT NULL")
 
 
 def runs_of(pixels: str, width: str) -> str:

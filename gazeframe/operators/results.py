@@ -19,7 +19,7 @@ def tracking_status(df: DataFrame, name: str = "tracking_status") -> DataFrame:
 
 def unmatched_predictions(results: DataFrame, frames: DataFrame) -> DataFrame:
     """Predictions whose image is not among the frames."""
-    return results.join(frames.select(*KEYS).distinct(), KEYS, "left_anti")
+    return results.join(frames.select(*KEYS), KEYS, "left_anti")
 
 
 def _matched(results: DataFrame, frames: DataFrame, strict: bool) -> DataFrame:

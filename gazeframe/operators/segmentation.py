@@ -37,27 +37,26 @@ def _cut(df: DataFrame, threshold: float | str) -> str:
     return f"float({value})" if single else value
 
 
-def _selector(df: DataFrame, threshold: float | str, mask: str | None) -> R.Body:
-    """Whether a flat pixel index is foreground; a supplied mask overrides the threshold."""
+def _foreground(df: DataFrame, threshold: float | str, mask: str | None) -> str:
+    """Foreground pixel indices; a supplied mask overrides the threshold."""
+    fits = "size(prob) = map_height * map_width"
     cut = _cut(df, threshold)
-    if mask is None:
-        return lambda i: f"get(prob, {i}) > {cut}"
-    if isinstance(df.schema[mask].dataType.elementType, T.BooleanType):
-        return lambda i: f"get(`{mask}`, {i})"
-    return lambda i: f"get(`{mask}`, {i}) != 0"
+    source, test = "prob", lambda p: f"{p} > {cut}"
+    if mask is not None:
+        source, test = f"`{mask}`", lambda m: f"{m} != 0"
+        fits += f" AND size({source}) = size(prob)"
+        if isinstance(df.schema[mask].dataType.elementType, T.BooleanType):
+            test = lambda m: m
+    checked = (
+        f"CASE WHEN {fits} THEN {source} "
+        "ELSE raise_error('Map and mask sizes must match map_height x map_width.') END"
+    )
+    return R.foreground(checked, test)
 
 
 def mask_links(df: DataFrame, threshold: float | str, mask: str | None = None) -> str:
     """Linked row runs of a frame's mask, as SQL text."""
-    fits = "size(prob) = map_height * map_width"
-    if mask is not None:
-        fits += f" AND size(`{mask}`) = size(prob)"
-    count = (
-        f"CASE WHEN {fits} THEN size(prob) "
-        "ELSE raise_error('Map and mask sizes must match map_height x map_width.') END"
-    )
-    pixels = R.foreground(count, _selector(df, threshold, mask))
-    return R.linked(R.runs_of(pixels, "map_width"))
+    return R.linked(R.runs_of(_foreground(df, threshold, mask), "map_width"))
 
 
 def binarize_area_diameter(df: DataFrame, threshold: float | str) -> DataFrame:
@@ -110,13 +109,16 @@ def _weights(chosen: str) -> str:
         count = f"({r}.x1 - {r}.x0 + 1)"
 
         def moments(v: str) -> str:
-            weighed = R.pairwise(v, f"sequence({r}.x0, {r}.x1)", lambda p, x: f"double({p}) * {x}")
+            weighed = R.pairwise(v, f"sequence({r}.x0, {r}.x1)", lambda p, x: f"{p} * {x}")
             return R.pack(
                 p=R.fold(v, "0D", lambda s, p: f"{s} + {p}"),
                 xp=R.fold(weighed, "0D", lambda s, q: f"{s} + {q}"),
             )
 
-        values = f"slice(prob, {r}.y * map_width + {r}.x0 + 1, {count})"
+        # Not slice(): it would unpack the whole map for every run.
+        values = R.each(
+            f"sequence({r}.x0, {r}.x1)", lambda x: f"double(get(prob, {r}.y * map_width + {x}))"
+        )
         return R.bind(
             R.bind(values, moments),
             lambda m: R.pack(

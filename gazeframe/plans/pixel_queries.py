@@ -354,9 +354,9 @@ def run_analysis_velocity(spark, sf_dir):
 def run_analysis_images(spark, sf_dir):
     """Files of every folder, each showing one of the grey images, through the whole flow."""
     files = V.image_files(spark, sf_dir)
-    count = V.table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
-    shown = files.join(F.broadcast(count)).select(  # one row
-        "recording_id", "image_name", F.pmod(F.hash("image_name"), F.col("n")).alias("frame_id")
+    count = V.table(spark, sf_dir, "embeddings").select(F.max("vec_id") + 1).scalar()
+    shown = files.select(
+        "recording_id", "image_name", F.pmod(F.hash("image_name"), count).alias("frame_id")
     )
     images = shown.join(V.grey(spark, sf_dir), "frame_id").select(
         "recording_id",

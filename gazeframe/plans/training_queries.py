@@ -62,7 +62,7 @@ def balanced_weights(spark, sf_dir):
         FROM (SELECT *, row_number() OVER (PARTITION BY size_bin ORDER BY frame_id) - 1 AS place FROM weighted) p
         LEFT JOIN (SELECT size_bin, place, count(*) AS draws FROM (
             SELECT b.size_bin, floor({draw_sql(2, 5, 'd')} * b.bin_count)::BIGINT AS place
-            FROM (SELECT row_number() OVER (ORDER BY frame_id) - 1 AS d FROM binned) q
+            FROM (SELECT frame_id AS d FROM binned) q
             JOIN bins b ON b.bin_no = floor({draw_sql(1, 5, 'd')} * b.k)::BIGINT) r GROUP BY ALL) c
           ON c.size_bin = p.size_bin AND c.place = p.place""",
     BINNED,
