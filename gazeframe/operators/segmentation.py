@@ -189,15 +189,15 @@ def judge_components(df: DataFrame) -> DataFrame:
     confidence, shape = F.col("mean_component_confidence"), F.col("component_circularity")
     border = F.col("component_touches_border")
     reasons = Q.component_reasons(F.col("component_dominance"), confidence, shape, border)
-    return (
-        df.withColumn("quality_reason", F.when(empty, Q.EMPTY).otherwise(reasons))
-        .withColumn(
-            "segmentation_valid",
-            F.when(empty, False).otherwise(Q.component_valid(confidence, shape, border)),
-        )
-        .withColumn(
-            "pupil_visibility", Q.visibility(F.col("quality_reason"), F.col("segmentation_valid"))
-        )
+    return df.withColumns(
+        {
+            "quality_reason": F.when(empty, Q.EMPTY).otherwise(reasons),
+            "segmentation_valid": F.when(empty, False).otherwise(
+                Q.component_valid(confidence, shape, border)
+            ),
+        }
+    ).withColumn(
+        "pupil_visibility", Q.visibility(F.col("quality_reason"), F.col("segmentation_valid"))
     )
 
 
@@ -223,16 +223,17 @@ def measure_frames(
         height,
         F.col("map_width"),
     )
+    diameter = G.equivalent_diameter(F.col("foreground_area"))
     out = (
-        found.withColumn("_c", centre)
-        .withColumn("raw_center_x_pixels", F.col("_c.x"))
-        .withColumn("raw_center_y_pixels", F.col("_c.y"))
-        .withColumn("estimated_pupil_diameter", G.equivalent_diameter(F.col("foreground_area")))
-        .withColumn(
-            "pupil_diameter_input_pixels",
-            G.model_to_input_length(
-                F.col("estimated_pupil_diameter"), width, height, model_size
-            ),
+        found.withColumns({"_c": centre, "estimated_pupil_diameter": diameter})
+        .withColumns(
+            {
+                "raw_center_x_pixels": F.col("_c.x"),
+                "raw_center_y_pixels": F.col("_c.y"),
+                "pupil_diameter_input_pixels": G.model_to_input_length(
+                    F.col("estimated_pupil_diameter"), width, height, model_size
+                ),
+            }
         )
         .drop("_c")
     )
