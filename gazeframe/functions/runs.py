@@ -96,29 +96,59 @@ def runs_of(pixels: str, width: str) -> str:
 
 def linked(runs: str) -> str:
     """Each run with the index range ``[plo, phi)`` of the runs in the row above it."""
-    layout = "struct<y:int,x0:int,x1:int,plo:int,phi:int>"
-    zero = pack(out=f"CAST(array() AS array<{layout}>)", y="-9", lo="0", plo="0")
 
-    def step(s: str, r: str) -> str:
-        k = f"size({s}.out)"
-        lo = f"CASE WHEN {r}.y = {s}.y THEN {s}.lo ELSE {k} END"
-        plo = (
-            f"CASE WHEN {r}.y = {s}.y THEN {s}.plo WHEN {r}.y = {s}.y + 1 THEN {s}.lo ELSE {k} END"
+    def of_runs(a: str) -> str:
+        # How many runs lie above each row, from the row before the first one on.
+        above = each(
+            f"sequence(get({a}, 0).y - 1, get({a}, size({a}) - 1).y)",
+            lambda y: f"size({keep(a, lambda q: f'{q}.y < {y}')})",
         )
-        item = pack(y=f"{r}.y", x0=f"{r}.x0", x1=f"{r}.x1", plo=plo, phi=lo)
-        return pack(out=f"array_append({s}.out, {item})", y=f"{r}.y", lo=lo, plo=plo)
 
-    return fold(runs, zero, step, lambda s: f"{s}.out")
+        def placed(starts: str) -> str:
+            row = lambda r: f"{r}.y - get({a}, 0).y"
+            return each(
+                a,
+                lambda r: pack(
+                    y=f"{r}.y",
+                    x0=f"{r}.x0",
+                    x1=f"{r}.x1",
+                    plo=f"get({starts}, {row(r)})",
+                    phi=f"get({starts}, {row(r)} + 1)",
+                ),
+            )
+
+        return bind(above, placed)
+
+    return bind(runs, of_runs)
+
+
+def _resolved(labels: str, moves: str) -> str:
+    """Labels with every joined component renamed to the one it finally joined.
+
+    Parents are followed by doubling: each round halves the remaining distance.
+    """
+    parents = bind(
+        f"map_from_entries({moves})",
+        lambda m: each(
+            f"sequence(0, size({labels}) - 1)", lambda k: f"coalesce(try_element_at({m}, {k}), {k})"
+        ),
+    )
+    rounds = f"sequence(1, int(ceil(log2(size({labels}) + 1))))"
+    roots = fold(rounds, parents, lambda p, _: each(p, lambda v: f"get({p}, {v})"))
+    return bind(roots, lambda p: each(labels, lambda v: f"get({p}, {v})"))
 
 
 def labels_of(links: str, reach: int) -> str:
     """Component label of every linked run: the index of the component's first run.
 
     ``reach`` 1 joins runs that touch diagonally (8-connectivity), 0 only those that
-    share a column (4-connectivity).
+    share a column (4-connectivity). When a run joins components, only the labels of the
+    current and the previous row are renamed; older runs follow once, at the end.
     """
 
-    def step(labels: str, r: str) -> str:
+    def step(s: str, r: str) -> str:
+        labels = f"{s}.labels"
+
         def near(rows: str) -> str:
             hits = keep(
                 rows,
@@ -129,13 +159,26 @@ def labels_of(links: str, reach: int) -> str:
 
         def merge(t: str) -> str:
             low = f"array_min({t})"
-            moved = each(labels, lambda v: f"CASE WHEN array_contains({t}, {v}) THEN {low} ELSE {v} END")
-            joined = f"CASE WHEN size({t}) > 1 THEN {moved} ELSE {labels} END"
-            return f"array_append({joined}, coalesce({low}, size({labels})))"
+            active = f"slice({labels}, {r}.plo + 1, size({labels}) - {r}.plo)"
+            renamed = each(active, lambda v: f"CASE WHEN array_contains({t}, {v}) THEN {low} ELSE {v} END")
+            joined = keep(t, lambda v: f"{v} > {low}")
+            several = f"size({t}) > 1"
+            return pack(
+                labels=f"array_append(CASE WHEN {several} THEN concat(slice({labels}, 1, {r}.plo), {renamed}) "
+                f"ELSE {labels} END, coalesce({low}, size({labels})))",
+                moves=f"CASE WHEN {several} THEN concat({s}.moves, {each(joined, lambda v: pack(a=v, b=low))}) "
+                f"ELSE {s}.moves END",
+            )
 
         return bind(_rows(f"{r}.plo", f"{r}.phi", near, "int"), merge)
 
-    return fold(links, "CAST(array() AS array<int>)", step)
+    zero = pack(labels="CAST(array() AS array<int>)", moves="CAST(array() AS array<struct<a:int,b:int>>)")
+    return fold(
+        links,
+        zero,
+        step,
+        lambda f: f"CASE WHEN size({f}.moves) = 0 THEN {f}.labels ELSE {_resolved(f'{f}.labels', f'{f}.moves')} END",
+    )
 
 
 def component_areas(links: str, labels: str) -> str:
@@ -237,13 +280,8 @@ def _between(outer: str, y: str) -> str:
     )
 
 
-def filled(runs: str) -> str:
-    """The runs with every hole closed.
-
-    A hole is background that cannot reach the outside through shared pixel edges. The
-    gaps of each row inside a one-pixel margin are labelled with 4-connectivity; the gap
-    list that holds the margin is the outside, and whatever lies between its gaps is mask.
-    """
+def background(runs: str) -> str:
+    """Background runs of a non-empty mask inside its box widened by one pixel."""
 
     def of_runs(a: str) -> str:
         edge = lambda kind, part: f"array_{kind}({each(a, lambda r: f'{r}.{part}')})"
@@ -252,36 +290,29 @@ def filled(runs: str) -> str:
             left=f"{edge('min', 'x0')} - 1",
             right=f"{edge('max', 'x1')} + 1",
         )
-        return bind(box, lambda b: inside(a, b))
-
-    def inside(a: str, box: str) -> str:
-        background = linked(f"flatten({each(f'{box}.rows', lambda y: _gaps(a, y, box))})")
-        outer = bind(
-            background,
-            lambda links: bind(
-                labels_of(links, 0),
-                lambda labels: keep_at(links, lambda r, k: f"get({labels}, {k}) = 0"),
-            ),
-        )
-        return bind(outer, lambda o: f"flatten({each(f'{box}.rows', lambda y: _between(o, y))})")
+        return bind(box, lambda b: f"flatten({each(f'{b}.rows', lambda y: _gaps(a, y, b))})")
 
     return bind(runs, of_runs)
 
 
-def perimeter(links: str, components: str) -> str:
-    """Length of the outer borders through pixel centres, diagonal steps counting sqrt(2).
+def outside(links: str) -> str:
+    """The linked background runs that reach the first one, the margin, through pixel edges.
 
-    In the graph of touching runs each independent cycle encloses one hole, so a mask whose
-    edges equal runs minus components needs no filling, which is nearly every real mask.
+    All other background lies in holes.
     """
-    length = lambda o: f"({o}.straight + {math.sqrt(2.0)!r}D * {o}.diagonal)"
-    closed = bind(linked(filled(links)), lambda f: bind(outline(f), length))
+    return bind(
+        labels_of(links, 0), lambda labels: keep_at(links, lambda r, k: f"get({labels}, {k}) = 0")
+    )
+
+
+def enclosed(outer: str) -> str:
+    """Runs of the mask with every hole closed: whatever lies between outside runs."""
+    rows = f"sequence(get({outer}, 0).y, get({outer}, size({outer}) - 1).y)"
+    return f"flatten({each(rows, lambda y: _between(outer, y))})"
 
-    def choose(o: str) -> str:
-        holes = f"{o}.edges - size({links}) + {components}"
-        return f"CASE WHEN {holes} > 0 THEN {closed} ELSE {length(o)} END"
 
-    return f"CASE WHEN size({links}) = 0 THEN 0D ELSE {bind(outline(links), choose)} END"
+def length(shape: str) -> str:
+    return f"({shape}.straight + {math.sqrt(2.0)!r}D * {shape}.diagonal)"
 
 
 def circularity(area: str, border: str) -> str:

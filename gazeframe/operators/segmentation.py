@@ -16,18 +16,10 @@ from gazeframe.functions import geometry as G
 from gazeframe.functions import quality as Q
 from gazeframe.functions import runs as R
 from gazeframe.functions.columns import once, require_columns
+from gazeframe.operators.components import step, with_border, with_components
 
 MAP_COLUMNS = ("prob", "map_height", "map_width")
 
-# Fixed layout of one component measurement.
-_EVIDENCE = (
-    "struct<selected_component_area:int,foreground_area:int,component_count:int,"
-    "component_dominance:double,mean_component_confidence:double,component_circularity:double,"
-    "component_touches_border:boolean,raw_center_x_model_pixels:double,"
-    "raw_center_y_model_pixels:double>"
-)
-
-
 def _cut(df: DataFrame, threshold: float | str) -> str:
     """The threshold in the precision the map is stored in: a number or a column."""
     if not isinstance(threshold, str) and not 0 < threshold < 1:
@@ -54,11 +46,6 @@ def _foreground(df: DataFrame, threshold: float | str, mask: str | None) -> str:
     return R.foreground(checked, test)
 
 
-def mask_links(df: DataFrame, threshold: float | str, mask: str | None = None) -> str:
-    """Linked row runs of a frame's mask, as SQL text."""
-    return R.linked(R.runs_of(_foreground(df, threshold, mask), "map_width"))
-
-
 def binarize_area_diameter(df: DataFrame, threshold: float | str) -> DataFrame:
     """Foreground area over the whole map and its equivalent-circle diameter."""
     require_columns(df, MAP_COLUMNS, "Probability maps")
@@ -76,22 +63,18 @@ def connected_components(
     selected one (greatest area, first pixel on ties)."""
     require_columns(df, [*MAP_COLUMNS, *keys], "Probability maps")
 
-    def listed(links: str) -> str:
-        def named(parts: str) -> str:
-            def part(c: str, best: str) -> str:
-                first = f"get({links}, {c}.label)"
-                return R.pack(
-                    first_pixel=f"{first}.y * map_width + {first}.x0",
-                    area=f"{c}.area",
-                    selected=f"{c}.label = {best}",
-                )
-
-            return R.bind(_largest(parts), lambda best: R.each(parts, lambda c: part(c, best)))
+    found = with_components(df, _foreground(df, threshold, mask), "map_width")
 
-        return R.bind(R.labels_of(links, 1), lambda v: R.bind(R.component_areas(links, v), named))
+    def part(c: str) -> str:
+        first = f"get(_links, {c}.label)"
+        return R.pack(
+            first_pixel=f"{first}.y * map_width + {first}.x0",
+            area=f"{c}.area",
+            selected=f"{c}.label = _best",
+        )
 
-    parts = F.expr(R.bind(mask_links(df, threshold, mask), listed))
-    return df.select(*keys, F.inline(parts))
+    listed = step(found, _best=_largest("_parts"))
+    return listed.select(*keys, F.inline(F.expr(R.each("_parts", part))))
 
 
 def _largest(parts: str) -> str:
@@ -133,54 +116,39 @@ def _weights(chosen: str) -> str:
     return R.fold(R.each(chosen, of_run), R.pack(**{n: "0D" for n in names}), add)
 
 
-def _evidence(links: str) -> str:
-    def pick(labels: str) -> str:
-        def of_parts(parts: str) -> str:
-            chosen = R.bind(
-                _largest(parts),
-                lambda best: R.linked(R.keep_at(links, lambda r, k: f"get({labels}, {k}) = {best}")),
-            )
-            return R.bind(chosen, lambda c: R.bind(_weights(c), lambda w: sized(c, w, f"size({parts})")))
-
-        return R.bind(R.component_areas(links, labels), of_parts)
-
-    def sized(chosen: str, w: str, count: str) -> str:
-        facts = R.pack(area=R.area_of(chosen), fg=R.area_of(links), length=R.perimeter(chosen, "1"))
-        return R.bind(facts, lambda m: described(chosen, w, count, m))
-
-    def described(chosen: str, w: str, count: str, m: str) -> str:
-        r = "edge_run"
-        border = (
-            f"exists({chosen}, {r} -> {r}.y = 0 OR {r}.y = map_height - 1 OR {r}.x0 = 0 "
-            f"OR {r}.x1 = map_width - 1)"
-        )
-        centre = lambda axis: (
-            f"CASE WHEN {w}.p > 0 THEN {w}.{axis}p / {w}.p ELSE {w}.{axis} / {m}.area END"
-        )
-        return R.pack(
-            selected_component_area=f"{m}.area",
-            foreground_area=f"{m}.fg",
-            component_count=count,
-            component_dominance=f"{m}.area / {m}.fg",
-            mean_component_confidence=f"{w}.p / {m}.area",
-            component_circularity=R.circularity(f"{m}.area", f"{m}.length"),
-            component_touches_border=border,
-            raw_center_x_model_pixels=centre("x"),
-            raw_center_y_model_pixels=centre("y"),
-        )
-
-    empty = f"CAST(struct(0, 0, 0, null, null, null, false, null, null) AS {_EVIDENCE})"
-    found = R.bind(R.labels_of(links, 1), pick)
-    return f"CASE WHEN size({links}) = 0 THEN {empty} ELSE CAST({found} AS {_EVIDENCE}) END"
-
-
 def component_evidence(
     df: DataFrame, threshold: float | str, mask: str | None = None
 ) -> DataFrame:
     """Model-space measurements of each frame's largest component, without judging them."""
     require_columns(df, MAP_COLUMNS, "Probability maps")
-    evidence = F.expr(R.bind(mask_links(df, threshold, mask), _evidence))
-    return once(df, _m=evidence).select(*df.columns, "_m.*")
+    found = with_components(df, _foreground(df, threshold, mask), "map_width")
+    found = step(found, _best=_largest("_parts"))
+    own = R.keep_at("_links", lambda r, k: f"get(_labels, {k}) = _best")
+    found = step(found, _chosen=R.linked(own))
+    found = step(found, _w=_weights("_chosen"))
+    found = step(with_border(found, "_chosen", "1"), _area=R.area_of("_chosen"))
+    border = (
+        "exists(_chosen, r -> r.y = 0 OR r.y = map_height - 1 OR r.x0 = 0 OR r.x1 = map_width - 1)"
+    )
+    centre = lambda axis: f"CASE WHEN _w.p > 0 THEN _w.{axis}p / _w.p ELSE _w.{axis} / _area END"
+    facts = {
+        "selected_component_area": "_area",
+        "foreground_area": R.area_of("_links"),
+        "component_count": "size(_parts)",
+        "component_dominance": f"_area / {R.area_of('_links')}",
+        "mean_component_confidence": "_w.p / _area",
+        "component_circularity": R.circularity("_area", "_border"),
+        "component_touches_border": border,
+        "raw_center_x_model_pixels": centre("x"),
+        "raw_center_y_model_pixels": centre("y"),
+    }
+    counted = ("selected_component_area", "foreground_area", "component_count")
+    empty = {n: "0" for n in counted} | {"component_touches_border": "false"}
+    measured = {
+        name: f"CASE WHEN size(_parts) = 0 THEN {empty.get(name, 'NULL')} ELSE {text} END"
+        for name, text in facts.items()
+    }
+    return step(found, **measured).select(*df.columns, *facts)
 
 
 def judge_components(df: DataFrame) -> DataFrame:
