@@ -270,7 +270,7 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMAGE_SIZES_SQL = """
 image_sizes AS (SELECT p_partkey AS image_id, 1 + p_partkey % 400 AS w, 1 + 7 * p_size AS h,
-  p_partkey % 148 + p_size / 64.0::DOUBLE AS cx, p_size + p_partkey % 64 / 64.0::DOUBLE AS cy FROM part)"""
+  p_partkey % 148 + p_size / 8.0::DOUBLE AS cx, p_size + p_partkey % 8 / 8.0::DOUBLE AS cy FROM part)"""
 
 
 def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,8 +279,8 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("image_id"),
         (1 + key % 400).alias("w"),
         (1 + 7 * size).alias("h"),
-        (key % 148 + size / F.lit(64.0)).alias("cx"),
-        (size + key % 64 / F.lit(64.0)).alias("cy"),
+        (key % 148 + size / F.lit(8.0)).alias("cx"),
+        (size + key % 8 / F.lit(8.0)).alias("cy"),
     )
 
 
