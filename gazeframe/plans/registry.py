@@ -21,7 +21,8 @@ def _spark(name: str, kind: str) -> Column:
     if kind == "i":
         c = c.cast("bigint")
     elif kind == "d":
-        c = F.round(c.cast("double"), 6) + F.lit(0.0)  # also turns -0.0 into 0.0
+        # The same arithmetic on both sides; adding zero turns -0.0 into 0.0.
+        c = F.rint(c.cast("double") * 1e6) / 1e6 + F.lit(0.0)
     return c.alias(name)
 
 
@@ -29,7 +30,7 @@ def _sql(name: str, kind: str) -> str:
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "d":
-        return f"round(CAST({name} AS DOUBLE), 6) + 0.0::DOUBLE AS {name}"
+        return f"round_even(CAST({name} AS DOUBLE) * 1e6, 0) / 1e6 + 0.0::DOUBLE AS {name}"
     return name
 
 
