@@ -24,3 +24,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.near_dedup import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir))
+
+
+@_query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.quality import judge
+
+    return judge(_documents(spark, sf_dir))
