@@ -31,3 +31,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.quality import judge
 
     return judge(_documents(spark, sf_dir))
+
+
+@_query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.pii import find_pii
+
+    return find_pii(_documents(spark, sf_dir))
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.mixing import mix_copies
+
+    return mix_copies(_documents(spark, sf_dir)).drop("key")
+
+
+@_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir))
