@@ -52,3 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.packing import pack
 
     return pack(_documents(spark, sf_dir))
+
+
+@_query
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.substrings import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
