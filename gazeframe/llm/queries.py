@@ -59,3 +59,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.substrings import remove_repeats
 
     return remove_repeats(_documents(spark, sf_dir)).drop("kept_text")
+
+
+@_query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.sharding import shard
+
+    return shard(_documents(spark, sf_dir)).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
