@@ -66,3 +66,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.sharding import shard
 
     return shard(_documents(spark, sf_dir)).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@_query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.secret_scan import find_secrets
+
+    return find_secrets(_documents(spark, sf_dir))
