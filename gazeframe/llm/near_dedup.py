@@ -7,17 +7,18 @@
    fixed order of preference, the same for all texts.
 3. 64 bands of 4 registers. Two sets at the least similarity share no band with a probability
    of about 3e-11 (higher for sets far smaller than the register count, near 1e-6).
-4. First each band group is compared with its smallest member only: pairs grow with the members. What
-   these links join needs no more comparison. Groups left with several components are compared
-   in blocks of bounded size by the corrected estimate, so no link between components is missed
-   and no list of all pairs is made.
-5. The estimate (matching registers, less the expected chance collisions) drops pairs six
+4. The estimate (matching registers, less the expected chance collisions) drops pairs six
    deviations below the limit; all others are confirmed on the full sets.
+5. Only links between different components matter. First each member of a band group meets the group's smallest. In
+   groups left with several components each member then meets its likeliest partner of another component, twice.
+   Only what is still apart is compared pair by pair, in blocks of bounded size inside a task,
+   so no link between components is missed and the pairs grow with the members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -138,46 +139,57 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
-            same = (_unpack(part.column("ra")) == _unpack(part.column("rb"))).sum(axis=1)
-            keep = plausible(same, np.asarray(part.column("na")), np.asarray(part.column("nb")))
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+def _block_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Plausible pairs across components within one block, or between two, of one band group.
 
-
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs across components within one block, or between two, of one band group."""
+    ``best``: for each member only the partner with the most equal registers.
+    """
     for group in groups(batches, ["band", "i", "j"]):
-        rep, label, n = (np.asarray(group.column(c)) for c in ("rep", "label", "n"))
-        own = np.asarray(group.column("own"))
+        rep, label, n, own = (np.asarray(group.column(c)) for c in ("rep", "label", "n", "own"))
+        if (label == label[0]).all():
+            continue
         regs = _unpack(group.column("registers"))
-        inner = group.column("i")[0] == group.column("j")[0]
-        left = np.flatnonzero(own == group.column("i")[0].as_py())
-        right = left if inner else np.flatnonzero(own != group.column("i")[0].as_py())
+        low = group.column("i")[0].as_py()
+        inner = low == group.column("j")[0].as_py()
+        left = np.flatnonzero(own == low)
+        right = left if inner else np.flatnonzero(own != low)
         found = []
         for x in left:
-            other = right[(right > x) & (label[right] != label[x])] if inner else right[label[right] != label[x]]
-            if len(other):
-                same = (regs[other] == regs[x]).sum(axis=1)
-                ok = other[plausible(same, np.full(len(other), n[x]), n[other])]
-                found.append(np.stack([np.minimum(rep[x], rep[ok]), np.maximum(rep[x], rep[ok])], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            other = right[label[right] != label[x]]
+            if inner and not best:
+                other = other[other > x]
+            if not len(other):
+                continue
+            same = (regs[other] == regs[x]).sum(axis=1)
+            ok = plausible(same, np.full(len(other), n[x]), n[other])
+            other, same = other[ok], same[ok]
+            if best and len(other):
+                top = [int(np.argmax(same))]
+                other, same = other[top], same[top]
+            found.append(np.stack([np.full(len(other), rep[x]), rep[other], same], axis=1))
+        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in range(3)], names=["x", "y", "same"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of the full shingle sets; keeps the linked pairs."""
+    """Estimate, then exact similarity of the full shingle sets. Keeps the linked pairs."""
     last, held = None, None
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
         a_texts, b_texts = batch.column("ta"), batch.column("tb")
         a_ids = batch.column("a").to_pylist()
-        for i, a in enumerate(a_ids):
-            if a != last or held is None:
+        same = np.concatenate(
+            [
+                (_unpack(part.column("ra")) == _unpack(part.column("rb"))).sum(axis=1)
+                for part in (batch.slice(lo, 2048) for lo in range(0, batch.num_rows, 2048))
+            ]
+            or [np.empty(0, np.int64)]
+        )
+        likely = plausible(same, np.asarray(batch.column("na")), np.asarray(batch.column("nb")))
+        for i in np.flatnonzero(likely).tolist():
+            if a_ids[i] != last or held is None:
                 held = shingle_sets(Words(a_texts.slice(i, 1), lower=True))[0]
-                last = a
+                last = a_ids[i]
             other = shingle_sets(Words(b_texts.slice(i, 1), lower=True))[0]
             if len(held) and len(other):
                 at = np.minimum(np.searchsorted(held, other), len(held) - 1)
@@ -187,9 +199,39 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    with_a = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a bigint, b bigint")
+    side = lambda s: texts.select(
+        F.col("rep").alias(s), F.col("text").alias(f"t{s}"), F.col("registers").alias(f"r{s}"), F.col("n").alias(f"n{s}")
+    )
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    return durable(met.select("a", "b", "ta", "tb", "ra", "rb", "na", "nb").mapInArrow(_confirm, "a bigint, b bigint"))
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    joined = components(links, "a", "b").withColumnRenamed("node", "rep")
+    return members.join(joined, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
+
+
+def _cross_pairs(now: DataFrame, regs: DataFrame, best: bool) -> DataFrame:
+    """Plausible pairs of members of one band group with different labels."""
+    spark = now.sparkSession
+    mixed = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+    mixed = mixed.where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = (
+        now.join(mixed, "band")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
+        .join(regs, "rep")
+    )
+    pairs = (
+        dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j")
+        .sortWithinPartitions("band", "i", "j")
+        .mapInArrow(partial(_block_pairs, best=best), "x bigint, y bigint, same bigint")
+    )
+    if best:
+        pairs = pairs.groupBy("x").agg(F.max(F.struct("same", "y"))["y"].alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -221,45 +263,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands.join(shared.select("band", "hub"), "band").write.parquet(member_path)
     members = spark.read.parquet(member_path)
 
+    # Texts and registers of all that share a band with another: what comparisons read from now on.
     text_path = scratch_path(spark, "near-texts")
-    active = members.select(F.col("rep").alias("doc_id")).distinct()
-    source.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").write.parquet(text_path)
+    active = members.select("rep").distinct()
+    regs = reps.select("rep", "registers", F.col("n_shingles").alias("n"))
+    bodies = source.select(F.col("doc_id").alias("rep"), "text")
+    regs.join(active, "rep", "left_semi").join(bodies, "rep").distinct().write.parquet(text_path)
     texts = spark.read.parquet(text_path)
-
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    side = lambda s: reps.select(F.col("rep").alias(s), F.col("registers").alias(f"r{s}"), F.col("n_shingles").alias(f"n{s}"))
-    likely = durable(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .select("a", "b", "ra", "rb", "na", "nb")
-        .mapInArrow(_estimate, "a bigint, b bigint")
-    )
-    links = durable(_linked(likely, texts))
-    joined = components(links, "a", "b")
-
-    # Groups that still hold several components.
-    label = F.coalesce("component", "rep").alias("label")
-    now = members.select("band", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", label)
-    mixed = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
-        now.join(mixed, "band")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
-        .join(reps.select("rep", "registers", F.col("n_shingles").alias("n")), "rep")
-    )
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = (
-        dealt.repartition(shuffles, "band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_block_pairs, "a bigint, b bigint")
-        .distinct()
-        .join(likely, ["a", "b"], "left_anti")
-    )
-    every = _linked(durable(more), texts).union(links)
-    final = components(every, "a", "b")
+    regs = texts.select("rep", "registers", "n").dropDuplicates(["rep"])
+
+    tried = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _linked(tried, texts)
+    for best in (True, True, False):
+        pairs = durable(_cross_pairs(_labelled(members, links), regs, best).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        links = links.union(_linked(pairs, texts))
+    final = components(links, "a", "b")
 
     classes = reps.select(*per_set, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*per_set, F.coalesce("component", "rep").alias("component_id"))
