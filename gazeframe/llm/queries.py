@@ -73,3 +73,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.secret_scan import find_secrets
 
     return find_secrets(_documents(spark, sf_dir))
+
+
+@_query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(_documents(spark, sf_dir))
