@@ -80,3 +80,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(_documents(spark, sf_dir))
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
