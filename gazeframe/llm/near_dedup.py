@@ -9,23 +9,23 @@
    of about 3e-11 (higher for sets far smaller than the register count, near 1e-6).
 4. The estimate (matching registers, less the expected chance collisions) drops pairs six
    deviations below the limit; all others are confirmed on the full sets.
-5. Only links between different components matter. First each member of a band group meets the group's smallest. In
-   groups left with several components each member then meets its likeliest partner of another component, twice.
-   Only what is still apart is compared pair by pair, in blocks of bounded size inside a task,
-   so no link between components is missed and the pairs grow with the members.
+5. Only links between different components matter. First each member of a band group meets the group's
+   smallest, which joins most. Components that a plausible pair of some band group still spans form
+   a *family*. Families are dealt out in blocks of bounded size; a task compares two blocks, leaves out pairs
+   already joined, and returns at most one link per member. So no link between components is missed, and
+   what is written grows with the members, not with their pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.llm.components import components
+from gazeframe.llm.components import components, contract
 from gazeframe.llm.words import U, Words, groups, mix, slices, window_rows, windows
 from gazeframe.session import durable, scratch_path
 
@@ -33,7 +33,8 @@ SHINGLE = 5
 LEAST_PERCENT = 75
 REGISTERS, BANDS, ROWS = 256, 64, 4
 MANTISSA = 10
-BLOCK = 1024
+#: Members of a band group or family that one task holds at once, from each of two sides.
+BLOCK = 512
 _REST = 56  # bits of the hash below the bucket number
 _EMPTY = np.uint16(0xFFFF)
 #: For each register, its order of preference among the buckets it may borrow from.
@@ -139,36 +140,89 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs across components within one block, or between two, of one band group.
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the two blocks that meet in a group; the same ones if a block meets itself."""
+    own, low = np.asarray(group.column("own")), group.column("i")[0].as_py()
+    if low == group.column("j")[0].as_py():
+        rows = np.arange(group.num_rows)
+        return rows, rows, True
+    return np.flatnonzero(own == low), np.flatnonzero(own != low), False
+
+
+def _plausible_pairs(group: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of one block, the plausible rows of other components in the other, with equal registers."""
+    label, n = np.asarray(group.column("label")), np.asarray(group.column("n"))
+    if (label == label[0]).all():
+        return
+    regs = _unpack(group.column("registers"))
+    left, right, inner = _sides(group)
+    for x in left.tolist():
+        other = right[label[right] != label[x]]
+        if inner:
+            other = other[other > x]
+        if len(other):
+            same = (regs[other] == regs[x]).sum(axis=1)
+            ok = plausible(same, np.full(len(other), n[x]), n[other])
+            if ok.any():
+                yield x, other[ok], same[ok]
 
-    ``best``: for each member only the partner with the most equal registers.
-    """
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components that plausible pairs of one band group span, as stars of their labels."""
     for group in groups(batches, ["band", "i", "j"]):
-        rep, label, n, own = (np.asarray(group.column(c)) for c in ("rep", "label", "n", "own"))
-        if (label == label[0]).all():
+        label = np.asarray(group.column("label"))
+        ends = [(np.full(len(o), label[x]), label[o]) for x, o, _ in _plausible_pairs(group)]
+        if ends:
+            nodes, least = contract(*(np.concatenate(side) for side in zip(*ends, strict=True)))
+            keep = nodes != least
+            yield _pairs_batch(list(zip(nodes[keep].tolist(), least[keep].tolist(), strict=True)))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components of one family across two blocks, likeliest pairs first."""
+    for group in groups(batches, ["family", "i", "j"]):
+        rep, label = group.column("rep").to_pylist(), group.column("label").to_pylist()
+        found = [(np.full(len(o), x), o, same) for x, o, same in _plausible_pairs(group)]
+        if not found:
             continue
-        regs = _unpack(group.column("registers"))
-        low = group.column("i")[0].as_py()
-        inner = low == group.column("j")[0].as_py()
-        left = np.flatnonzero(own == low)
-        right = left if inner else np.flatnonzero(own != low)
-        found = []
-        for x in left:
-            other = right[label[right] != label[x]]
-            if inner and not best:
-                other = other[other > x]
-            if not len(other):
+        x, y, same = (np.concatenate(side) for side in zip(*found, strict=True))
+        order = np.argsort(-same, kind="stable")
+        texts, sets = group.column("text"), {}
+        parent = {k: k for k in label}
+
+        def root(k, parent=parent):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        links = []
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            one, other = root(label[i]), root(label[j])
+            if one == other:
                 continue
-            same = (regs[other] == regs[x]).sum(axis=1)
-            ok = plausible(same, np.full(len(other), n[x]), n[other])
-            other, same = other[ok], same[ok]
-            if best and len(other):
-                top = [int(np.argmax(same))]
-                other, same = other[top], same[top]
-            found.append(np.stack([np.full(len(other), rep[x]), rep[other], same], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].astype(np.int64)) for i in range(3)], names=["x", "y", "same"])
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_sets(Words(texts.slice(k, 1), lower=True))[0]
+            if similar(sets[i], sets[j]):
+                parent[one] = other
+                links.append((rep[i], rep[j]))
+        if links:
+            yield _pairs_batch(links)
+
+
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets reach the least similarity."""
+    if not len(one) or not len(other):
+        return False
+    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    both = int((one[at] == other).sum())
+    return 100 * both >= LEAST_PERCENT * (len(one) + len(other) - both)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +245,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = shingle_sets(Words(a_texts.slice(i, 1), lower=True))[0]
                 last = a_ids[i]
             other = shingle_sets(Words(b_texts.slice(i, 1), lower=True))[0]
-            if len(held) and len(other):
-                at = np.minimum(np.searchsorted(held, other), len(held) - 1)
-                both = int((held[at] == other).sum())
-                keep[i] = 100 * both >= LEAST_PERCENT * (len(held) + len(other) - both)
+            keep[i] = similar(held, other)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -211,27 +262,46 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(joined, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
 
 
-def _cross_pairs(now: DataFrame, regs: DataFrame, best: bool) -> DataFrame:
-    """Plausible pairs of members of one band group with different labels."""
-    spark = now.sparkSession
+def _dealt(rows: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
+    """Run ``step`` over each group of ``keys``, one group at a time in a task's sorted stream."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(step, schema)
+
+
+def _meeting(own: Column, others: Column) -> list[Column]:
+    """Block numbers of a row, once for each block that its own one meets."""
+    other = F.explode(others)
+    return [own.alias("own"), other.alias("other")]
+
+
+def _family_edges(now: DataFrame, regs: DataFrame) -> DataFrame:
+    """Labels that a plausible pair of one band group spans."""
     mixed = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
     mixed = mixed.where("lo < hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (
-        now.join(mixed, "band")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
-        .join(regs, "rep")
-    )
-    pairs = (
-        dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(partial(_block_pairs, best=best), "x bigint, y bigint, same bigint")
+    met = now.join(mixed, "band").select("band", "rep", "label", *_meeting(own, F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
+    return _dealt(met.join(regs, "rep"), ["band", "i", "j"], _families, "a bigint, b bigint")
+
+
+def _family_links(now: DataFrame, families: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact links between the components of each family.
+
+    The largest component's members never meet each other: they are known to be joined.
+    """
+    rows = now.select("rep", "label").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label")
+    sizes = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("family").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")
     )
-    if best:
-        pairs = pairs.groupBy("x").agg(F.max(F.struct("same", "y"))["y"].alias("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest, main = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK), F.ceil(F.col("n_main") / BLOCK)
+    sizes = sizes.select("family", "main", rest.cast("int").alias("rest"), main.cast("int").alias("most"))
+    in_main, place = F.col("label") == F.col("main"), F.xxhash64("rep")
+    own = F.when(in_main, F.col("rest") + F.pmod(place, F.col("most"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
+    last = F.when(in_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    met = rows.join(sizes, "family").select("family", "rep", "label", *_meeting(own, F.sequence(F.lit(0), last)))
+    met = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
+    return _dealt(met.join(texts, "rep"), ["family", "i", "j"], _settle, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,11 +344,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tried = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = _linked(tried, texts)
-    for best in (True, True, False):
-        pairs = durable(_cross_pairs(_labelled(members, links), regs, best).join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        links = links.union(_linked(pairs, texts))
-    final = components(links, "a", "b")
+    labels = durable(_labelled(members, links))
+    families = components(_family_edges(labels, regs), "a", "b")
+    final = components(links.union(_family_links(labels, families, texts)), "a", "b")
 
     classes = reps.select(*per_set, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*per_set, F.coalesce("component", "rep").alias("component_id"))
