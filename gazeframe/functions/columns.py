@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,6 +52,19 @@ def check(value: Column, ok: Column, message: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
 
 
+def map_cut(df: DataFrame, threshold: float | str, column: str = "prob") -> str:
+    """A threshold (a number or a column name) in the precision its map is stored in, as SQL text.
+
+    A single-precision map must be compared in single precision, else values that equal the threshold
+    in the map lie above it after widening.
+    """
+    if not isinstance(threshold, str) and not 0 < threshold < 1:
+        raise ValueError("A prediction threshold lies between 0 and 1.")
+    value = f"`{threshold}`" if isinstance(threshold, str) else f"{float(threshold)!r}D"
+    single = df.schema[column].dataType.elementType == T.FloatType()
+    return f"float({value})" if single else value
+
+
 def unit_draw(salt: int, seed: int, *keys: Column) -> Column:
     """Deterministic value in [0, 1) from integer keys.
 

@@ -1,8 +1,8 @@
 """Binary masks as row runs, entirely inside one row's column expressions.
 
 A frame's mask is bounded by its own height and width, so everything that concerns one
-mask - labelling, hole filling, perimeter - is evaluated where the frame's row already
-is. No pixel leaves the row, hence no shuffle, whatever the number of frames.
+mask is evaluated where the frame's row already is. No pixel leaves the row, hence no shuffle, whatever
+the number of frames. :mod:`gazeframe.functions.labelling` continues from the runs.
 
 A run is ``struct(y, x0, x1)``, both ends inclusive, listed in row-major order. Expressions
 are composed as SQL text: a deep tree of column objects would cost one gateway call per node.
@@ -64,12 +64,6 @@ def run(y: str, x0: str, x1: str) -> str:
     return pack(y=f"int({y})", x0=f"int({x0})", x1=f"int({x1})")
 
 
-def _rows(lo: str, stop: str, body: Body, empty: str) -> str:
-    """``body`` over lo..stop-1, or an empty array of the given element type."""
-    some = body(f"sequence({lo}, {stop} - 1)")
-    return f"CASE WHEN {stop} > {lo} THEN {some} ELSE CAST(array() AS array<{empty}>) END"
-
-
 def foreground(pixels: str, is_set: Body) -> str:
     """Ascending flat indices of the set pixels of an array."""
     v, i = _new("p"), _new("i")
@@ -94,227 +88,10 @@ def runs_of(pixels: str, width: str) -> str:
     return bind(pixels, split)
 
 
-def linked(runs: str) -> str:
-    """Each run with the index range ``[plo, phi)`` of the runs in the row above it."""
-
-    def of_runs(a: str) -> str:
-        # How many runs lie above each row, from the row before the first one on.
-        above = each(
-            f"sequence(get({a}, 0).y - 1, get({a}, size({a}) - 1).y)",
-            lambda y: f"size({keep(a, lambda q: f'{q}.y < {y}')})",
-        )
-
-        def placed(starts: str) -> str:
-            row = lambda r: f"{r}.y - get({a}, 0).y"
-            return each(
-                a,
-                lambda r: pack(
-                    y=f"{r}.y",
-                    x0=f"{r}.x0",
-                    x1=f"{r}.x1",
-                    plo=f"get({starts}, {row(r)})",
-                    phi=f"get({starts}, {row(r)} + 1)",
-                ),
-            )
-
-        return bind(above, placed)
-
-    return bind(runs, of_runs)
-
-
-def _resolved(labels: str, moves: str) -> str:
-    """Labels with every joined component renamed to the one it finally joined.
-
-    Parents are followed by doubling: each round halves the remaining distance.
-    """
-    parents = bind(
-        f"map_from_entries({moves})",
-        lambda m: each(
-            f"sequence(0, size({labels}) - 1)", lambda k: f"coalesce(try_element_at({m}, {k}), {k})"
-        ),
-    )
-    rounds = f"sequence(1, int(ceil(log2(size({labels}) + 1))))"
-    roots = fold(rounds, parents, lambda p, _: each(p, lambda v: f"get({p}, {v})"))
-    return bind(roots, lambda p: each(labels, lambda v: f"get({p}, {v})"))
-
-
-def labels_of(links: str, reach: int) -> str:
-    """Component label of every linked run: the index of the component's first run.
-
-    ``reach`` 1 joins runs that touch diagonally (8-connectivity), 0 only those that
-    share a column (4-connectivity). When a run joins components, only the labels of the
-    current and the previous row are renamed; older runs follow once, at the end.
-    """
-
-    def step(s: str, r: str) -> str:
-        labels = f"{s}.labels"
-
-        def near(rows: str) -> str:
-            hits = keep(
-                rows,
-                lambda j: f"get({links}, {j}).x0 <= {r}.x1 + {reach} "
-                f"AND get({links}, {j}).x1 >= {r}.x0 - {reach}",
-            )
-            return f"array_distinct({each(hits, lambda j: f'get({labels}, {j})')})"
-
-        def merge(t: str) -> str:
-            low = f"array_min({t})"
-            active = f"slice({labels}, {r}.plo + 1, size({labels}) - {r}.plo)"
-            renamed = each(active, lambda v: f"CASE WHEN array_contains({t}, {v}) THEN {low} ELSE {v} END")
-            joined = keep(t, lambda v: f"{v} > {low}")
-            several = f"size({t}) > 1"
-            return pack(
-                labels=f"array_append(CASE WHEN {several} THEN concat(slice({labels}, 1, {r}.plo), {renamed}) "
-                f"ELSE {labels} END, coalesce({low}, size({labels})))",
-                moves=f"CASE WHEN {several} THEN concat({s}.moves, {each(joined, lambda v: pack(a=v, b=low))}) "
-                f"ELSE {s}.moves END",
-            )
-
-        return bind(_rows(f"{r}.plo", f"{r}.phi", near, "int"), merge)
-
-    zero = pack(labels="CAST(array() AS array<int>)", moves="CAST(array() AS array<struct<a:int,b:int>>)")
-    return fold(
-        links,
-        zero,
-        step,
-        lambda f: f"CASE WHEN size({f}.moves) = 0 THEN {f}.labels ELSE {_resolved(f'{f}.labels', f'{f}.moves')} END",
-    )
-
-
-def component_areas(links: str, labels: str) -> str:
-    """``array<struct(label, area)>``, one entry per component, in label order."""
-    sized = pairwise(links, labels, lambda r, v: pack(label=v, area=f"{r}.x1 - {r}.x0 + 1"))
-
-    def step(out: str, c: str) -> str:
-        last = f"get({out}, size({out}) - 1)"
-        grown = pack(label=f"{c}.label", area=f"{last}.area + {c}.area")
-        return (
-            f"CASE WHEN {last}.label = {c}.label THEN "
-            f"array_append(slice({out}, 1, size({out}) - 1), {grown}) "
-            f"ELSE array_append({out}, {c}) END"
-        )
-
-    return fold(f"sort_array({sized})", "CAST(array() AS array<struct<label:int,area:int>>)", step)
-
-
 def area_of(runs: str) -> str:
     return fold(runs, "0", lambda s, r: f"{s} + {r}.x1 - {r}.x0 + 1")
 
 
-def _overlap(a0: str, a1: str, b0: str, b1: str) -> str:
-    return f"greatest(0, least({a1}, {b1}) - greatest({a0}, {b0}) + 1)"
-
-
-def _contact(a: str, b: str) -> str:
-    """Counts for two runs in adjacent rows.
-
-    ``straight`` and ``diagonal`` are the pair's share of the border length in units of 1
-    and of sqrt(2). They follow from counting 2x2 windows: a window with exactly two
-    adjacent pixels holds a straight border step, one with three a diagonal step, one with
-    two opposite pixels two diagonal steps.
-    """
-    counts = pack(
-        shared=_overlap(f"{a}.x0", f"{a}.x1", f"{b}.x0", f"{b}.x1"),
-        corner=f"int({a}.x1 + 1 = {b}.x0) + int({b}.x1 + 1 = {a}.x0)",
-        slanted=_overlap(f"{a}.x0 + 1", f"{a}.x1 + 1", f"{b}.x0", f"{b}.x1")
-        + " + "
-        + _overlap(f"{a}.x0 - 1", f"{a}.x1 - 1", f"{b}.x0", f"{b}.x1"),
-        edges=f"int({a}.x0 <= {b}.x1 + 1 AND {a}.x1 >= {b}.x0 - 1)",
-    )
-
-    def totals(c: str) -> str:
-        full = f"greatest(0, {c}.shared - 1)"
-        three = f"({c}.slanted - {c}.corner - 2 * {full})"
-        return pack(
-            straight=f"2 * {c}.shared - 2 * {three} - 4 * {full}",
-            diagonal=f"{three} + 2 * {c}.corner",
-            edges=f"{c}.edges",
-        )
-
-    return bind(counts, totals)
-
-
-def outline(links: str) -> str:
-    """``struct(straight, diagonal, edges)`` summed over a linked run list."""
-    names = ("straight", "diagonal", "edges")
-
-    def add(s: str, c: str) -> str:
-        return pack(**{n: f"{s}.{n} + {c}.{n}" for n in names})
-
-    def step(s: str, r: str) -> str:
-        contacts = _rows(
-            f"{r}.plo",
-            f"{r}.phi",
-            lambda rows: each(rows, lambda j: bind(f"get({links}, {j})", lambda a: _contact(a, r))),
-            "struct<straight:int,diagonal:int,edges:int>",
-        )
-        own = pack(
-            straight=f"{s}.straight + 2 * ({r}.x1 - {r}.x0)", diagonal=f"{s}.diagonal", edges=f"{s}.edges"
-        )
-        return fold(contacts, own, add)
-
-    return fold(links, pack(straight="0", diagonal="0", edges="0"), step)
-
-
-def _gaps(runs: str, y: str, box: str) -> str:
-    """Background runs of row ``y`` inside the box."""
-    return bind(
-        keep(runs, lambda r: f"{r}.y = {y}"),
-        lambda own: pairwise(
-            f"concat(array({box}.left), {each(own, lambda r: f'{r}.x1 + 1')})",
-            f"concat({each(own, lambda r: f'{r}.x0 - 1')}, array({box}.right))",
-            lambda a, b: run(y, a, b),
-        ),
-    )
-
-
-def _between(outer: str, y: str) -> str:
-    """What lies between the outer gaps of row ``y``."""
-    return bind(
-        keep(outer, lambda r: f"{r}.y = {y}"),
-        lambda p: pairwise(
-            f"slice({p}, 1, size({p}) - 1)",
-            f"slice({p}, 2, size({p}) - 1)",
-            lambda a, b: run(y, f"{a}.x1 + 1", f"{b}.x0 - 1"),
-        ),
-    )
-
-
-def background(runs: str) -> str:
-    """Background runs of a non-empty mask inside its box widened by one pixel."""
-
-    def of_runs(a: str) -> str:
-        edge = lambda kind, part: f"array_{kind}({each(a, lambda r: f'{r}.{part}')})"
-        box = pack(
-            rows=f"sequence({edge('min', 'y')} - 1, {edge('max', 'y')} + 1)",
-            left=f"{edge('min', 'x0')} - 1",
-            right=f"{edge('max', 'x1')} + 1",
-        )
-        return bind(box, lambda b: f"flatten({each(f'{b}.rows', lambda y: _gaps(a, y, b))})")
-
-    return bind(runs, of_runs)
-
-
-def outside(links: str) -> str:
-    """The linked background runs that reach the first one, the margin, through pixel edges.
-
-    All other background lies in holes.
-    """
-    return bind(
-        labels_of(links, 0), lambda labels: keep_at(links, lambda r, k: f"get({labels}, {k}) = 0")
-    )
-
-
-def enclosed(outer: str) -> str:
-    """Runs of the mask with every hole closed: whatever lies between outside runs."""
-    rows = f"sequence(get({outer}, 0).y, get({outer}, size({outer}) - 1).y)"
-    return f"flatten({each(rows, lambda y: _between(outer, y))})"
-
-
-def length(shape: str) -> str:
-    return f"({shape}.straight + {math.sqrt(2.0)!r}D * {shape}.diagonal)"
-
-
 def circularity(area: str, border: str) -> str:
     ratio = f"{4.0 * math.pi!r}D * {area} / ({border} * {border})"
     return f"CASE WHEN {border} > 0 THEN {ratio} ELSE 0D END"

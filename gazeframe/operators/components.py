@@ -1,8 +1,8 @@
 """Run-based mask steps, one column at a time.
 
-Each step is a column of its own rather than one deep expression: Spark resolves nested
-lambdas level by level, and short steps keep both that and the plan small. Steps are row-local
-and pipeline in one stage.
+Runs are found by column expressions; what needs the runs of several rows together, labels and borders,
+goes through Arrow batches of runs, a small part of the map. Each step is a column of its own,
+evaluated once per row, and pipelines in one stage.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazeframe.functions import labelling as L
 from gazeframe.functions import runs as R
 from gazeframe.functions.columns import once
 
@@ -20,25 +21,12 @@ def step(df: DataFrame, **texts: str) -> DataFrame:
 
 
 def with_components(df: DataFrame, foreground: str, width: str) -> DataFrame:
-    """Adds ``_links``, ``_labels`` and ``_parts`` of the mask with the given pixels."""
-    df = step(df, _runs=R.runs_of(foreground, width))
-    df = step(df, _links=R.linked("_runs"))
-    df = step(df, _labels=R.labels_of("_links", 1))
-    return step(df, _parts=R.component_areas("_links", "_labels"))
-
-
-def with_border(df: DataFrame, links: str, components: str) -> DataFrame:
-    """Adds ``_border``, the length of the outer borders through pixel centres.
-
-    Diagonal steps count sqrt(2). In the graph of touching runs each independent cycle
-    encloses one hole, so a mask whose edges equal runs minus components needs no filling,
-    which is nearly every real mask.
-    """
-    df = step(df, _outline=R.outline(links))
-    holes = f"_outline.edges - size({links}) + {components} > 0"
-    df = step(df, _gaps=f"CASE WHEN {holes} THEN {R.background(links)} END")
-    df = step(df, _back=f"CASE WHEN _gaps IS NOT NULL THEN {R.linked('_gaps')} END")
-    df = step(df, _open=f"CASE WHEN _gaps IS NOT NULL THEN {R.outside('_back')} END")
-    df = step(df, _solid=f"CASE WHEN _gaps IS NOT NULL THEN {R.linked(R.enclosed('_open'))} END")
-    df = step(df, _shape=f"CASE WHEN _gaps IS NULL THEN _outline ELSE {R.outline('_solid')} END")
-    return df.withColumn("_border", F.expr(R.length("_shape")))
+    """Adds ``_links`` (the runs), ``_labels`` and ``_parts`` of the mask with the given pixels."""
+    df = step(df, _links=R.runs_of(foreground, width))
+    found = df.withColumn("_found", L.components(F.col("_links")))
+    return step(found, _labels="_found.labels", _parts="_found.parts").drop("_found")
+
+
+def with_border(df: DataFrame, runs: str) -> DataFrame:
+    """Adds ``_border``, the length of the outer borders through pixel centres, diagonal steps as sqrt(2)."""
+    return df.withColumn("_border", L.outer_border(F.col(runs)))

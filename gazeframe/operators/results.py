@@ -22,30 +22,49 @@ def unmatched_predictions(results: DataFrame, frames: DataFrame) -> DataFrame:
     return results.join(frames.select(*KEYS), KEYS, "left_anti")
 
 
-def _matched(results: DataFrame, frames: DataFrame, strict: bool) -> DataFrame:
-    if strict:
-        missing = unmatched_predictions(results, frames)
-        first = missing.agg(F.count(F.lit(1)).alias("n"), F.min("image_name").alias("name")).first()
-        if first.n:
-            raise KeyError(
-                f"{first.n} prediction(s) have no matching extracted frame, "
-                f"starting with {first.name!r}."
-            )
-    places = frames.select(*KEYS, "source_frame_index")
-    return results.join(places, KEYS)
+def result_violations(
+    results: DataFrame, frames: DataFrame, evidence: DataFrame | None = None
+) -> DataFrame:
+    """Predictions that no table can hold: ``recording_id, image_name, rule``.
+
+    ``no_frame``: the image is not among the frames. ``no_evidence``: ``evidence`` (a segmentation
+    or tracking table), if given, has no row for it.
+    """
+    broken = unmatched_predictions(results, frames).select(*KEYS, F.lit("no_frame").alias("rule"))
+    if evidence is not None:
+        lacking = results.join(evidence.select(*KEYS), KEYS, "left_anti")
+        broken = broken.unionByName(lacking.select(*KEYS, F.lit("no_evidence").alias("rule")))
+    return broken
+
+
+def _meet(left: DataFrame, right: DataFrame, strict: bool, what: str) -> DataFrame:
+    """Join on the frame keys; with ``strict``, a row on the left without partner fails the job."""
+    if not strict:
+        return left.join(right, KEYS)
+    joined = left.join(right.withColumn("_met", F.lit(True)), KEYS, "left")
+    text = F.concat(F.lit(f"Prediction without {what}: "), "image_name")
+    name = F.when(F.col("_met"), F.col("image_name")).otherwise(F.raise_error(text))
+    return joined.withColumn("image_name", name).drop("_met")
+
+
+def _places(frames: DataFrame) -> DataFrame:
+    """One place for each frame name, the first if a name repeats, so that no prediction multiplies."""
+    return frames.groupBy(*KEYS).agg(F.min("source_frame_index").alias("source_frame_index"))
 
 
 def diameter_table(
     results: DataFrame,
     frames: DataFrame,
     segmentation: DataFrame | None = None,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """One row per prediction with its status; ``frame_number`` is one-based.
 
-    With a segmentation table the diameters come from it; without one nothing was judged.
+    With a segmentation table the diameters come from it; without one nothing was judged. A
+    prediction without frame or segmentation row fails the job when the table is computed;
+    ``strict=False`` leaves it out, and :func:`result_violations` lists it.
     """
-    matched = _matched(results, frames, strict)
+    matched = _meet(results, _places(frames), strict, "frame")
     numbered = (F.col("source_frame_index") + 1).alias("frame_number")
     if segmentation is None:
         table = (
@@ -57,7 +76,7 @@ def diameter_table(
         evidence = segmentation.select(
             *KEYS, *S.DIAMETER_COLUMNS[1:4], "segmentation_valid", "quality_reason"
         )
-        table = matched.select(*KEYS, "source_frame_index").join(evidence, KEYS)
+        table = _meet(matched.select(*KEYS, "source_frame_index"), evidence, strict, "segmentation row")
     table = tracking_status(table, "segmentation_status").withColumn(
         "quality_reason", F.coalesce("quality_reason", F.lit(""))
     )
@@ -78,12 +97,12 @@ def velocity_columns(tracked: DataFrame) -> DataFrame:
 
 
 def velocity_table(
-    results: DataFrame, frames: DataFrame, tracked: DataFrame, strict: bool = False
+    results: DataFrame, frames: DataFrame, tracked: DataFrame, strict: bool = True
 ) -> DataFrame:
-    """One row per prediction with centre, speed and status."""
+    """One row per prediction with centre, speed and status; ``strict`` as in :func:`diameter_table`."""
     require_columns(tracked, ["segmentation_valid", "quality_reason"], "Tracking table")
-    matched = _matched(results, frames, strict).select(*KEYS)
-    return velocity_columns(tracked.join(matched, KEYS))
+    matched = _meet(results.select(*KEYS), _places(frames).select(*KEYS), strict, "frame")
+    return velocity_columns(_meet(matched, tracked, strict, "tracking row"))
 
 
 def plot_series(table: DataFrame) -> DataFrame:

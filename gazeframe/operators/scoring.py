@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazeframe.functions.columns import once, require_columns
-from gazeframe.functions.geometry import equivalent_diameter
+from gazeframe.operators.segmentation import binarize_area_diameter
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
@@ -61,5 +61,4 @@ def score_frames(
 
 def diameter_results(maps: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
     """Diameters alone, without any judgement of the masks."""
-    area = F.size(F.filter("prob", lambda p: p > threshold))
-    return maps.select(*keys, equivalent_diameter(area).alias("estimated_pupil_diameter"))
+    return binarize_area_diameter(maps, threshold).select(*keys, "estimated_pupil_diameter")

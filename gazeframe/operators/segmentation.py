@@ -2,7 +2,7 @@
 
 Input is one row per frame with ``prob`` (flat row-major array), ``map_height`` and
 ``map_width``, and for input-pixel results ``original_width`` and ``original_height``. All
-work stays inside the frame's row: these operators add no shuffle.
+work stays inside the frame's row: these operators add no shuffle. Only runs of set pixels go through Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,24 +15,16 @@ from gazeframe import schemas as S
 from gazeframe.functions import geometry as G
 from gazeframe.functions import quality as Q
 from gazeframe.functions import runs as R
-from gazeframe.functions.columns import once, require_columns
+from gazeframe.functions.columns import map_cut, once, require_columns
 from gazeframe.operators.components import step, with_border, with_components
 
 MAP_COLUMNS = ("prob", "map_height", "map_width")
 
-def _cut(df: DataFrame, threshold: float | str) -> str:
-    """The threshold in the precision the map is stored in: a number or a column."""
-    if not isinstance(threshold, str) and not 0 < threshold < 1:
-        raise ValueError("Prediction threshold must be between 0 and 1.")
-    value = f"`{threshold}`" if isinstance(threshold, str) else f"{float(threshold)!r}D"
-    single = df.schema["prob"].dataType.elementType == T.FloatType()
-    return f"float({value})" if single else value
-
 
 def _foreground(df: DataFrame, threshold: float | str, mask: str | None) -> str:
     """Foreground pixel indices; a supplied mask overrides the threshold."""
     fits = "size(prob) = map_height * map_width"
-    cut = _cut(df, threshold)
+    cut = map_cut(df, threshold)
     source, test = "prob", lambda p: f"{p} > {cut}"
     if mask is not None:
         source, test = f"`{mask}`", lambda m: f"{m} != 0"
@@ -49,7 +41,7 @@ def _foreground(df: DataFrame, threshold: float | str, mask: str | None) -> str:
 def binarize_area_diameter(df: DataFrame, threshold: float | str) -> DataFrame:
     """Foreground area over the whole map and its equivalent-circle diameter."""
     require_columns(df, MAP_COLUMNS, "Probability maps")
-    cut = F.expr(_cut(df, threshold))
+    cut = F.expr(map_cut(df, threshold))
     area = F.size(F.filter("prob", lambda p: p > cut))
     return once(df, foreground_area=area).withColumn(
         "estimated_pupil_diameter", G.equivalent_diameter(F.col("foreground_area"))
@@ -124,9 +116,9 @@ def component_evidence(
     found = with_components(df, _foreground(df, threshold, mask), "map_width")
     found = step(found, _best=_largest("_parts"))
     own = R.keep_at("_links", lambda r, k: f"get(_labels, {k}) = _best")
-    found = step(found, _chosen=R.linked(own))
+    found = step(found, _chosen=own)
     found = step(found, _w=_weights("_chosen"))
-    found = step(with_border(found, "_chosen", "1"), _area=R.area_of("_chosen"))
+    found = step(with_border(found, "_chosen"), _area=R.area_of("_chosen"))
     border = (
         "exists(_chosen, r -> r.y = 0 OR r.y = map_height - 1 OR r.x0 = 0 OR r.x1 = map_width - 1)"
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazeframe import schemas as S
 from gazeframe.functions.columns import once
@@ -21,7 +22,8 @@ from gazeframe.sources.catalog import frame_catalogue, index_frames
 
 @dataclass(frozen=True)
 class AnalysisResult:
-    """Lazy results; nothing runs until one of them is used."""
+    """Results as frames. Indexing image folders cuts its lineage durably when they are built; all
+    measuring waits until one of them is used."""
 
     table: DataFrame
     segmentation: DataFrame
@@ -31,11 +33,11 @@ class AnalysisResult:
 
 def _check(threshold: float, velocity: bool, fps: float | str | None, columns: list[str]) -> None:
     if not 0 < threshold < 1:
-        raise ValueError("pred_thresh must be between 0 and 1.")
+        raise ValueError("A prediction threshold lies between 0 and 1.")
     if isinstance(fps, (int, float)) and fps <= 0:
-        raise ValueError("acquisition_fps must be positive.")
+        raise ValueError("The acquisition rate must be above zero.")
     if velocity and fps is None and not {"acquisition_fps", "encoded_fps"} & set(columns):
-        raise ValueError("acquisition_fps is required with image folders in velocity mode.")
+        raise ValueError("Velocities of image folders need an acquisition rate.")
 
 
 def prepare_frames(frames: DataFrame, size: int = S.MODEL_SIZE) -> DataFrame:
@@ -54,14 +56,21 @@ def analyze_maps(
     calculate_velocity: bool = False,
     acquisition_fps: float | str | None = None,
     mask: str | None = None,
+    size: int = S.MODEL_SIZE,
 ) -> AnalysisResult:
     """Measure probability maps and assemble the diameter or the velocity table.
 
     Measurements already carry what the tables need, so no join is made; the only shuffle is
-    the one of the temporal rules.
+    the one of the temporal rules. ``size`` is the side of the scorer's input.
     """
     _check(threshold, calculate_velocity, acquisition_fps, maps.columns)
-    measured = measure_frames(maps, threshold, mask)
+    measured = measure_frames(maps, threshold, mask, model_size=size)
+    return _tables(measured, threshold, calculate_velocity, acquisition_fps)
+
+
+def _tables(
+    measured: DataFrame, threshold: float, calculate_velocity: bool, acquisition_fps: float | str | None
+) -> AnalysisResult:
     if calculate_velocity:
         tracked = track_frames(measured, acquisition_fps)
         return AnalysisResult(velocity_columns(tracked), tracked, tracked, threshold)
@@ -81,18 +90,21 @@ def analyze_frames(
     acquisition_fps: float | str | None = None,
     batch_size: int = 32,
     size: int = S.MODEL_SIZE,
+    listing: DataFrame | None = None,
 ) -> AnalysisResult:
-    """From scanned image folders: index the files, score, measure.
+    """From scanned image folders: score and measure in the scan, then join the file index.
 
-    The file index is made from names alone and joined to the pixels afterwards.
+    ``listing`` (:func:`gazeframe.sources.images.list_images` of the same folders) gives the names
+    without decoding a file; without it the names are read from ``images``. Pixels and maps are never shuffled:
+    only narrow measurements meet the index.
     """
     _check(threshold, calculate_velocity, acquisition_fps, images.columns)
     keys = ["recording_id", "image_name"]
-    index = index_frames(images.select(*keys)).select(*keys, "source_frame_index", "extraction_index")
+    names = (images if listing is None else listing).select(*keys)
+    index = index_frames(names).select(*keys, "source_frame_index", "extraction_index")
     maps = score_frames(prepare_frames(images, size), load_scorer, size, batch_size)
-    return analyze_maps(
-        maps.join(index, keys), threshold, calculate_velocity, acquisition_fps
-    )
+    measured = measure_frames(maps, threshold, model_size=size).join(index, keys)
+    return _tables(measured, threshold, calculate_velocity, acquisition_fps)
 
 
 def analyze_videos(
@@ -107,21 +119,30 @@ def analyze_videos(
 ) -> AnalysisResult:
     """From a video catalogue and the decoded frames it selects.
 
-    Velocity mode takes every frame; the container's rate is used unless another is given.
+    Velocity mode takes every frame, whatever cap the catalogue has. Each video's ``acquisition_fps`` is used, else the
+    container's rate, unless one is given for all. Images outside the catalogue are measured and
+    then dropped by the join, as only narrow measurements are shuffled; leave them out of ``images`` where they are many.
     """
     _check(threshold, calculate_velocity, acquisition_fps, [*videos.columns, *images.columns])
-    wanted = videos.withColumn("extract_all", F.lit(calculate_velocity)) if calculate_velocity else videos
-    frames = frame_catalogue(wanted).withColumnRenamed("video_name", "recording_id")
-    chosen = images.join(frames, ["recording_id", "image_name"])
-    maps = score_frames(prepare_frames(chosen, size), load_scorer, size, batch_size)
-    return analyze_maps(maps, threshold, calculate_velocity, acquisition_fps)
+    wanted = videos
+    if calculate_velocity:
+        wanted = videos.withColumn("extract_all", F.lit(True)).withColumn("max_frames", F.lit(None).cast("bigint"))
+    carry = ["acquisition_fps"] + ([acquisition_fps] if isinstance(acquisition_fps, str) else [])
+    frames = frame_catalogue(wanted, carry=tuple(dict.fromkeys(carry)))
+    frames = frames.withColumnRenamed("video_name", "recording_id")
+    maps = score_frames(prepare_frames(images, size), load_scorer, size, batch_size)
+    measured = measure_frames(maps, threshold, model_size=size)
+    shared = [c for c in frames.columns if c in measured.columns and c not in ("recording_id", "image_name")]
+    measured = measured.drop(*shared).join(frames, ["recording_id", "image_name"])
+    return _tables(measured, threshold, calculate_velocity, acquisition_fps)
 
 
 def overlay_frames(
     frames: DataFrame, threshold: float = S.DEFAULT_THRESHOLD, opacity: float = review.MASK_OPACITY
 ) -> DataFrame:
     """Overlay pixels of measured frames that still carry ``grey`` and ``prob``."""
+    single = frames.schema["prob"].dataType.elementType == T.FloatType()
     coded = once(
-        frames, confidence=F.transform("prob", lambda p: review.encode_confidence(p, threshold))
+        frames, confidence=F.transform("prob", lambda p: review.encode_confidence(p, threshold, single))
     )
     return review.center_marker(review.blend_overlay(coded, "grey", "confidence", opacity=opacity))

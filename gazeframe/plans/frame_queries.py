@@ -48,18 +48,18 @@ def experiment_name(spark, sf_dir):
 
 
 _SAMPLED = """
-counted AS (SELECT *, CASE WHEN extract_all THEN least(frame_count, max_frames)
-    ELSE greatest(1, least(frame_count, max_frames,
+counted AS (SELECT *, CASE WHEN extract_all THEN least(frame_count, coalesce(max_frames, frame_count))
+    ELSE greatest(1, least(frame_count, coalesce(max_frames, frame_count),
       round_even(frame_count / encoded_fps * least(extraction_fps, encoded_fps), 0)::BIGINT)) END AS n
   FROM videos),
-sampled AS (SELECT *, CASE WHEN extract_all THEN extraction_index WHEN n = 1 THEN 0
+sampled AS (SELECT *, extract_all AND n < frame_count AS truncated, CASE WHEN extract_all THEN extraction_index WHEN n = 1 THEN 0
     WHEN extraction_index = n - 1 THEN frame_count - 1
     ELSE floor(extraction_index * ((frame_count - 1) / (n - 1)))::BIGINT END AS source_frame_index
   FROM (SELECT *, unnest(range(n)) AS extraction_index FROM counted) c)"""
 
 
 @query(
-    "video_name:s extraction_index:i source_frame_index:i",
+    "video_name:s extraction_index:i source_frame_index:i truncated:b",
     "SELECT * FROM sampled",
     (V.VIDEOS_SQL, _SAMPLED),
 )
@@ -68,7 +68,7 @@ def sample_frame_indices(spark, sf_dir):
 
 
 @query(
-    "video_name:s image_name:s source_frame_index:i extraction_index:i encoded_fps:d",
+    "video_name:s image_name:s source_frame_index:i extraction_index:i encoded_fps:d truncated:b",
     """SELECT s.*, concat(video_name, '_', printf('%05d', source_frame_index + 1), '.png') AS image_name
        FROM sampled s LEFT JOIN unreadable u USING (video_name, source_frame_index)
        WHERE u.video_name IS NULL""",
@@ -219,6 +219,36 @@ def resolve_threshold(spark, sf_dir):
     return checkpoints.resolve_threshold(V.checkpoints(spark, sf_dir))
 
 
+@query(
+    "file_name:s prediction_threshold:d threshold_source:s",
+    """SELECT c.file_name, CASE WHEN c.file_name LIKE '%.json' THEN 0.7e0 ELSE coalesce(d.t, 0.7e0) END AS prediction_threshold,
+         CASE WHEN c.file_name NOT LIKE '%.json' AND d.t IS NOT NULL THEN 'metadata' ELSE 'fallback' END AS threshold_source
+       FROM (SELECT replace(file_name, 'thresh=', 'cut=') AS file_name FROM checkpoints) c
+       LEFT JOIN (SELECT regexp_replace(replace(file_name, 'thresh=', 'cut='), '[.][^.]*$', '') AS stem,
+                    CASE WHEN metadata_threshold < 1 THEN metadata_threshold END AS t FROM checkpoints WHERE metadata_threshold > 0) d
+         ON d.stem = regexp_replace(c.file_name, '[.][^.]*$', '')""",
+    (V.CHECKPOINTS_SQL,),
+)
+def checkpoint_thresholds(spark, sf_dir):
+    """Files and metadata documents joined by stem; names without a threshold of their own."""
+    plain = F.replace("file_name", F.lit("thresh="), F.lit("cut="))
+    files = V.checkpoints(spark, sf_dir).withColumn("file_name", plain)
+    documents = files.where("metadata_threshold IS NOT NULL").select(
+        F.concat(F.regexp_replace("file_name", r"[.][^.]*$", ""), F.lit(".json")).alias("metadata_file"),
+        F.col("metadata_threshold").alias("prediction_threshold"),
+    )
+    return checkpoints.resolve_threshold(checkpoints.with_metadata(files.select("file_name"), documents))
+
+
+@query(
+    "file_name:s prediction_threshold:d threshold_source:s",
+    "SELECT file_name, 0.65e0 AS prediction_threshold, 'requested' AS threshold_source FROM checkpoints",
+    (V.CHECKPOINTS_SQL,),
+)
+def resolve_threshold_requested(spark, sf_dir):
+    return checkpoints.resolve_threshold(V.checkpoints(spark, sf_dir), requested=0.65)
+
+
 @query(
     "stem:s n_chars:i quality:i",
     "SELECT * FROM images JOIN masks USING (stem)",
@@ -287,19 +317,27 @@ def manifest_contract(spark, sf_dir):
          WHERE category = 'velocity' AND acquisition_fps_hz IS DISTINCT FROM '97' GROUP BY category
        UNION ALL SELECT 'missing_mask', category, count(*) FROM manifest
          WHERE category = 'cropped' AND mask_path = '' GROUP BY category
-       UNION ALL SELECT 'suffixes_not_consecutive', category, count(*) - count(DISTINCT source_frame_suffix)
-         FROM manifest WHERE category IN ('velocity', 'raw') GROUP BY category
-         HAVING max(source_frame_suffix::BIGINT) - min(source_frame_suffix::BIGINT) + 1 <> count(DISTINCT source_frame_suffix)
-           OR count(*) <> count(DISTINCT source_frame_suffix)""",
-    (_MANIFEST,),
+       UNION ALL SELECT 'suffixes_missing', category, max(n) - min(n) + 1 - count(DISTINCT n) FROM suffixes GROUP BY category
+         HAVING max(n) - min(n) + 1 > count(DISTINCT n)
+       UNION ALL SELECT 'suffixes_repeated', category, count(*) - count(DISTINCT n) FROM suffixes GROUP BY category
+         HAVING count(*) > count(DISTINCT n)
+       UNION ALL SELECT 'wrong_row_count', w.category, count(m.category) FROM (VALUES ('cropped', 5), ('absent', 3)) AS w(category, n)
+         LEFT JOIN manifest m USING (category) GROUP BY w.category, w.n HAVING count(m.category) <> w.n""",
+    (_MANIFEST, """
+suffixes AS (SELECT category, source_frame_suffix::BIGINT * (CASE WHEN category = 'raw' THEN 2 ELSE 1 END) // (CASE WHEN category = 'raw' THEN 1 ELSE 2 END) AS n
+  FROM manifest WHERE category IN ('velocity', 'raw'))"""),
 )
 def manifest_violations(spark, sf_dir):
+    # Raw frames skip every other suffix, velocity frames have each twice.
+    number, kind = F.col("source_frame_suffix").cast("bigint"), F.col("category")
+    spaced = F.when(kind == "raw", number * 2).when(kind == "velocity", F.expr("source_frame_suffix div 2")).otherwise(number)
     return tables.manifest_violations(
-        _manifest(spark, sf_dir),
+        _manifest(spark, sf_dir).withColumn("source_frame_suffix", spaced.cast("string")),
         ["cropped", "raw", "velocity"],
         {"velocity": "97"},
         consecutive=("velocity", "raw"),
         masked=("cropped",),
+        rows_by_category={"cropped": 5, "absent": 3},
     )
 
 
@@ -441,6 +479,33 @@ def diameter_table_unevaluated(spark, sf_dir):
     return results.diameter_table(*_results(spark, sf_dir))
 
 
+@query(
+    "recording_id:i image_name:s rule:s",
+    """SELECT recording_id, image_name, 'no_frame' AS rule FROM measurements WHERE source_frame_index % 11 = 4
+       UNION ALL SELECT recording_id, image_name, 'no_evidence' FROM measurements WHERE source_frame_index % 13 = 5""",
+    (V.MEASUREMENTS_SQL,),
+)
+def result_violations(spark, sf_dir):
+    predictions, frames = _results(spark, sf_dir)
+    rows = V.measurements(spark, sf_dir)
+    return results.result_violations(
+        predictions, frames.where("source_frame_index % 11 <> 4"), rows.where("source_frame_index % 13 <> 5")
+    )
+
+
+@query(
+    _VELOCITY + " frame_number:i",
+    "SELECT * FROM tracked WHERE source_frame_index % 11 <> 4 AND source_frame_index % 13 <> 5",
+    TRACKING,
+)
+def velocity_table_lenient(spark, sf_dir):
+    """Unmatched predictions left out on request; repeated frame names multiply nothing."""
+    predictions, frames = _results(spark, sf_dir)
+    tracked = motion.track_frames(V.measurements(spark, sf_dir)).where("source_frame_index % 13 <> 5")
+    present = frames.where("source_frame_index % 11 <> 4")
+    return results.velocity_table(predictions, present.union(present), tracked, strict=False)
+
+
 @query(_VELOCITY + " frame_number:i", "SELECT * FROM tracked", TRACKING)
 def velocity_table(spark, sf_dir):
     tracked = motion.track_frames(V.measurements(spark, sf_dir))

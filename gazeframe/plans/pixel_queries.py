@@ -6,11 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gazeframe.functions import geometry as G
+from gazeframe.functions.columns import once
 from gazeframe.operators import review, scoring
 from gazeframe.operators import segmentation as seg
+from gazeframe.operators import validation as val
 from gazeframe.operators.augment import resize_with_pad as resize_op
 from gazeframe.plans import analysis
 from gazeframe.plans import stand_ins as V
+from gazeframe.plans.frame_queries import _INDEXED as INDEXED
 from gazeframe.plans.frame_queries import _STATUS, _VISIBILITY
 from gazeframe.plans.registry import query
 
@@ -156,7 +159,7 @@ def diameter_results(spark, sf_dir):
 # --- components -------------------------------------------------------------------------
 
 
-def component_ctes(foreground: str) -> str:
+def component_ctes(foreground: str, model: int = 148) -> str:
     """Component measurements of the pixels chosen by ``foreground``, pixel by pixel."""
     return f"""
 fg AS (SELECT frame_id, y, x, p FROM ({foreground}) f),
@@ -190,8 +193,8 @@ judged AS (SELECT *, CASE WHEN component_count = 0 THEN 'empty_mask' ELSE concat
       OR component_touches_border) AS segmentation_valid FROM evidence),
 fitted AS (SELECT *, CASE WHEN w >= h THEN 8 ELSE round_even(w * 8 / h, 0)::BIGINT END AS rw,
     CASE WHEN w >= h THEN round_even(h * 8 / w, 0)::BIGINT ELSE 8 END AS rh,
-    CASE WHEN w >= h THEN 148 ELSE round_even(w * 148 / h, 0)::BIGINT END AS mw,
-    CASE WHEN w >= h THEN round_even(h * 148 / w, 0)::BIGINT ELSE 148 END AS mh FROM judged),
+    CASE WHEN w >= h THEN {model} ELSE round_even(w * {model} / h, 0)::BIGINT END AS mw,
+    CASE WHEN w >= h THEN round_even(h * {model} / w, 0)::BIGINT ELSE {model} END AS mh FROM judged),
 measured AS (SELECT *, (raw_center_x_model_pixels - (8 - rw) // 2) / (rw / w) AS raw_center_x_pixels,
     (raw_center_y_model_pixels - (8 - rh) // 2) / (rh / h) AS raw_center_y_pixels,
     sqrt(4 / pi() * foreground_area) AS estimated_pupil_diameter,
@@ -350,22 +353,140 @@ def run_analysis_velocity(spark, sf_dir):
     return analysis.analyze_maps(maps, 0.7, True, 10.0).table
 
 
-@query("recording_id:i frame_number:i image_name:s estimated_pupil_diameter:d segmentation_status:s quality_reason:s")
-def run_analysis_images(spark, sf_dir):
-    """Files of every folder, each showing one of the grey images, through the whole flow."""
-    files = V.image_files(spark, sf_dir)
-    count = V.table(spark, sf_dir, "embeddings").select(F.max("vec_id") + 1).scalar()
-    shown = files.select(
-        "recording_id", "image_name", F.pmod(F.hash("image_name"), count).alias("frame_id")
-    )
-    images = shown.join(V.grey(spark, sf_dir), "frame_id").select(
-        "recording_id",
-        "image_name",
+# The stand-in scorer over grey images of the scorer's own size, in its single precision.
+SCORED = (
+    V.GREY_SQL,
+    """
+pixels AS (SELECT frame_id, y, x, i, 8 AS original_width, 8 AS original_height,
+    1 / (1 + exp(-(((0.5::FLOAT - (g / 255)::FLOAT) * 16::FLOAT)::DOUBLE))) AS p FROM grey)""",
+    component_ctes("SELECT * FROM pixels WHERE p > 0.7e0", model=8),
+)
+_SHOWN = """
+shown AS (SELECT recording_id, image_name, doc_id % (SELECT count(*) FROM embeddings) AS frame_id FROM image_files)"""
+
+
+def _grey_images(spark, sf_dir, files):
+    """Files with a ``frame_id``, each showing that grey image."""
+    return files.join(V.grey(spark, sf_dir), "frame_id").select(
+        *[c for c in files.columns if c != "frame_id"],
         F.col("image").alias("pixels"),
         F.lit(8).alias("original_width"),
         F.lit(8).alias("original_height"),
     )
-    return analysis.analyze_frames(images, _contrast_scorer, size=12).table
+
+
+@query(
+    "recording_id:i frame_number:i image_name:s estimated_pupil_diameter:d "
+    "pupil_diameter_input_pixels:d pupil_visibility:s segmentation_status:s quality_reason:s",
+    f"""SELECT *, source_frame_index + 1 AS frame_number, {_STATUS} AS segmentation_status
+        FROM shown JOIN indexed USING (recording_id, image_name) JOIN measured USING (frame_id)""",
+    (V.IMAGE_FILES_SQL, INDEXED, _SHOWN, *SCORED),
+)
+def run_analysis_images(spark, sf_dir):
+    """Files of every folder through the whole flow; every grey image is shown as often as files come round."""
+    count = V.table(spark, sf_dir, "embeddings").count()
+    files = V.image_files(spark, sf_dir)
+    shown = files.select("recording_id", "image_name", (F.col("doc_id") % count).alias("frame_id"))
+    images = _grey_images(spark, sf_dir, shown)
+    return analysis.analyze_frames(images, _contrast_scorer, size=8, listing=files).table
+
+
+@query(
+    "recording_id:s frame_number:i image_name:s timestamp_seconds:d center_x_pixels:d center_y_pixels:d "
+    "speed_pixels_per_second:d tracking_status:s",
+    f"""SELECT *, n + 1 AS frame_number, n / fps AS timestamp_seconds, CASE WHEN lag(segmentation_valid) OVER w AND segmentation_valid THEN
+            sqrt(pow((center_x_pixels - lag(center_x_pixels) OVER w) / (n / fps - lag(n / fps) OVER w), 2)
+               + pow((center_y_pixels - lag(center_y_pixels) OVER w) / (n / fps - lag(n / fps) OVER w), 2)) END AS speed_pixels_per_second,
+          {_STATUS} AS tracking_status FROM frames WINDOW w AS (PARTITION BY recording_id ORDER BY n)""",
+    (
+        *SCORED,
+        """
+filmed AS (SELECT concat('cam', s_suppkey) AS recording_id, n, (s_suppkey * 7 + n) % (SELECT count(*) FROM embeddings) AS frame_id,
+    concat('cam', s_suppkey, '_', printf('%05d', n + 1), '.png') AS image_name,
+    CASE WHEN s_suppkey % 3 = 0 THEN 10 ELSE 5 + s_suppkey % 20 END::DOUBLE AS fps
+  FROM (SELECT *, unnest(range(1 + s_suppkey % 30)) AS n FROM supplier) s),
+numbered AS (SELECT * FROM filmed JOIN measured USING (frame_id)),
+nearby AS (SELECT a.recording_id, a.n, median(b.selected_component_area) AS med FROM numbered a JOIN numbered b
+  ON a.recording_id = b.recording_id AND abs(a.n - b.n) <= greatest(1, round_even(a.fps * 0.5e0, 0)) AND a.n <> b.n
+  WHERE a.segmentation_valid AND b.segmentation_valid GROUP BY ALL HAVING count(*) >= 4),
+frames AS (SELECT m.* EXCLUDE (quality_reason),
+    CASE WHEN selected_component_area / med < 0.65e0 OR selected_component_area / med > 2
+      THEN concat_ws(';', nullif(quality_reason, ''), 'abrupt_area_change') ELSE quality_reason END AS quality_reason,
+    CASE WHEN segmentation_valid THEN raw_center_x_pixels END AS center_x_pixels,
+    CASE WHEN segmentation_valid THEN raw_center_y_pixels END AS center_y_pixels
+  FROM numbered m LEFT JOIN nearby USING (recording_id, n))""",
+    ),
+)
+def run_analysis_videos(spark, sf_dir):
+    """Videos with an acquisition rate of their own, or none; a cap does not cut a velocity run."""
+    count = V.table(spark, sf_dir, "embeddings").count()
+    key = F.col("s_suppkey")
+    cameras = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("cam"), key).alias("video_name"))
+    videos = cameras.select(
+        "video_name",
+        (1 + key % 30).alias("frame_count"),
+        (5 + key % 20).cast("double").alias("encoded_fps"),
+        F.when(key % 3 == 0, 10.0).alias("acquisition_fps"),
+        F.lit(5.0).alias("extraction_fps"),
+        F.when(key % 4 == 0, 3).alias("max_frames"),
+        F.lit(False).alias("extract_all"),
+    )
+    n = F.col("n")
+    # One image more than the video has frames.
+    files = cameras.withColumn("n", F.explode(F.sequence(F.lit(0), (1 + key % 30).cast("int")))).select(
+        F.col("video_name").alias("recording_id"),
+        F.format_string("%s_%05d.png", "video_name", n + 1).alias("image_name"),
+        ((key * 7 + n) % count).alias("frame_id"),
+    )
+    images = _grey_images(spark, sf_dir, files)
+    return analysis.analyze_videos(videos, images, _contrast_scorer, 0.7, True, size=8).table
+
+
+_SINGLE = """
+singles AS (SELECT frame_id, i, t, threshold, CASE WHEN i % 5 = 0 THEN 0.6e0 WHEN i % 7 = 0 THEN 0.7e0 ELSE p END::FLOAT AS p
+  FROM pixels JOIN targets USING (frame_id, i), (VALUES (0.6e0), (0.7e0)) AS c(threshold)),
+counted AS (SELECT frame_id, threshold, count(*) FILTER (p > threshold::FLOAT) AS a, sum(t)::BIGINT AS t,
+    count(*) FILTER (p > threshold::FLOAT AND t > 0) AS met,
+    sum(CASE WHEN p > threshold::FLOAT THEN least(255, greatest(1, round_even((p::DOUBLE - threshold) / (1e0 - threshold) * 254, 0) + 1)) ELSE 0 END)::BIGINT AS codes
+  FROM singles GROUP BY ALL),
+rated AS (SELECT *, CASE WHEN a + t - met > 0 THEN met / (a + t - met + 1e-6) ELSE 1 END AS iou FROM counted)"""
+SINGLE = (V.PIXELS_SQL, V.TARGETS_SQL, _SINGLE)
+
+
+def _coder(threshold):
+    return lambda p: review.encode_confidence(p, threshold, single=True)
+
+
+def _single_maps(spark, sf_dir):
+    """Single-precision maps with values on the thresholds."""
+    on = F.transform("prob", lambda p, i: F.when(i % 5 == 0, 0.6).when(i % 7 == 0, 0.7).otherwise(p).cast("float"))
+    return once(V.labelled_maps(spark, sf_dir), prob=on)
+
+
+@query(
+    "frame_id:i threshold:d foreground_area:i estimated_pupil_diameter:d iou:d codes:i",
+    "SELECT *, a AS foreground_area, sqrt(4 / pi() * a) AS estimated_pupil_diameter FROM rated",
+    SINGLE,
+)
+def single_precision_maps(spark, sf_dir):
+    maps = _single_maps(spark, sf_dir)
+    parts = []
+    for t in (0.6, 0.7):
+        code = F.transform("prob", _coder(t))
+        scored = val.overlap_scores(maps, t).withColumn("codes", F.aggregate(code, F.lit(0), lambda s, c: s + c))
+        sized = seg.binarize_area_diameter(scored, t).select("frame_id", "foreground_area", "iou", "codes")
+        plain = scoring.diameter_results(maps, t, ["frame_id"])
+        parts.append(sized.join(plain, "frame_id").withColumn("threshold", F.lit(t)))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "threshold:d macro_iou:d",
+    "SELECT threshold, avg(iou) AS macro_iou FROM rated GROUP BY threshold",
+    SINGLE,
+)
+def single_precision_sweep(spark, sf_dir):
+    return val.threshold_sweep(_single_maps(spark, sf_dir), "frame_id", (0.6, 0.7), 2.0, 3.0)
 
 
 # --- overlays ---------------------------------------------------------------------------

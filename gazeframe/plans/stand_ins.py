@@ -201,7 +201,7 @@ VIDEOS_SQL = """
 videos AS (
 SELECT concat('vid', o_orderkey) AS video_name, 1 + o_custkey % 60 AS frame_count,
        (5 + o_orderkey % 60)::DOUBLE AS encoded_fps, 5.0::DOUBLE AS extraction_fps,
-       CASE WHEN o_orderkey % 4 = 0 THEN 20 ELSE 10000 END AS max_frames,
+       CASE WHEN o_orderkey % 4 = 0 THEN 20 WHEN o_orderkey % 9 > 1 THEN 10000 END AS max_frames,
        o_orderkey % 5 = 0 AS extract_all FROM orders)"""
 
 
@@ -212,7 +212,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.col("o_custkey") % 60).alias("frame_count"),
         (5 + key % 60).cast("double").alias("encoded_fps"),
         F.lit(5.0).alias("extraction_fps"),
-        F.when(key % 4 == 0, 20).otherwise(10000).alias("max_frames"),
+        F.when(key % 4 == 0, 20).when(key % 9 > 1, 10000).alias("max_frames"),
         (key % 5 == 0).alias("extract_all"),
     )
 
@@ -223,7 +223,7 @@ SELECT CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 + doc_id % 10 END AS recording_id,
        CASE WHEN doc_id = 13 THEN 'cover.png'
             WHEN doc_id % 3 > 0 AND doc_id % 10 = 4 THEN concat('eye_', printf('%05d', doc_id - 4), '.png')
             WHEN doc_id % 3 > 0 AND doc_id % 10 = 7 THEN concat(lang, '_', md5(text), '-', doc_id, '-x.png')
-            ELSE concat('eye_', printf('%05d', doc_id + 1), '.png') END AS image_name
+            ELSE concat('eye_', printf('%05d', doc_id + 1), '.png') END AS image_name, doc_id
 FROM documents)"""
 
 
@@ -242,6 +242,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(plain(doc + 1))
         .alias("image_name"),
+        "doc_id",
     )
 
 

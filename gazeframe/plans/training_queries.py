@@ -172,8 +172,8 @@ def early_stop_replay(spark, sf_dir):
 
 
 @query(
-    "p_partkey:i run_name:s name_allowed:b learning_rate:d meets_promotion_target:b",
-    """SELECT p_partkey, name AS run_name, regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AS name_allowed,
+    "p_partkey:i run_name:s name_allowed:b learning_rate:d meets_promotion_target:b written_iou:d keeps_nulls:b",
+    """SELECT p_partkey, balanced_iou AS written_iou, TRUE AS keeps_nulls, name AS run_name, regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AS name_allowed,
          learning_rate, balanced_iou >= 0.85e0 AS meets_promotion_target
        FROM (SELECT *, coalesce(run_name, concat(CASE WHEN finetuned THEN 'ft' ELSE 'scratch' END,
                CASE WHEN balanced THEN '_bal' ELSE '_natural' END, '_lr',
@@ -183,7 +183,40 @@ def early_stop_replay(spark, sf_dir):
     (V.RUNS_SQL,),
 )
 def run_registry(spark, sf_dir):
-    return val.run_registry(V.runs(spark, sf_dir))
+    named = val.run_registry(V.runs(spark, sf_dir))
+    return named.withColumns(
+        {
+            "written_iou": F.get_json_object("metadata", "$.balanced_iou").cast("double"),
+            "keeps_nulls": F.col("metadata").contains('"size_iou":null,"low_circularity_iou":null'),
+        }
+    )
+
+
+@query(
+    "p_partkey:i rule:s",
+    """SELECT p_partkey, unnest(list_filter([
+         CASE WHEN p_size % 9 - 1 <= 0 THEN 'batch_size' END, CASE WHEN finetune_learning_rate - 1e-4 <= 0 THEN 'finetune_learning_rate' END,
+         CASE WHEN p_size % 7 - 2 < 0 THEN 'min_improvement' END, CASE WHEN p_size % 4 = 0 OR p_size > 32 THEN 'threshold_candidates' END,
+         CASE WHEN p_size >= 30 THEN 'tiny_max_diameter' END, CASE WHEN p_size / 40e0 > 1 THEN 'promotion_target_iou' END,
+         CASE WHEN run_name IS NOT NULL AND NOT regexp_matches(run_name, '^[A-Za-z0-9][A-Za-z0-9._-]*$') THEN 'run_name' END],
+         lambda v: v IS NOT NULL)) AS rule
+       FROM (SELECT r.*, p.p_size FROM runs r JOIN part p USING (p_partkey)) s""",
+    (V.RUNS_SQL,),
+)
+def config_violations(spark, sf_dir):
+    size = F.col("seed")
+    configs = V.runs(spark, sf_dir).select(
+        "p_partkey",
+        (size % 9 - 1).alias("batch_size"),
+        (F.col("finetune_learning_rate") - 1e-4).alias("finetune_learning_rate"),
+        (size % 7 - 2).alias("min_improvement"),
+        F.when(size % 4 == 0, F.array().cast("array<double>")).otherwise(F.array(F.lit(0.5), size / 33.0)).alias("threshold_candidates"),
+        size.alias("tiny_max_diameter"),
+        F.lit(30).alias("large_min_diameter"),
+        (size / 40.0).alias("promotion_target_iou"),
+        "run_name",
+    )
+    return val.config_violations(configs, "p_partkey")
 
 
 # --- augmentation -----------------------------------------------------------------------

@@ -22,6 +22,7 @@ LARGE_MIN_DIAMETER = 80.0
 SIZE_BINS = ("tiny", "medium", "large")
 STATUS_CODES = {"invalid": 0, "warning": 1, "valid": 2}
 
+# Fixed layouts of the output tables and of files read from outside.
 DIAMETER_COLUMNS = [
     "image_name",
     "estimated_pupil_diameter",
@@ -44,15 +45,6 @@ VELOCITY_COLUMNS = [
     "quality_reason",
 ]
 
-FRAMES = T.StructType(
-    [
-        T.StructField("recording_id", T.StringType(), False),
-        T.StructField("image_name", T.StringType(), False),
-        T.StructField("source_frame_index", T.LongType(), False),
-        T.StructField("extraction_index", T.LongType(), False),
-    ]
-)
-
 MANIFEST = T.StructType(
     [
         T.StructField(name, T.StringType())
@@ -79,6 +71,9 @@ CHECKPOINT_METADATA = T.StructType(
         T.StructField("macro_dice", T.DoubleType()),
         T.StructField("size_iou", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("low_circularity_iou", T.DoubleType()),
+        T.StructField("learning_rate", T.DoubleType()),
+        T.StructField("meets_promotion_target", T.BooleanType()),
+        T.StructField("config", T.StringType()),
     ]
 )
 

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe.functions.raster import grey_levels
 
 
-def image_scan(spark: SparkSession, folder: str) -> DataFrame:
+def _placed(uri: Column, root: str | None) -> tuple[Column, Column]:
+    """Recording and file name from a file's address, without percent codes.
+
+    The recording is the path below ``root``; without a root it is the last folder alone.
+    """
+    plain = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    folder, name = F.regexp_replace(path, r"/[^/]*$", ""), F.regexp_extract(path, r"([^/]*)$", 1)
+    if root is None:
+        return F.regexp_extract(folder, r"([^/]*)$", 1), name
+    top = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
+    return F.when(folder.startswith(top), F.substring(folder, len(top) + 1, 1 << 20)).otherwise(folder), name
+
+
+def image_scan(spark: SparkSession, folder: str, root: str | None = None) -> DataFrame:
     """``*.png`` files of one folder (a glob may name many), decoded by Spark's image source.
 
-    Columns: recording_id (the folder), image_name, original_width, original_height and
-    ``pixels``, the grey levels in row-major order.
+    Columns: recording_id (the folder, or its path below ``root``), image_name, original_width,
+    original_height and ``pixels``, the grey levels in row-major order. Names are as in the file system.
     """
     images = spark.read.format("image").option("pathGlobFilter", "*.png").load(folder)
-    path = F.split(F.col("image.origin"), "/")
+    recording, name = _placed(F.col("image.origin"), root)
     return images.select(
-        F.get(path, F.size(path) - 2).alias("recording_id"),
-        F.get(path, F.size(path) - 1).alias("image_name"),
+        recording.alias("recording_id"),
+        name.alias("image_name"),
         F.col("image.width").alias("original_width"),
         F.col("image.height").alias("original_height"),
         grey_levels(
@@ -27,14 +43,15 @@ def image_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """The PNG listing alone: no file content is read."""
+def list_images(spark: SparkSession, folder: str, root: str | None = None) -> DataFrame:
+    """The PNG listing alone, with the names of :func:`image_scan`: no file content is read."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select("path")
     )
-    path = F.split("path", "/")
+    # Paths of this source carry no percent codes; escape the sign, so that decoding leaves them alone.
+    recording, name = _placed(F.replace("path", F.lit("%"), F.lit("%25")), root)
     return files.select(
-        F.get(path, F.size(path) - 2).alias("recording_id"),
-        F.get(path, F.size(path) - 1).alias("image_name"),
+        recording.alias("recording_id"),
+        name.alias("image_name"),
         "path",
     )

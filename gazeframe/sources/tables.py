@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from gazeframe import schemas as S
 
 
+SINK_BLOCK = 1 << 16
+
+
 def write_analysis(table: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     """One folder per recording, rows in frame order across its files, NULL as empty field.
 
-    Range partitioning splits a long recording over several tasks and files instead of
-    sending it through one.
+    A long recording is dealt out by blocks of frame numbers, so it is several tasks and files. The
+    blocks need no sampling of the table: what it is computed from runs once.
     """
-    ordered = table.repartitionByRange("recording_id", "frame_number").sortWithinPartitions(
-        "recording_id", "frame_number"
-    )
+    block = F.floor(F.col("frame_number") / SINK_BLOCK)
+    ordered = table.repartition("recording_id", block).sortWithinPartitions("recording_id", "frame_number")
     writer = ordered.drop("frame_number").write.mode(mode).partitionBy("recording_id")
     if fmt == "csv":
         writer = writer.option("header", True).option("nullValue", "").option("emptyValue", "")
@@ -54,6 +56,7 @@ def manifest_violations(
     rate_by_category: dict[str, str] | None = None,
     consecutive: tuple[str, ...] = (),
     masked: tuple[str, ...] = (),
+    rows_by_category: dict[str, int] | None = None,
 ) -> DataFrame:
     """Broken rules as rows ``(rule, category, found)``; empty when the manifest is sound."""
     category = F.col("category")
@@ -74,19 +77,37 @@ def manifest_violations(
         .groupBy("rule", "category")
         .agg(F.count(F.lit(1)).alias("found"))
     )
-    spans = manifest_summary(manifest).where(
-        category.isin(*consecutive)
-        & (
-            (F.col("last_suffix") - F.col("first_suffix") + 1 != F.col("distinct_suffixes"))
-            | (F.col("rows") != F.col("distinct_suffixes"))
-        )
+    spans = manifest_summary(manifest).where(category.isin(*consecutive))
+    holes = F.col("last_suffix") - F.col("first_suffix") + 1 - F.col("distinct_suffixes")
+    again = F.col("rows") - F.col("distinct_suffixes")
+    found = F.array(
+        F.struct(F.lit("suffixes_missing").alias("rule"), holes.alias("found")),
+        F.struct(F.lit("suffixes_repeated").alias("rule"), again.alias("found")),
     )
-    gaps = spans.select(
-        F.lit("suffixes_not_consecutive").alias("rule"),
-        "category",
-        (F.col("rows") - F.col("distinct_suffixes")).alias("found"),
+    gaps = spans.select("category", F.inline(found)).where("found > 0")
+    broken = broken.unionByName(gaps.select("rule", "category", "found"))
+    # Rules about whole categories compare the counts with what is expected; an absent category counts 0.
+    if rows_by_category:
+        wanted = manifest.sparkSession.createDataFrame(sorted(rows_by_category.items()), "category string, wanted bigint")
+        counts = manifest.groupBy("category").agg(F.count(F.lit(1)).alias("found"))
+        off = wanted.join(counts, "category", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+        off = off.where("found <> wanted").select(F.lit("wrong_row_count").alias("rule"), "category", "found")
+        broken = broken.unionByName(off)
+    return broken
+
+
+def manifest_file_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Listed files that do not exist, and masks named other than their image: ``rule, path``.
+
+    ``files`` holds one ``path`` per existing file, relative as in the manifest.
+    """
+    listed = manifest.select(F.explode(F.array("image_path", "mask_path")).alias("path")).where("path <> ''")
+    absent = listed.distinct().join(files.select("path"), "path", "left_anti")
+    name = lambda c: F.regexp_replace(F.regexp_extract(c, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    other = manifest.where("mask_path <> ''").where(name("image_path") != name("mask_path"))
+    return absent.select(F.lit("file_missing").alias("rule"), "path").unionByName(
+        other.select(F.lit("names_differ").alias("rule"), F.col("mask_path").alias("path"))
     )
-    return broken.unionByName(gaps)
 
 
 def mask_violations(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ MOTION = (
     "displacement_y_pixels double, velocity_x_pixels_per_second double, "
     "velocity_y_pixels_per_second double, speed_pixels_per_second double"
 )
-_STATE = "source_frame_index bigint, valid boolean, t double, x double, y double"
+_STATE = "source_frame_index bigint, extraction_index bigint, image_name string, valid boolean, t double, x double, y double"
 
 
 def stream_frame_qc(frames: DataFrame, threshold: float, mask: str | None = None) -> DataFrame:
@@ -37,31 +38,36 @@ def stream_frame_qc(frames: DataFrame, threshold: float, mask: str | None = None
 def _advance(
     key: tuple, batches: Iterator[pd.DataFrame], state
 ) -> Iterator[pd.DataFrame]:
-    """Motion of one bucket's new frames after the last frame seen."""
+    """Motion of one bucket's new frames, among which the last frame seen takes its own place."""
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(
-        [INDEX, "image_name"], kind="stable", ignore_index=True
-    )
-    last = state.get if state.exists else (-2, False, np.nan, np.nan, np.nan)
+    rows = pd.concat(list(batches), ignore_index=True).assign(_new=True)
+    idle, newest = int(rows["_idle"].iloc[0]), int(rows["_ms"].max())
+    if state.exists:
+        names = (INDEX, "extraction_index", "image_name", "segmentation_valid", "timestamp_seconds", "center_x_pixels", "center_y_pixels")
+        seen = {k: np.nan if v is None else v for k, v in zip(names, state.get, strict=True)} | {"_new": False}
+        # Columns that the state does not hold are not read from its row.
+        front = {c: seen.get(c, rows[c].iloc[0]) for c in rows.columns}
+        rows = pd.DataFrame({c: np.insert(rows[c].to_numpy(), 0, front[c]) for c in rows.columns})
+    rows = rows.sort_values([INDEX, "extraction_index", "image_name"], kind="stable", ignore_index=True)
     index = rows[INDEX].to_numpy(dtype=np.int64)
     valid = rows["segmentation_valid"].to_numpy(dtype=bool)
     shift = lambda first, values: np.concatenate(([first], values[:-1]))
-    number = lambda v: np.nan if v is None else v
     t = rows["timestamp_seconds"].to_numpy(dtype=float)
     x = rows["center_x_pixels"].to_numpy(dtype=float)
     y = rows["center_y_pixels"].to_numpy(dtype=float)
-    dt = t - shift(number(last[2]), t)
-    usable = (index - shift(last[0], index) == 1) & valid & shift(last[1], valid).astype(bool) & (dt > 0)
-    dx = np.where(usable, x - shift(number(last[3]), x), np.nan)
-    dy = np.where(usable, y - shift(number(last[4]), y), np.nan)
+    dt = t - shift(np.nan, t)
+    usable = (index - shift(-2, index) == 1) & valid & shift(False, valid).astype(bool) & (dt > 0)
+    dx = np.where(usable, x - shift(np.nan, x), np.nan)
+    dy = np.where(usable, y - shift(np.nan, y), np.nan)
     with np.errstate(invalid="ignore", divide="ignore"):
         vx, vy = dx / dt, dy / dt
-    if index[-1] >= last[0]:
-        state.update((int(index[-1]), bool(valid[-1]), float(t[-1]), float(x[-1]), float(y[-1])))
-    newest = int(rows["_ms"].max())
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1 + int(rows["_idle"].iloc[0]))
+    last = rows.iloc[-1]
+    state.update(
+        (int(index[-1]), int(last["extraction_index"]), str(last["image_name"]), bool(valid[-1]), float(t[-1]), float(x[-1]), float(y[-1]))
+    )
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1 + idle)
     out = rows[["recording_id", INDEX, "image_name", "timestamp_seconds", "center_x_pixels", "center_y_pixels"]]
     out = out.assign(
         displacement_x_pixels=dx,
@@ -70,7 +76,7 @@ def _advance(
         velocity_y_pixels_per_second=vy,
         speed_pixels_per_second=np.hypot(vx, vy),
     )
-    yield out[rows["_home"].to_numpy(dtype=bool)]
+    yield out[rows["_home"].to_numpy(dtype=bool) & rows["_new"].to_numpy(dtype=bool)]
 
 
 def stream_kinematics(
@@ -84,9 +90,14 @@ def stream_kinematics(
 
     State is kept per recording and bucket of frame numbers, the last frame of a bucket being
     repeated in the next one: a long recording spreads over many tasks, a task sees at most
-    one bucket of a recording, and a bucket's state expires on its own. Frames older than the
-    watermark are dropped; a frame that comes after its successor gets no motion.
+    one bucket of a recording, and a bucket's state expires on its own; set ``idle_seconds`` above the longest
+    pause after which motion is still wanted. Frames of one batch and the remembered frame are
+    sorted as in the batch form; a frame that comes after its successor's batch gets no motion.
+    Frames older than the watermark are dropped by Spark and counted: see :func:`late_rows`. With
+    many buckets alive, use the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
+    if "extraction_index" not in frames.columns:
+        frames = frames.withColumn("extraction_index", F.col(INDEX))
     index = F.col(INDEX)
     home = F.floor(index / BUCKET).cast("bigint")
     following = F.floor((index + 1) / BUCKET).cast("bigint")
@@ -99,7 +110,7 @@ def stream_kinematics(
         .withColumn("_bucket", F.explode(F.array_distinct(F.array(home, following))))
         .withColumn("_home", home == F.col("_bucket"))
         .select(
-            KEY, "_bucket", "_home", "_event", "_ms", "_idle", INDEX, "image_name",
+            KEY, "_bucket", "_home", "_event", "_ms", "_idle", INDEX, "extraction_index", "image_name",
             "segmentation_valid", "timestamp_seconds", "center_x_pixels", "center_y_pixels",
         )
     )
@@ -110,8 +121,20 @@ def stream_kinematics(
     return moved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in motion})
 
 
+def late_rows(query) -> int:
+    """Rows that a query dropped for being older than its watermark (a frame counts once per bucket it is in)."""
+    return sum(
+        int(operator.get("numRowsDroppedByWatermark", 0))
+        for progress in query.recentProgress
+        for operator in progress.get("stateOperators", [])
+    )
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything that has arrived into a Parquet table and read that table."""
+    """Process everything that has arrived into a Parquet table and read that table.
+
+    Dropped late rows are reported as a warning with their number.
+    """
     spark = stream.sparkSession
     target = scratch_path(spark, name)
     query = (
@@ -123,6 +146,8 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    if late := late_rows(query):
+        warnings.warn(f"{name}: {late} row(s) came behind the watermark and were left out.", stacklevel=2)
     return spark.read.schema(stream.schema).parquet(target)
 
 

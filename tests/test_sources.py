@@ -1,3 +1,4 @@
+import re
 import struct
 import sys
 import zlib
@@ -56,7 +57,13 @@ def test_sampling(spark):
     assert sampled(spark, 100, 10.0, cap=10, every=True) == list(range(10))
     assert sampled(spark, 37, 29.97, 4.0) == np.linspace(0, 36, 5, dtype=int).tolist()
     assert sampled(spark, 1, 30.0) == [0]
-    with pytest.raises(Exception, match="no frames"):
+    assert sampled(spark, 100, 10.0, cap=None, every=True) == list(range(100))
+    schema = "video_name string, frame_count int, encoded_fps double, extraction_fps double, extract_all boolean"
+    uncapped = spark.createDataFrame([("v", 3, 10.0, 5.0, True)], schema)
+    assert [r.truncated for r in catalog.frame_catalogue(uncapped).collect()] == [False] * 3
+    capped = uncapped.withColumn("max_frames", F.lit(2)).withColumn("acquisition_fps", F.lit(7.0))
+    assert [(r.truncated, r.acquisition_fps) for r in catalog.frame_catalogue(capped).collect()] == [(True, 7.0)] * 2
+    with pytest.raises(Exception, match="without frames"):
         sampled(spark, 0, 10.0)
 
 
@@ -137,8 +144,13 @@ def test_manifest(spark, tmp_path):
         df, ["cropped", "velocity"], {"velocity": "97"}, ("velocity",), ("cropped",)
     ).collect()
     assert {(r.rule, r.category) for r in found} == {
-        ("suffixes_not_consecutive", "velocity"), ("missing_mask", "cropped"),
+        ("suffixes_missing", "velocity"), ("missing_mask", "cropped"),
     }
+    assert all(r.found > 0 for r in found)
+    files = spark.createDataFrame([("p7212",), ("p7213",), ("p",)], "path string")
+    masks = df.withColumn("mask_path", F.when(F.col("category") == "cropped", "q").otherwise(F.col("mask_path")))
+    lost = {tuple(r) for r in tables.manifest_file_violations(masks, files).collect()}
+    assert lost == {("file_missing", "p7215"), ("file_missing", "q"), ("names_differ", "q")}
     pairs = [("ok", 2, 1, 2, 1, [0, 255]), ("big", 2, 1, 2, 2, [0, 1, 0, 0]), ("grey", 3, 1, 3, 1, [0, 9, 255])]
     pairs += [("none", 2, 1, 2, 1, [0, 0])]
     cols = "stem string, width int, height int, mask_width int, mask_height int, mask_pixels array<int>"
@@ -196,7 +208,7 @@ def test_image_folder_end_to_end(spark, tmp_path):
         "image_name", "estimated_pupil_diameter", "pupil_diameter_input_pixels", "pupil_visibility",
         "segmentation_status", "quality_reason",
     ]
-    with pytest.raises(ValueError, match="required"):
+    with pytest.raises(ValueError, match="acquisition rate"):
         analysis.analyze_frames(scan, bright_scorer, 0.5, True)
 
     target = str(tmp_path / "out")
@@ -207,6 +219,31 @@ def test_image_folder_end_to_end(spark, tmp_path):
     assert first[0] == "eye_00001.png" and first[7] == "" and '""' not in text
 
 
+def test_names_with_spaces_and_nested_folders(spark, tmp_path):
+    for folder in ("b/rec1", "c/rec1"):
+        (tmp_path / folder).mkdir(parents=True)
+        write_png(tmp_path / folder / "eye 1+2%_00001.png", disc(80, 70))
+    where = str(tmp_path / "*" / "*")
+    scan, listing = (f(spark, where, str(tmp_path)) for f in (images.image_scan, images.list_images))
+    names = [("b/rec1", "eye 1+2%_00001.png"), ("c/rec1", "eye 1+2%_00001.png")]
+    for df in (scan, listing):
+        assert sorted(tuple(r) for r in df.select("recording_id", "image_name").collect()) == names
+    assert {r.recording_id for r in images.list_images(spark, where).collect()} == {"rec1"}
+
+
+def test_image_flow_shuffles_nothing_wide(spark, tmp_path):
+    folder = tmp_path / "rec"
+    folder.mkdir()
+    write_png(folder / "eye_00001.png", disc(80, 70))
+    scan, listing = images.image_scan(spark, str(folder)), images.list_images(spark, str(folder))
+    table = analysis.analyze_frames(scan, bright_scorer, 0.5, listing=listing).table
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [image") == 1
+    # Above the join only narrow columns are left.
+    top = plan.split("Join")[0]
+    assert not {"prob", "pixels", "logit", "model_image"} & set(re.findall(r"\b(\w+)#", top))
+
+
 def test_video_catalogue_equals_folder(spark, tmp_path):
     folder = tmp_path / "vid"
     folder.mkdir()
@@ -220,3 +257,6 @@ def test_video_catalogue_equals_folder(spark, tmp_path):
     key = lambda t: sorted(map(tuple, t.collect()))
     assert key(a) == key(b)
     assert analysis.analyze_videos(videos, scan, bright_scorer, 0.5, size=64).table.count() == 3
+    own = videos.withColumn("acquisition_fps", F.lit(20.0)).withColumn("max_frames", F.lit(2))
+    times = analysis.analyze_videos(own, scan, bright_scorer, 0.5, True, size=64).table.orderBy("frame_number").collect()
+    assert [t.timestamp_seconds for t in times] == [k / 20 for k in range(6)]

@@ -50,3 +50,41 @@ def test_late_frames_are_dropped(spark, tmp_path):
     assert {r.source_frame_index: r.speed_pixels_per_second is not None for r in got} == {
         0: False, 1: True, 2: True, 3: True, 4: True,
     }
+
+
+def test_late_and_new_frames_of_one_batch(spark, tmp_path):
+    """The remembered frame stands between a late frame and its own successor."""
+    def rows(*r):
+        return spark.createDataFrame(
+            [(1, i, f"{i}.png", True, float(i), 0.0, "2024-01-01 00:00:00") for i in r],
+            "recording_id long, source_frame_index long, image_name string, segmentation_valid boolean, "
+            "raw_center_x_pixels double, raw_center_y_pixels double, t string",
+        ).withColumn("ts", F.to_timestamp("t")).coalesce(1)
+
+    path = str(tmp_path / "in")
+    for part in ((10,), (5, 11), (12, 6)):
+        rows(*part).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = live.run_available(live.stream_kinematics(stream, 10.0), "mixed").collect()
+    speed = {r.source_frame_index: r.speed_pixels_per_second for r in got}
+    assert {k: v is not None for k, v in speed.items()} == {10: False, 5: False, 11: True, 12: True, 6: False}
+    assert speed[11] == pytest.approx(10)
+
+
+def test_dropped_rows_are_reported(spark, tmp_path):
+    def rows(*r):
+        return spark.createDataFrame(
+            [(1, i, f"{i}.png", True, float(i), 0.0, t) for i, t in r],
+            "recording_id long, source_frame_index long, image_name string, segmentation_valid boolean, "
+            "raw_center_x_pixels double, raw_center_y_pixels double, t string",
+        ).withColumn("ts", F.to_timestamp("t")).coalesce(1)
+
+    path = str(tmp_path / "in")
+    for hour, n in ((1, 1), (5, 2), (6, 3)):
+        rows((n, f"2024-01-01 0{hour}:00:00")).write.mode("append").parquet(path)
+    rows((9, "2024-01-01 00:00:00")).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with pytest.warns(UserWarning, match="behind the watermark"):
+        live.run_available(live.stream_kinematics(stream, 10.0), "dropped")

@@ -34,8 +34,14 @@ def test_diameter_table(spark):
     assert [g.frame_number for g in got] == [1, 2, 3]
     plain = results.diameter_table(predictions, frames).collect()
     assert {(p.pupil_visibility, p.segmentation_status) for p in plain} == {("not_evaluated", "valid")}
-    with pytest.raises(KeyError, match="a_1.png"):
-        results.diameter_table(predictions, frames.where("source_frame_index > 0"), seg, strict=True)
+    with pytest.raises(Exception, match="without frame: a_1.png"):
+        results.diameter_table(predictions, frames.where("source_frame_index > 0"), seg).collect()
+    with pytest.raises(Exception, match="without segmentation row: a_1.png"):
+        results.diameter_table(predictions, frames, seg.where("source_frame_index > 0")).collect()
+    loose = results.diameter_table(predictions, frames.union(frames), seg.where("source_frame_index > 0"), strict=False)
+    assert loose.count() == 2
+    broken = results.result_violations(predictions, frames.where("source_frame_index > 0"), seg).collect()
+    assert [tuple(r) for r in broken] == [(1, "a_1.png", "no_frame")]
 
 
 def test_reasons(spark):
@@ -62,7 +68,7 @@ def test_overlay_levels(spark):
     assert [tuple(c) for c in one] == [(65, 154, 154)] * 4
     yellow = marked.withColumn("segmentation_valid", F.lit(False))
     assert tuple(analysis.overlay_frames(yellow, 0.9999).first().overlay[0]) == (154, 154, 65)
-    with pytest.raises(Exception, match="must match"):
+    with pytest.raises(Exception, match="differ in number"):
         analysis.overlay_frames(df.withColumn("grey", F.array(F.lit(1))), 0.7).collect()
 
 
