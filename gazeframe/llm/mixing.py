@@ -25,7 +25,7 @@ from gazeframe.session import durable, scratch_path
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-CHUNK = 20_000  # texts per chunk, about
+CHUNK = 1_000  # texts per chunk, about
 FAN = 64  # chunks that meet in the next level of the tree
 BROADCAST_SOURCES = 50_000
 _NEAR = 1e-12
