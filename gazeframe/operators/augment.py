@@ -37,6 +37,7 @@ SALTS = {
             "flip_h", "flip_v",
             "affine", "angle", "affine_scale", "shift_x", "shift_y",
             "jitter", "brightness", "contrast", "jitter_order", "blur", "sigma",
+            "shear",
         ),
         start=10,
     )
@@ -186,27 +187,35 @@ def augment_affine(
     draws: Draws,
     degrees: float = DEGREES,
     scales=AFFINE_SCALE,
-    translate: float = 0.0,
-    shear: float = 0.0,
+    translate: float | tuple[float, float] = 0.0,
+    shear: float | tuple[float, float] = 0.0,
     chance: float = CHANCE,
 ) -> DataFrame:
     """Rotate, scale, shift and shear the pair about its centre; output pixels look back to
-    their source, the image with four taps and the mask with the nearest pixel."""
+    their source, the image with four taps and the mask with the nearest pixel.
+
+    ``translate`` is the largest shift as a share of the side, one number or one for each axis. ``shear`` is an
+    angle in degrees, or a range from which each pair draws one.
+    """
     turn = math.pi / 180.0 * draws.between("angle", -degrees, degrees)
-    skew = math.tan(math.radians(shear))
+    if isinstance(shear, tuple):
+        skew = F.tan(math.pi / 180.0 * draws.between("shear", *shear))
+    else:
+        skew = F.lit(math.tan(math.radians(shear)))
     scale = draws.between("affine_scale", *scales)
-    reach = translate * size
+    along_x, along_y = (t * size for t in (translate if isinstance(translate, tuple) else (translate, translate)))
     middle = size * 0.5
     chosen = (
         df.withColumn("_on", draws.happens("affine", chance))
         .withColumn("_a", F.cos(turn))
         .withColumn("_b", F.sin(turn))
         .withColumn("_s", scale)
-        .withColumn("_tx", F.rint(draws.between("shift_x", -reach, reach)) + middle)
-        .withColumn("_ty", F.rint(draws.between("shift_y", -reach, reach)) + middle)
+        .withColumn("_tx", F.rint(draws.between("shift_x", -along_x, along_x)) + middle)
+        .withColumn("_ty", F.rint(draws.between("shift_y", -along_y, along_y)) + middle)
+        .withColumn("_k", skew)
         # Rows of the inverse of rotation times shear, over the scale.
-        .withColumn("_m00", (F.col("_a") - skew * F.col("_b")) / F.col("_s"))
-        .withColumn("_m01", (F.col("_b") + skew * F.col("_a")) / F.col("_s"))
+        .withColumn("_m00", (F.col("_a") - F.col("_k") * F.col("_b")) / F.col("_s"))
+        .withColumn("_m01", (F.col("_b") + F.col("_k") * F.col("_a")) / F.col("_s"))
         .withColumn("_m10", -F.col("_b") / F.col("_s"))
         .withColumn("_m11", F.col("_a") / F.col("_s"))
     )
@@ -244,7 +253,7 @@ def augment_affine(
         turned = F.transform(_square(size), lambda i: let(back(i), sample[name]))
         return F.when(F.col("_on"), turned).otherwise(F.col(name))
 
-    temporary = ("_on", "_a", "_b", "_s", "_tx", "_ty", "_m00", "_m01", "_m10", "_m11")
+    temporary = ("_on", "_a", "_b", "_s", "_k", "_tx", "_ty", "_m00", "_m01", "_m10", "_m11")
     return _each(chosen, moved).drop(*temporary)
 
 

@@ -608,7 +608,6 @@ def padded_limits(spark, sf_dir):
 def diagnostic_segment(spark, sf_dir):
     rows = V.measurements(spark, sf_dir)
     rejected = ~F.col("segmentation_valid")
-    once = review.diagnostic_segment(rows, "raw_center_x_pixels", rejected, "shown")
-    return review.diagnostic_segment(
-        once, "estimated_pupil_diameter", rejected, "shown_interval", intervals=True
+    return review.diagnostic_segments(
+        rows, rejected, {"shown": ("raw_center_x_pixels", False), "shown_interval": ("estimated_pupil_diameter", True)}
     )

@@ -16,6 +16,8 @@ from gazeframe.plans import stand_ins as V
 from gazeframe.plans.frame_queries import _INDEXED as INDEXED
 from gazeframe.plans.frame_queries import _STATUS, _VISIBILITY
 from gazeframe.plans.registry import query
+from gazeframe.session import scratch_path
+from gazeframe.sources.images import image_scan as images_of
 
 # --- geometry ---------------------------------------------------------------------------
 
@@ -114,6 +116,20 @@ def normalise_pixels(spark, sf_dir):
     )
 
 
+@query(
+    "recording_id:s image_name:s original_width:i original_height:i i:i level:i",
+    """SELECT concat('set ', frame_id // 100) AS recording_id, concat('eye_', printf('%05d', frame_id % 100 + 1), '.png') AS image_name,
+         8 AS original_width, 8 AS original_height, i, g AS level FROM grey""",
+    (V.GREY_SQL,),
+)
+def image_scan(spark, sf_dir):
+    """Image files written and scanned back, with a space in each folder's name."""
+    folder = scratch_path(spark, "grey-files")
+    V.write_grey_files(spark, sf_dir, folder)
+    seen = images_of(spark, f"{folder}/*", folder)
+    return seen.select("*", F.posexplode("pixels").alias("i", "level"))
+
+
 # --- scoring ----------------------------------------------------------------------------
 
 

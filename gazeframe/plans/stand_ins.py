@@ -7,6 +7,10 @@ frames. Each view has a DataFrame and a portable SQL form.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +194,33 @@ def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def _png(levels: list[int], width: int) -> bytes:
+    """A grey image file of eight bits a pixel, rows without a filter."""
+    height = len(levels) // width
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    rows = b"".join(b"\0" + bytes(levels[y * width : (y + 1) * width]) for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows)) + _chunk(b"IEND", b"")
+
+
+def write_grey_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Every grey image as a file in a folder of a hundred, written by the tasks that hold the rows."""
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for frame, levels in zip(batch.column("frame_id").to_pylist(), batch.column("image").to_pylist(), strict=True):
+                store.create_dir(f"{root}/set {frame // 100}", recursive=True)
+                with store.open_output_stream(f"{root}/set {frame // 100}/eye_{frame % 100 + 1:05d}.png") as out:
+                    out.write(_png(levels, 8))
+            yield batch.select(["frame_id"])
+
+    grey(spark, sf_dir).select("frame_id", "image").mapInArrow(write, "frame_id bigint").write.format("noop").mode("append").save()
+
+
 def grey_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps together with the grey image they overlay."""
     return maps_of(table(spark, sf_dir, "embeddings"), F.expr(_GREY).alias("grey"))

@@ -305,20 +305,20 @@ def augment_zoom(spark, sf_dir):
     return _flat(A.augment_zoom(V.grey(spark, sf_dir), 8, _draws(), scales=(0.7, 1.4), chance=0.7))
 
 
-_AFFINE = f"""
-turns AS (SELECT frame_id, {_u('affine')} < 0.7e0 AS on_, pi() / 180 * (-25 + 50 * {_u('angle')}) AS a,
+def _affine_ctes(reach_x: str, reach_y: str, shear: str) -> str:
+    """Affine sampling with largest shifts in pixels and a shear in degrees, given as SQL."""
+    return f"""
+turns AS (SELECT frame_id, {_u('affine')} < 0.7e0 AS on_, pi() / 180 * (-25 + 50 * {_u('angle')}) AS a, tan(pi() / 180 * ({shear})) AS k,
     0.8e0 + (1.2e0 - 0.8e0) * {_u('affine_scale')} AS s,
-    round_even(-0.8e0 + 1.6e0 * {_u('shift_x')}, 0) + 4 AS tx, round_even(-0.8e0 + 1.6e0 * {_u('shift_y')}, 0) + 4 AS ty FROM ids),
-back AS (SELECT c.*, on_, cos(a) / s * (x + 0.5e0 - tx) + sin(a) / s * (y + 0.5e0 - ty) + 4 AS u,
+    round_even(-{reach_x} + 2 * {reach_x} * {_u('shift_x')}, 0) + 4 AS tx, round_even(-{reach_y} + 2 * {reach_y} * {_u('shift_y')}, 0) + 4 AS ty FROM ids),
+back AS (SELECT c.*, on_, (cos(a) - k * sin(a)) / s * (x + 0.5e0 - tx) + (sin(a) + k * cos(a)) / s * (y + 0.5e0 - ty) + 4 AS u,
     -sin(a) / s * (x + 0.5e0 - tx) + cos(a) / s * (y + 0.5e0 - ty) + 4 AS v FROM cells c JOIN turns USING (frame_id)),
 near AS (SELECT *, u >= 0 AND u < 8 AND v >= 0 AND v < 8 AS inside, u - 0.5e0 - floor(u - 0.5e0) AS fx,
     v - 0.5e0 - floor(v - 0.5e0) AS fy, least(7, greatest(0, floor(u - 0.5e0))) AS x0, least(7, greatest(0, floor(u + 0.5e0))) AS x1,
     least(7, greatest(0, floor(v - 0.5e0))) AS y0, least(7, greatest(0, floor(v + 0.5e0))) AS y1 FROM back)"""
 
 
-@query(
-    PIXEL_PAIR,
-    """SELECT n.frame_id, n.i, CASE WHEN NOT on_ THEN o.image WHEN inside THEN floor(round(
+_AFFINE_PIXELS = """SELECT n.frame_id, n.i, CASE WHEN NOT on_ THEN o.image WHEN inside THEN floor(round(
            (a.image * (1 - fx) + b.image * fx) * (1 - fy) + (c.image * (1 - fx) + d.image * fx) * fy, 6)) ELSE 0 END AS image,
          CASE WHEN NOT on_ THEN o.mask WHEN inside THEN m.mask ELSE 0 END AS mask
        FROM near n JOIN pairs o ON o.frame_id = n.frame_id AND o.i = n.i
@@ -326,9 +326,23 @@ near AS (SELECT *, u >= 0 AND u < 8 AND v >= 0 AND v < 8 AS inside, u - 0.5e0 -
        JOIN pairs b ON b.frame_id = n.frame_id AND b.x = x1 AND b.y = y0
        JOIN pairs c ON c.frame_id = n.frame_id AND c.x = x0 AND c.y = y1
        JOIN pairs d ON d.frame_id = n.frame_id AND d.x = x1 AND d.y = y1
-       LEFT JOIN pairs m ON m.frame_id = n.frame_id AND m.x = floor(u) AND m.y = floor(v)""",
-    (*PAIRS, _AFFINE),
+       LEFT JOIN pairs m ON m.frame_id = n.frame_id AND m.x = floor(u) AND m.y = floor(v)"""
+
+
+@query(
+    PIXEL_PAIR,
+    _AFFINE_PIXELS,
+    (*PAIRS, _affine_ctes("0.25e0 * 8", "0.1e0 * 8", f"-10 + 30 * {_u('shear')}")),
 )
+def augment_affine_ranges(spark, sf_dir):
+    """A shift of its own for each axis, and a shear drawn from a range."""
+    moved = A.augment_affine(
+        V.grey(spark, sf_dir), 8, _draws(), degrees=25.0, scales=(0.8, 1.2), translate=(0.25, 0.1), shear=(-10.0, 20.0), chance=0.7
+    )
+    return _flat(moved)
+
+
+@query(PIXEL_PAIR, _AFFINE_PIXELS, (*PAIRS, _affine_ctes("0.8e0", "0.8e0", "0")))
 def augment_affine(spark, sf_dir):
     return _flat(
         A.augment_affine(
