@@ -5,6 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gazeframe.llm.quality import (
+    CLASS_LEAST_CHARS,
+    CLASS_LIMIT,
+    COMMON,
+    LEAST_WORDS,
+    MOST_REPEATED_PERCENT,
+    WORD_LEAST_WORDS,
+    WORD_LIMIT,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +41,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.quality import judge
 
-    return judge(_documents(spark, sf_dir))
+    judged = judge(_documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @_query
@@ -87,3 +99,84 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.warc import archive_round_trip
 
     return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+# --- SQL, where SQL can say it ----------------------------------------------------------
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op1_substrings"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM d) s),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM wins) s WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS cut_at FROM later, range(20) AS r(k) GROUP BY doc_id),
+cut AS (SELECT d.doc_id, w, coalesce(cut_at, []) AS cut_at FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(cut_at)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda v, i: NOT list_contains(cut_at, i)), ' ')) AS kept_sha256 FROM cut"""
+
+ORACLES["op4_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) q),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+walk AS (SELECT DISTINCT a AS doc_id, a AS seen FROM edges UNION SELECT w.doc_id, e.b FROM walk w JOIN edges e ON e.a = w.seen),
+least_ AS (SELECT doc_id, min(seen) AS c FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)""".replace("both AS (", "both_ AS (")
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+f AS (SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
+def _distance_sql(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of shares; 0 if either is all zero."""
+    half = lambda x: f"list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[{x}] > 0 THEN z[{x}] * log2(z[{x}] / ((z[1] + z[2]) / 2)) ELSE 0 END))"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, ({half(1)} + {half(2)}) / 2)) ELSE 0 END"
+
+
+_COMMON_VALUES = ", ".join(f"('{k}', {i}, '{w}')" for k, v in COMMON.items() for i, w in enumerate(v.split()))
+_UNION = sorted({w for v in COMMON.values() for w in v.split()}, key=lambda w: w.encode())
+_COMMON_VALUES += "".join(f", ('', {i}, '{w}')" for i, w in enumerate(_UNION))
+_LEFT = lambda kept: f"length(regexp_replace(t, '[^{kept}]', '', 'g'))"
+_ASCII_SIX = "a-zA-Z0-9 \\t\\n\\x0B\\f\\r.,;:?''\"()!-"
+_SHARE = lambda h: f"CASE WHEN list_sum({h}) > 0 THEN list_transform({h}, lambda v: v / list_sum({h})) ELSE {h} END"
+
+ORACLES["op8_quality"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang,
+    CASE WHEN lower(lang)[:2] IN ({", ".join(f"'{k}'" for k in COMMON)}) THEN lower(lang)[:2] ELSE '' END AS kind FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM words) s),
+twice AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM grams, range(5) AS r(k) WHERE n > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) s
+  WHERE regexp_matches(x, '{_WORD}') GROUP BY doc_id),
+base AS (SELECT words.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN twice USING (doc_id) LEFT JOIN lines USING (doc_id)),
+classes AS (SELECT doc_id, list_transform([{_LEFT("a-z")}, {_LEFT("A-Z")}, {_LEFT("0-9")}, {_LEFT(" \\t\\n\\x0B\\f\\r")},
+    {_LEFT(".,;:?''\"()-")}, {_LEFT("!")}, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')),
+    length(regexp_replace(t, '[{_ASCII_SIX}]|[^\\x00-\\x7F]', '', 'g'))], lambda v: v::DOUBLE) AS h FROM d),
+listed(kind, k, word) AS (VALUES {_COMMON_VALUES}),
+hits AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, kind, unnest(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '{_WORD}')) AS word FROM d) s
+  JOIN listed USING (kind, word) GROUP BY ALL),
+slots AS (SELECT doc_id, k, coalesce(n, 0)::DOUBLE AS n FROM (SELECT doc_id, k FROM d JOIN listed USING (kind)) s LEFT JOIN hits USING (doc_id, k)),
+found AS (SELECT doc_id, list(n ORDER BY k) AS h, sum(n) AS total FROM slots GROUP BY doc_id),
+both_ AS (SELECT b.*, {_SHARE("c.h")} AS p, {_SHARE("list_append(f.h, n_words - f.total)")} AS q, list_sum(c.h) AS chars
+  FROM base b JOIN classes c USING (doc_id) JOIN found f USING (doc_id)),
+refs AS (SELECT lang, list(m ORDER BY i) AS m FROM (SELECT lang, i, round(avg(p[i]), 12) AS m FROM both_, range(1, 9) AS r(i) GROUP BY ALL) s GROUP BY lang),
+word_refs AS (SELECT lang, list(m ORDER BY i) AS m FROM (SELECT lang, i, round(avg(q[i]), 12) AS m FROM (SELECT lang, q, unnest(range(1, len(q) + 1)) AS i FROM both_) s
+  GROUP BY ALL) s GROUP BY lang),
+shares AS (SELECT b.*, {_SHARE("r.m")} AS rp, {_SHARE("x.m")} AS rq FROM both_ b JOIN refs r USING (lang) JOIN word_refs x USING (lang)),
+judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
+    CASE WHEN chars >= {CLASS_LEAST_CHARS} THEN {_distance_sql("p", "rp")} ELSE 0 END AS far_p,
+    CASE WHEN n_words >= {WORD_LEAST_WORDS} THEN {_distance_sql("q", "rq")} ELSE 0 END AS far_q FROM shares)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND far_p <= {CLASS_LIMIT} AND far_q <= {WORD_LIMIT} AS kept,
+  round(far_p, 6) AS class_distance, round(far_q, 6) AS word_distance FROM judged"""
