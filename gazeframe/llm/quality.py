@@ -24,7 +24,7 @@ MOST_REPEATED_PERCENT = 20
 REPEAT_WINDOW = 5
 #: Limits of the distances, and the sizes from which they are judged.
 CLASS_LIMIT, CLASS_LEAST_CHARS = 0.32, 200
-WORD_LIMIT, WORD_LEAST_WORDS = 0.30, 150
+WORD_LIMIT, WORD_LEAST_WORDS = 0.31, 150
 #: Languages with a reference of their own; texts of further ones are compared with a common one.
 LANGUAGES = 256
 
