@@ -50,3 +50,11 @@ def test_query(spark, con, name):
         theirs = con.sql(oracle_sql()[name]).df()
         assert sorted(mine.columns) == sorted(theirs.columns)
         assert normal(mine.astype(object)) == normal(theirs.astype(object))
+
+
+@pytest.mark.parametrize(("name", "most"), [("diagnostic_segment", 4), ("weighted_resample", 6), ("index_frames", 4)])
+def test_shuffles(spark, name, most):
+    """Shuffles in the plan before adaptive execution changes it."""
+    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    kinds = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition")
+    assert sum(plan.count(k) for k in kinds) <= most
