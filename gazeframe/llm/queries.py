@@ -150,17 +150,18 @@ _SHARE = lambda h: f"CASE WHEN list_sum({h}) > 0 THEN list_transform({h}, lambda
 ORACLES["op8_quality"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang,
     CASE WHEN lower(lang)[:2] IN ({", ".join(f"'{k}'" for k in COMMON)}) THEN lower(lang)[:2] ELSE '' END AS kind FROM documents),
-words AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w FROM d),
-grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n
-  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM words) s),
+words AS MATERIALIZED (SELECT *, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, w FROM words) s),
+fives AS (SELECT doc_id, i, {" || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(5))} AS x FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+grams AS MATERIALIZED (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM fives WHERE x IS NOT NULL),
 twice AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM grams, range(5) AS r(k) WHERE n > 1 GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) s
   WHERE regexp_matches(x, '{_WORD}') GROUP BY doc_id),
-base AS (SELECT words.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+base AS MATERIALIZED (SELECT words.*, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN twice USING (doc_id) LEFT JOIN lines USING (doc_id)),
-classes AS (SELECT doc_id, list_transform([{_LEFT("a-z")}, {_LEFT("A-Z")}, {_LEFT("0-9")}, {_LEFT(" \\t\\n\\x0B\\f\\r")},
+classes AS MATERIALIZED (SELECT doc_id, list_transform([{_LEFT("a-z")}, {_LEFT("A-Z")}, {_LEFT("0-9")}, {_LEFT(" \\t\\n\\x0B\\f\\r")},
     {_LEFT(".,;:?''\"()-")}, {_LEFT("!")}, length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')),
     length(regexp_replace(t, '[{_ASCII_SIX}]|[^\\x00-\\x7F]', '', 'g'))], lambda v: v::DOUBLE) AS h FROM d),
 listed(kind, k, word) AS (VALUES {_COMMON_VALUES}),
@@ -168,12 +169,12 @@ hits AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, kind, unnest(regex
   JOIN listed USING (kind, word) GROUP BY ALL),
 slots AS (SELECT doc_id, k, coalesce(n, 0)::DOUBLE AS n FROM (SELECT doc_id, k FROM d JOIN listed USING (kind)) s LEFT JOIN hits USING (doc_id, k)),
 found AS (SELECT doc_id, list(n ORDER BY k) AS h, sum(n) AS total FROM slots GROUP BY doc_id),
-both_ AS (SELECT b.*, {_SHARE("c.h")} AS p, {_SHARE("list_append(f.h, n_words - f.total)")} AS q, list_sum(c.h) AS chars
+both_ AS MATERIALIZED (SELECT b.*, {_SHARE("c.h")} AS p, {_SHARE("list_append(f.h, n_words - f.total)")} AS q, list_sum(c.h) AS chars
   FROM base b JOIN classes c USING (doc_id) JOIN found f USING (doc_id)),
 refs AS (SELECT lang, list(m ORDER BY i) AS m FROM (SELECT lang, i, round(avg(p[i]), 12) AS m FROM both_, range(1, 9) AS r(i) GROUP BY ALL) s GROUP BY lang),
 word_refs AS (SELECT lang, list(m ORDER BY i) AS m FROM (SELECT lang, i, round(avg(q[i]), 12) AS m FROM (SELECT lang, q, unnest(range(1, len(q) + 1)) AS i FROM both_) s
   GROUP BY ALL) s GROUP BY lang),
-shares AS (SELECT b.*, {_SHARE("r.m")} AS rp, {_SHARE("x.m")} AS rq FROM both_ b JOIN refs r USING (lang) JOIN word_refs x USING (lang)),
+shares AS MATERIALIZED (SELECT b.*, {_SHARE("r.m")} AS rp, {_SHARE("x.m")} AS rq FROM both_ b JOIN refs r USING (lang) JOIN word_refs x USING (lang)),
 judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
     CASE WHEN chars >= {CLASS_LEAST_CHARS} THEN {_distance_sql("p", "rp")} ELSE 0 END AS far_p,
     CASE WHEN n_words >= {WORD_LEAST_WORDS} THEN {_distance_sql("q", "rq")} ELSE 0 END AS far_q FROM shares)
