@@ -216,3 +216,28 @@ def test_nulls_repeats_and_nothing(name, odd):
     if name in ("substrings", "near", "pii", "secrets", "quality"):
         again = Counter(tuple(r) for r in rows if r.doc_id == 7)
         assert list(again.values()) == [2]
+
+
+def test_components_across_tasks(spark, monkeypatch):
+    """The star rounds, which only long edge lists need, on chains, a hub and random edges."""
+    import random
+
+    from gazeframe.llm import components
+
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 5)
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(500, k) for k in range(100, 140)]
+    edges += [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b")
+    want = {x: root(x) for x in list(parent) if any(x in e and e[0] != e[1] for e in edges)}
+    assert {c.node: c.component for c in got.collect()} == want and got.count() == len(want)
