@@ -237,15 +237,21 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        for verdict in _judge([batch.select(["text", "lang"])], refs):
-            yield batch.select(["row"]).filter(verdict.column("kept"))
+    """Rows with an accepting verdict; text and language are read inside the row, so they travel once."""
+    for batch in batches:
+        row = batch.column("row")
+        fields = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
+        judged = pa.RecordBatch.from_arrays(
+            [fields["text"].cast(pa.binary()), fields["lang"].fill_null("")], names=["text", "lang"]
+        )
+        kept = [verdict.column("kept") for verdict in _judge(iter([judged]), refs)]
+        if kept:
+            yield batch.filter(pa.concat_arrays(kept))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with an accepting verdict, all columns, in the same single pass over the texts."""
     refs = references(_inputs(docs))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    nested = _inputs(docs, row)
+    nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     kind = nested.schema["row"].dataType.simpleString()
     return nested.mapInArrow(partial(_accepted, refs=refs), f"row {kind}").select("row.*")
