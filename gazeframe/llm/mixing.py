@@ -31,8 +31,8 @@ BROADCAST_SOURCES = 50_000
 _NEAR = 1e-12
 
 WORD_COUNT = (
-    "CASE WHEN text IS NULL OR btrim(text, ' \\t\\n\\u000B\\f\\r') = '' THEN 0L "
-    "ELSE CAST(size(split(btrim(text, ' \\t\\n\\u000B\\f\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')) AS BIGINT) END"
+    "CASE WHEN text IS NULL OR btrim(text, ' \\t\\n\\u000B\\u000C\\r') = '' THEN 0L "
+    "ELSE CAST(size(split(btrim(text, ' \\t\\n\\u000B\\u000C\\r'), '[\\\\x20\\\\x09-\\\\x0D]+')) AS BIGINT) END"
 )
 
 

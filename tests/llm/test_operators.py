@@ -241,3 +241,13 @@ def test_components_across_tasks(spark, monkeypatch):
     got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b")
     want = {x: root(x) for x in list(parent) if any(x in e and e[0] != e[1] for e in edges)}
     assert {c.node: c.component for c in got.collect()} == want and got.count() == len(want)
+
+
+def test_form_feeds_at_the_ends(spark):
+    texts = ["f", "f foo", "x = f", "page one\f", "\fpage one", "\f", "\x0b\ff\f\x0b", "if of\r\f\n", "a\fb f"]
+    docs = spark.createDataFrame(
+        [(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"
+    )
+    want = {i: len(plain.words(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in mixing.mix_copies(docs).collect()} == want
+    assert {r.doc_id: r.n_words for r in packing.pack(docs).collect()} == want
