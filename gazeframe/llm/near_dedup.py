@@ -1,7 +1,8 @@
 """Near duplicates by HyperMinHash: compressed registers, bands, corrected estimate, exact check.
 
 1. Each text becomes its set of five-word shingles (64-bit hashes). Equal sets are one *class*,
-   found by a 128-bit sum over the set, so copies never meet each other again.
+   found by a 128-bit sum over the set, so copies never meet each other again. A class has a number
+   of its own and one of its texts stands for it; ids come in again only at the end.
 2. The registers: a shingle's hash picks one of 256 buckets; a bucket keeps the smallest rest as a
    leading-zero count (6 bits) and 10 mantissa bits. Empty buckets borrow from a filled one by a
    fixed order of preference, the same for all texts.
@@ -37,6 +38,9 @@ MANTISSA = 10
 BLOCK = 512
 _REST = 56  # bits of the hash below the bucket number
 _EMPTY = np.uint16(0xFFFF)
+_LAST_ID = (1 << 63) - 1
+#: Texts that one task remembers while it leaves out repeated rows.
+_SEEN = 1 << 16
 #: For each register, its order of preference among the buckets it may borrow from.
 _ORDER = np.argsort(np.argsort(np.random.default_rng(20_011).random((REGISTERS, REGISTERS)), axis=1), axis=1).astype(np.int16)
 
@@ -108,7 +112,7 @@ def _unpack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
-_SKETCH = "doc_id bigint, n_shingles bigint, high bigint, low bigint, registers binary"
+_SKETCH = "doc_id bigint, tag binary, n_shingles bigint, high bigint, low bigint, registers binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +125,24 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(total, row, mix(value ^ U(salt)))
             sums.append(total.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, sums), _binary(registers(value, row, words.rows))],
-            names=["doc_id", "n_shingles", "high", "low", "registers"],
+            [batch.column("doc_id"), batch.column("tag"), pa.array(n, pa.int64()), *map(pa.array, sums), _binary(registers(value, row, words.rows))],
+            names=["doc_id", "tag", "n_shingles", "high", "low", "registers"],
         )
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves out most rows that repeat id and text within a task, so that a frequent row does not fill one later."""
+    seen: set = set()
+    for batch in batches:
+        keep = []
+        for key in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+        if len(seen) > _SEEN:
+            seen.clear()
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
@@ -304,26 +321,29 @@ def _family_links(now: DataFrame, families: DataFrame, texts: DataFrame) -> Data
     return _dealt(met.join(texts, "rep"), ["family", "i", "j"], _settle, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
+def _texts_of(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (a null one is the largest number), ``tag`` (128 bits of the text) and ``text`` as bytes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST_ID)).alias("doc_id"),
+        F.unhex(F.md5(text.cast("binary"))).alias("tag"),
+        text.cast("binary").alias("text"),
+    )
 
-    Null and wordless texts are empty sets and stand alone. Rows with the same ``doc_id`` are one node of the
-    graph, so their components are one. A null ``doc_id`` takes part with the largest possible
-    number and comes back as null; its row is kept if its component has no other id. Other
-    columns of ``docs`` are ignored. An empty table gives an empty result.
-    """
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """``doc_id, tag, n_shingles, component, kept`` for every row; a null id is the largest number here."""
     spark = docs.sparkSession
-    source = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
-    )
+    source = _texts_of(docs)
     path = scratch_path(spark, "near-sketches")
     source.mapInArrow(_sketch, _SKETCH).write.parquet(path)
     sketches = spark.read.parquet(path)
     per_set = ["high", "low", "n_shingles"]
     rep_path = scratch_path(spark, "near-classes")
     sketches.where("n_shingles > 0").groupBy(*per_set).agg(
-        F.min("doc_id").alias("rep"), F.first("registers").alias("registers")
+        F.min(F.struct("doc_id", "tag")).alias("first"), F.first("registers").alias("registers")
+    ).select(
+        F.monotonically_increasing_id().alias("rep"), *per_set, "first.doc_id", "first.tag", "registers"
     ).write.parquet(rep_path)
     reps = spark.read.parquet(rep_path)
 
@@ -336,28 +356,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Texts and registers of all that share a band with another: what comparisons read from now on.
     text_path = scratch_path(spark, "near-texts")
     active = members.select("rep").distinct()
-    regs = reps.select("rep", "registers", F.col("n_shingles").alias("n"))
-    bodies = source.select(F.col("doc_id").alias("rep"), "text")
-    regs.join(active, "rep", "left_semi").join(bodies, "rep").distinct().write.parquet(text_path)
+    regs = reps.select("rep", "doc_id", "tag", "registers", F.col("n_shingles").alias("n")).join(active, "rep", "left_semi")
+    bodies = source.mapInArrow(_once, "doc_id bigint, tag binary, text binary")
+    regs.join(bodies, ["doc_id", "tag"]).distinct().drop("doc_id", "tag").write.parquet(text_path)
     texts = spark.read.parquet(text_path)
-    regs = texts.select("rep", "registers", "n").dropDuplicates(["rep"])
+    regs = texts.select("rep", "registers", "n")
+
+    # Texts of one id are one node: the classes of every repeated id are linked.
+    numbered = sketches.where(F.col("doc_id") != _LAST_ID).select("doc_id", *per_set)
+    repeated = numbered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
+    twins = durable(numbered.join(repeated, "doc_id", "left_semi").join(reps.select(*per_set, "rep"), per_set).select("doc_id", "rep"))
+    hubs = twins.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"))
+    one_id = twins.join(hubs.where("a < last").select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
 
     tried = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _linked(tried, texts)
+    links = durable(_linked(tried, texts).union(one_id))
     labels = durable(_labelled(members, links))
     families = components(_family_edges(labels, regs), "a", "b")
     final = components(links.union(_family_links(labels, families, texts)), "a", "b")
 
-    classes = reps.select(*per_set, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select(*per_set, F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", *per_set).join(classes, per_set, "left")
-    component = F.coalesce("component_id", "doc_id")
-    null = F.lit((1 << 63) - 1)
-    return out.select(
-        F.nullif("doc_id", null).alias("doc_id"),
-        "n_shingles",
-        F.nullif(component, null).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
+    # A component is named by the smallest id in it; among texts without id, by the smallest tag.
+    joined = reps.select("rep", "doc_id", "tag").join(final.withColumnRenamed("node", "rep"), "rep")
+    heads = joined.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("head"))
+    headed = final.join(heads, "component").select(F.col("node").alias("rep"), "head")
+    classes = reps.join(headed, "rep", "left").select(
+        *per_set, "rep", F.coalesce("head", F.struct("doc_id", "tag")).alias("head")
+    )
+    rows = sketches.select("doc_id", "tag", *per_set)
+    # A text without words follows the other texts of its id.
+    bare = (F.col("n_shingles") == 0) & (F.col("doc_id") != _LAST_ID)
+    of_id = hubs.select("doc_id", F.col("a").alias("rep")).join(classes.select("rep", "head"), "rep").drop("rep")
+    out = rows.where(~bare).join(classes.drop("rep"), per_set, "left").select("doc_id", "tag", "n_shingles", "head")
+    out = out.union(rows.where(bare).join(of_id, "doc_id", "left").select("doc_id", "tag", "n_shingles", "head"))
+    component = F.coalesce("head.doc_id", "doc_id")
+    chosen = (F.col("doc_id") != _LAST_ID) | (F.col("tag") == F.coalesce("head.tag", "tag"))
+    return out.select("doc_id", "tag", "n_shingles", component.alias("component"), ((F.col("doc_id") == component) & chosen).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id``, ``text``).
+
+    Null and wordless texts are empty sets and stand alone, unless their id has other texts. Rows with the
+    same ``doc_id`` are one node of the graph, so their components are one. Rows with a null ``doc_id`` are
+    nodes by their text; the null takes part as the largest possible number and comes back as null. If a
+    component has no other id, one of its texts is kept. Other
+    columns of ``docs`` are ignored. An empty table gives an empty result.
+    """
+    null = F.lit(_LAST_ID)
+    return _verdicts(docs).select(
+        F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("component", null).alias("component_id"), "kept"
     )
 
 
@@ -366,13 +413,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both ``doc_id`` and text collapse into one; other rows with a kept ``doc_id`` stay.
     """
-    null = F.lit((1 << 63) - 1)
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", null).alias("id")).distinct()
+    kept = _verdicts(docs).where("kept").select(F.col("doc_id").alias("id"), "tag").distinct()
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), null).alias("id"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST_ID)).alias("id"),
+        F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("tag"),
         F.col("text").alias("body"),
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
     )
     same = Window.partitionBy("id", "body").orderBy("id")
-    once = rows.join(kept, "id", "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1")
+    once = rows.join(kept, ["id", "tag"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1")
     return once.select("row.*")

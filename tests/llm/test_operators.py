@@ -251,3 +251,32 @@ def test_form_feeds_at_the_ends(spark):
     want = {i: len(plain.words(t)) for i, t in enumerate(texts)}
     assert {r.doc_id: r.size for r in mixing.mix_copies(docs).collect()} == want
     assert {r.doc_id: r.n_words for r in packing.pack(docs).collect()} == want
+
+
+def test_near_duplicates_under_null_and_repeated_ids(spark):
+    import random
+
+    r = random.Random(5)
+    prose = lambda n=120: [r.choice("abcdefgh") + str(r.randrange(500)) for _ in range(n)]
+    near = lambda t, k: " ".join([*t[:k], "other", *t[k + 1 :]])
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    whole = " ".join
+    table_ = [
+        (None, whole(a)), (None, near(a, 30)), (None, whole(a)),  # near copies without an id
+        (None, whole(b)), (3, near(b, 50)),  # a copy without an id of a numbered one
+        (None, whole(c)), (None, None),
+        (5, whole(d)), (5, whole(e)), (5, None), (2, near(e, 60)), (9, near(d, 20)),  # different texts of one id
+        (7, whole(f)), (7, near(f, 10)), (8, near(f, 90)), (1, ""),
+    ]
+    docs = spark.createDataFrame(table_, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(table_)
+    assert {(x.doc_id, x.component_id, x.kept) for x in got if x.doc_id is not None} == {
+        (3, 3, True), (5, 2, False), (2, 2, True), (9, 2, False), (7, 7, True), (8, 7, False), (1, 1, True)
+    }
+    assert sorted(x.component_id or 0 for x in got if x.doc_id is None) == [0] * 5 + [3]
+    kept = [tuple(x) for x in near_dedup.keep_one(docs).collect()]
+    assert len(kept) == len(set(kept))
+    lone = {t for i, t in kept if i is None}
+    assert len(lone & {whole(a), near(a, 30)}) == 1 and lone - {whole(a), near(a, 30)} == {whole(c), None}
+    assert {x for x in kept if x[0] is not None} == {(3, near(b, 50)), (2, near(e, 60)), (7, whole(f)), (7, near(f, 10)), (1, "")}
