@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeframe.llm.words import U, Words, mix, slices, window_rows, windows
+from gazeframe.session import scratch_path
 
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -25,8 +26,10 @@ REPEAT_WINDOW = 5
 #: Limits of the distances, and the sizes from which they are judged.
 CLASS_LIMIT, CLASS_LEAST_CHARS = 0.32, 200
 WORD_LIMIT, WORD_LEAST_WORDS = 0.31, 150
-#: Languages with a reference of their own; texts of further ones are compared with a common one.
+#: The most frequent languages' references travel with the tasks; those of all others are joined by language.
 LANGUAGES = 256
+#: Parts of each further language, none of which has more than one in ``LANGUAGES`` of the texts.
+SALTS = 8
 
 # Frequent function words by language code.
 COMMON = {
@@ -129,26 +132,59 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of the ``LANGUAGES`` most frequent languages, from all texts.
+Reference = tuple[np.ndarray, np.ndarray]
 
-    What reaches the driver is at most that many rows of fewer than a hundred numbers.
+
+def _reference(n: int, sums: list[float]) -> Reference:
+    x = np.round([v / n for v in sums], 12)
+    return _share(x[:CLASSES]), _share(x[CLASSES:])
+
+
+def references(docs: DataFrame) -> tuple[dict[str, Reference], DataFrame | None]:
+    """Mean histograms of every language, from all texts.
+
+    Those of the ``LANGUAGES`` most frequent ones reach the driver, fewer than a hundred numbers each. All
+    others stay in a table of ``lang, n, sums``; it is None if there are none.
     """
+    spark = docs.sparkSession
     per_slice = docs.mapInArrow(_gather, "lang string, n bigint, sums array<double>")
     per_dim = per_slice.select("lang", "n", F.posexplode("sums").alias("dim", "x"))
     summed = per_dim.groupBy("lang", "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    rows = (
-        summed.groupBy("lang")
-        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("dims"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(LANGUAGES)
-        .collect()
+    path = scratch_path(spark, "language-sums")
+    summed.groupBy("lang").agg(
+        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("dims")
+    ).select("lang", "n", F.col("dims.x").alias("sums")).write.parquet(path)
+    table = spark.read.parquet(path)
+    rows = table.orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    frequent = {r["lang"]: _reference(r["n"], r["sums"]) for r in rows[:LANGUAGES]}
+    return frequent, table.where(~F.col("lang").isin(list(frequent))) if len(rows) > LANGUAGES else None
+
+
+def _with_references(rows: DataFrame, lang: str, text: str, refs: tuple, step, schema: str) -> DataFrame:
+    """Run ``step`` over ``rows``; rows of less frequent languages bring their reference in ``n`` and ``sums``."""
+    frequent, others = refs
+    if others is None:
+        return rows.mapInArrow(partial(step, refs=frequent), schema)
+    code = F.coalesce(F.col(lang), F.lit(""))
+    listed = code.isin(list(frequent))
+    salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
+    side = others.select(
+        F.col("lang").alias("_lang"), "n", "sums", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
-    out = {}
-    for r in rows:
-        x = np.round([d["x"] / r["n"] for d in r["dims"]], 12)
-        out[r["lang"]] = (_share(x[:CLASSES]), _share(x[CLASSES:]))
-    return out
+    keyed = rows.where(~listed).select("*", code.alias("_lang"), salt.alias("_salt"))
+    joined = keyed.join(side, ["_lang", "_salt"]).select(*rows.columns, "n", "sums")
+    return rows.where(listed).mapInArrow(partial(step, refs=frequent), schema).union(
+        joined.mapInArrow(partial(step, refs={}), schema)
+    )
+
+
+def _references_of(batch: pa.RecordBatch, langs: list[str], refs: dict[str, Reference]) -> dict[str, Reference]:
+    """The references of a batch's languages: those of ``refs``, or of the batch's own columns."""
+    if "sums" not in batch.schema.names:
+        return refs
+    first = {lang: i for i, lang in enumerate(langs)}
+    n, sums = batch.column("n"), batch.column("sums")
+    return {lang: _reference(n[i].as_py(), sums[i].as_py()) for lang, i in first.items()}
 
 
 def _counts(batch: pa.RecordBatch) -> tuple[Words, dict[str, np.ndarray]]:
@@ -184,21 +220,17 @@ def _counts(batch: pa.RecordBatch) -> tuple[Words, dict[str, np.ndarray]]:
 
 
 def _judge(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.RecordBatch]:
-    common_ref = {}
-    for lang, (c, w) in refs.items():
-        common_ref.setdefault(_list_of(lang), (c, w))
     for batch in slices(batches):
         words, out = _counts(batch)
         langs = batch.column("lang").to_pylist()
         kinds = [_list_of(x) for x in langs]
+        own = _references_of(batch, langs, refs)
         classes = class_histograms(words)
         common = word_histograms(Words(batch.column("text"), lower=True), kinds)
         far_c, far_w = np.zeros(words.rows), np.zeros(words.rows)
         chars = classes.sum(axis=1)
         for i, lang in enumerate(langs):
-            ref = refs.get(lang) or common_ref.get(kinds[i])
-            if ref is None:
-                continue
+            ref = own[lang]
             if chars[i] >= CLASS_LEAST_CHARS:
                 far_c[i] = distance(_share(classes[i]), ref[0])
             if out["n_words"][i] >= WORD_LEAST_WORDS:
@@ -206,7 +238,7 @@ def _judge(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.RecordB
         failed = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED_PERCENT * out["n_words"])
         kept = ~failed & (far_c <= CLASS_LIMIT) & (far_w <= WORD_LIMIT)
         out |= {"base_failed": failed, "kept": kept, "class_distance": far_c, "word_distance": far_w}
-        rest = [n for n in batch.schema.names if n not in ("text", "lang")]
+        rest = [n for n in batch.schema.names if n not in ("text", "lang", "n", "sums")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in rest), *map(pa.array, out.values())], names=[*rest, *out]
         )
@@ -233,7 +265,7 @@ def judge(docs: DataFrame) -> DataFrame:
     answer each. Other columns are ignored. An empty table gives an empty result.
     """
     refs = references(_inputs(docs))
-    return _inputs(docs, "doc_id").mapInArrow(partial(_judge, refs=refs), f"doc_id bigint, {VERDICT}")
+    return _with_references(_inputs(docs, "doc_id"), "lang", "text", refs, _judge, f"doc_id bigint, {VERDICT}")
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.RecordBatch]:
@@ -241,12 +273,13 @@ def _accepted(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.Reco
     for batch in batches:
         row = batch.column("row")
         fields = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
+        extra = [n for n in batch.schema.names if n != "row"]
         judged = pa.RecordBatch.from_arrays(
-            [fields["text"].cast(pa.binary()), fields["lang"].fill_null("")], names=["text", "lang"]
+            [fields["text"].cast(pa.binary()), fields["lang"].fill_null(""), *map(batch.column, extra)], names=["text", "lang", *extra]
         )
         kept = [verdict.column("kept") for verdict in _judge(iter([judged]), refs)]
         if kept:
-            yield batch.filter(pa.concat_arrays(kept))
+            yield batch.select(["row"]).filter(pa.concat_arrays(kept))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -254,4 +287,4 @@ def accepted(docs: DataFrame) -> DataFrame:
     refs = references(_inputs(docs))
     nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     kind = nested.schema["row"].dataType.simpleString()
-    return nested.mapInArrow(partial(_accepted, refs=refs), f"row {kind}").select("row.*")
+    return _with_references(nested, "row.lang", "row.text", refs, _accepted, f"row {kind}").select("row.*")

@@ -280,3 +280,15 @@ def test_near_duplicates_under_null_and_repeated_ids(spark):
     lone = {t for i, t in kept if i is None}
     assert len(lone & {whole(a), near(a, 30)}) == 1 and lone - {whole(a), near(a, 30)} == {whole(c), None}
     assert {x for x in kept if x[0] is not None} == {(3, near(b, 50)), (2, near(e, 60)), (7, whole(f)), (7, near(f, 10)), (1, "")}
+
+
+def test_every_language_has_its_own_reference(docs, spark, monkeypatch):
+    names = ("kept", "class_distance", "word_distance")
+    want, accepted = table(quality.judge(docs), *names), Counter(map(tuple, quality.accepted(docs).collect()))
+    monkeypatch.setattr(quality, "LANGUAGES", 1)
+    assert table(quality.judge(docs), *names) == want
+    assert Counter(map(tuple, quality.accepted(docs).collect())) == accepted
+    # Two further languages with one word list and different scripts: each is near its own mean.
+    texts = [("aa", "plain words in small letters " * 12), ("ab", "ЖЩ ДЮ ФЯ ЦЭ " * 30), ("ab", "ЖЩ ДЮ ФЯ ЦЭ " * 31)]
+    other = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate([("en", "the cat " * 40)] * 4 + texts)], "doc_id long, text string, lang string")
+    assert all(r.class_distance < 0.01 for r in quality.judge(other).collect())
