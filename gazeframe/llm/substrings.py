@@ -167,9 +167,9 @@ def _packs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets: int
                 old = own.get(text)
                 if old is None:
                     own[text] = (i, tag, first)
-                elif (old[0], old[2]) != (i, first):
+                elif old != (i, tag, first):
                     later = (i, tag, first)
-                    if (i, first) < (old[0], old[2]):
+                    if later < old:
                         own[text], later = later, old
                     known.setdefault(b, []).append((*later, later[2] + count + WINDOW - 1))
         if size >= PACK_BYTES:
@@ -192,19 +192,19 @@ def repeated_windows(heads: np.ndarray, words: Words) -> np.ndarray:
     if not len(at):
         return np.empty((0, 4), np.int64)
     value = windows(words.hashes(), WINDOW)[at]
-    doc, start = heads[0][row], heads[2][row] + at - words.first[row]
+    doc, tag, start = heads[0][row], heads[1][row], heads[2][row] + at - words.first[row]
     order = np.argsort(value)
     ranked = value[order]
     twin = np.zeros(len(at), dtype=bool)
     twin[1:] = ranked[1:] == ranked[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
-    order = order[np.lexsort((start[order], doc[order], value[order]))]
-    value, doc_o, start_o = value[order], doc[order], start[order]
+    order = order[np.lexsort((start[order], tag[order], doc[order], value[order]))]
+    value, doc_o, tag_o, start_o = value[order], doc[order], tag[order], start[order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = value[1:] != value[:-1]
     lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    later = (doc_o != doc_o[lead]) | (start_o != start_o[lead])
+    later = (doc_o != doc_o[lead]) | (tag_o != tag_o[lead]) | (start_o != start_o[lead])
     # Equal hashes are confirmed on the words themselves.
     data = words.data.tobytes()
     s, e = words.start[at[order]], words.end[at[order] + WINDOW - 1]
@@ -215,11 +215,10 @@ def repeated_windows(heads: np.ndarray, words: Words) -> np.ndarray:
             hits.append(i)
         else:  # one hash, several contents: look for the earliest with the same words
             same = next((k for k in range(j, i) if data[s[k] : e[k]] == data[s[i] : e[i]]), None)
-            if same is not None and (doc_o[same], start_o[same]) != (doc_o[i], start_o[i]):
+            if same is not None and (doc_o[same], tag_o[same], start_o[same]) != (doc_o[i], tag_o[i], start_o[i]):
                 hits.append(i)
     hit = order[np.array(hits, np.int64)]
-    tag = heads[1][row[hit]]
-    return np.stack([doc[hit], tag, start[hit], start[hit] + WINDOW], axis=1)
+    return np.stack([doc[hit], tag[hit], start[hit], start[hit] + WINDOW], axis=1)
 
 
 def _joined(rows: np.ndarray) -> np.ndarray:
@@ -276,7 +275,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Every word covered by a window of 20 words that also starts earlier (in a smaller ``doc_id``, or earlier in
     the same) is removed. A null text has no words. Rows that repeat both id and text are one
-    document and get the same answer each; a null ``doc_id`` comes last, as the largest number.
+    document and get the same answer each; different texts of one id follow each other by a hash of the text. A null ``doc_id`` comes last, as the largest number.
     Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession

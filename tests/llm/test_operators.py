@@ -292,3 +292,13 @@ def test_every_language_has_its_own_reference(docs, spark, monkeypatch):
     texts = [("aa", "plain words in small letters " * 12), ("ab", "ЖЩ ДЮ ФЯ ЦЭ " * 30), ("ab", "ЖЩ ДЮ ФЯ ЦЭ " * 31)]
     other = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate([("en", "the cat " * 40)] * 4 + texts)], "doc_id long, text string, lang string")
     assert all(r.class_distance < 0.01 for r in quality.judge(other).collect())
+
+
+def test_shared_openings_under_one_id(spark):
+    opening = " ".join(f"o{k}" for k in range(30))
+    ends = [" ".join(f"e{n}x{k}" for k in range(12)) for n in range(3)]
+    for i in (None, 4):
+        docs = spark.createDataFrame([(i, f"{opening} {e}") for e in ends], "doc_id long, text string")
+        for parts in (1, 3):
+            got = [r.n_removed for r in substrings.remove_repeats(docs.repartition(parts)).collect()]
+            assert sorted(got) == [0, 30, 30]
