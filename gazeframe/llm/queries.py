@@ -101,6 +101,21 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@_query
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.line_dedup import drop_shared_lines
+
+    rest = drop_shared_lines(_documents(spark, sf_dir))
+    return rest.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.alignment import align
+
+    return align(_documents(spark, sf_dir), digest=True).documents.withColumnRenamed("groups", "groups_sha256")
+
+
 # --- SQL, where SQL can say it ----------------------------------------------------------
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -134,6 +149,18 @@ SELECT page_id, size::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
 
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES["op11_lines"] = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+k AS (SELECT *, translate(trim(line, {_BLANK}), '{_UPPER}', '{_LOWER}') AS x FROM l),
+hot AS (SELECT x, max(doc_id) AS last FROM k WHERE length(x) >= 20 GROUP BY x HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT k.*, last IS NOT NULL AND doc_id <> last AS gone FROM k LEFT JOIN hot USING (x))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id"""
+
+
 def _distance_sql(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of shares; 0 if either is all zero."""
     half = lambda x: f"list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[{x}] > 0 THEN z[{x}] * log2(z[{x}] / ((z[1] + z[2]) / 2)) ELSE 0 END))"
