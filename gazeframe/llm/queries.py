@@ -116,6 +116,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_documents(spark, sf_dir), digest=True).documents.withColumnRenamed("groups", "groups_sha256")
 
 
+@_query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.conversations import family_trie
+
+    return family_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).nodes
+
+
 # --- SQL, where SQL can say it ----------------------------------------------------------
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -161,6 +168,31 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id"""
 
 
+# A checksum bit by bit: a byte, then eight shifts for it.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT] || list_resize([]::BIGINT[], 8, -1))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)::UBIGINT)"""
+
+ORACLES["op13_trie"] = f"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l FROM conversations
+  WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (SELECT conv_id, l, conv_id - conv_id % 5 AS base, ({_CRC32} % 9)::BIGINT AS h FROM own),
+rebuilt AS MATERIALIZED (SELECT a.conv_id, coalesce(b.l, [])[:a.h] || a.l[a.h + 1:] AS l FROM headed a LEFT JOIN own b ON b.conv_id = a.base),
+numbered AS (SELECT conv_id, l, d, CASE WHEN d > 0 THEN octet_length(encode(l[d].t)) ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM rebuilt) s),
+member AS MATERIALIZED (SELECT conv_id, d, len(l) = d AS ends, bytes, sha256(l[:d]::VARCHAR || '/' || list_transform(l[:d], lambda x: len(x.r))::VARCHAR
+  || list_transform(l[:d], lambda x: len(x.t))::VARCHAR) AS key FROM numbered),
+node AS MATERIALIZED (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM member GROUP BY d, key),
+edge AS (SELECT DISTINCT c.d, c.key, p.key AS up FROM member c JOIN member p ON p.conv_id = c.conv_id AND p.d = c.d - 1),
+kids AS (SELECT d - 1 AS d, up AS key, count(*) AS k FROM edge GROUP BY ALL),
+full_ AS MATERIALIZED (SELECT node.*, coalesce(k, 0) AS k, up FROM node LEFT JOIN kids USING (d, key) LEFT JOIN edge USING (d, key)),
+above AS (SELECT DISTINCT a.d AS ad, a.key AS akey, m.d, m.key FROM member m JOIN member a ON a.conv_id = m.conv_id AND a.d <= m.d),
+sums AS (SELECT ad AS d, akey AS key, sum((k = 0)::INT) AS leaves, sum((n - 1) * f.bytes) AS saved FROM above JOIN full_ f USING (d, key) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.k::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, f.ends_sha256 FROM full_ f JOIN sums USING (d, key) LEFT JOIN full_ p ON p.d = f.d - 1 AND p.key = f.up"""
+
+
 def _distance_sql(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of shares; 0 if either is all zero."""
     half = lambda x: f"list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[{x}] > 0 THEN z[{x}] * log2(z[{x}] / ((z[1] + z[2]) / 2)) ELSE 0 END))"
