@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.words import slices
+from gazeframe.llm.words import ragged, slices
 from gazeframe.session import scratch_path
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Parts and pairs that a task holds before it starts numbering anew; its memory is bounded by them.
-PARTS, PAIRS = 100_000, 400_000
+PARTS, PAIRS = 500_000, 400_000
 PAIRS_PER_ROW = 20_000
-ENCODED_AT_ONCE = 2_000
+#: Parts that are encoded as one text, such texts at once, and links from which a group counts distinct ids.
+JOINED, ENCODED_AT_ONCE, LARGE_GROUP = 1_000, 16, 1_024
+_BARRIER = " . "
 
 _SPACE = "▁"
 # A cut before a space is safe after an ASCII character that is not white, and between a character beyond
@@ -56,6 +59,8 @@ class Tokenizers:
     b: object
     a_bytes: dict[int, bytes]
     b_bytes: list[bytes]
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
     cut: bool
 
 
@@ -80,7 +85,9 @@ def load(a_file: str, b_file: str) -> Tokenizers:
     ]
     inner = re.compile(f"[^{_SPACE}]{_SPACE}")
     cut = not any(inner.search(p) for i, p in enumerate(pieces) if not b.is_control(i))
-    return Tokenizers(a, b, a_bytes, b_bytes, cut)
+    a_sizes = np.zeros(max(a_bytes) + 1, np.int64)
+    a_sizes[list(a_bytes)] = [len(x) for x in a_bytes.values()]
+    return Tokenizers(a, b, a_bytes, b_bytes, a_sizes, np.array([len(x) for x in b_bytes], np.int64), cut)
 
 
 def parts_of(text: str, cut: bool = True) -> list[str]:
@@ -104,90 +111,40 @@ def parts_of(text: str, cut: bool = True) -> list[str]:
     return out
 
 
-def refined_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Byte ends of consecutive tokens: a coarse span where it fits the token's decoded bytes, else by these bytes."""
-    out, done = [], 0
-    for (lo, hi), size in zip(spans, sizes, strict=True):
-        done = hi if lo == done and hi - lo == size else done + size
-        out.append(done)
-    return out
+def refined_ends(lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of consecutive tokens: a coarse span's end where the span is as long as the token's decoded bytes,
+    else these bytes counted from the last such end."""
+    sure = hi - lo == sizes
+    decoded = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(sizes)), -1))
+    return np.where(last < 0, decoded, hi[last] + decoded - decoded[last])
 
 
-def char_starts(text: str) -> list[int] | range:
+def char_starts(text: str) -> np.ndarray:
     """Byte offset of every character, and of the end."""
-    if text.isascii():
-        return range(len(text) + 1)
-    at, out = 0, [0]
-    for c in text:
-        at += len(c.encode("utf-8", "surrogatepass"))
-        out.append(at)
-    return out
-
-
-def common_groups(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids of A and B between neighbouring offsets where tokens of both end."""
-    out, i, j = [], 0, 0
-    first_a, first_b = 0, 0
-    while i < len(a) and j < len(b):
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            out.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-    return out
-
-
-@dataclass
-class Aligned:
-    """One part: token numbers, its groups as text, and its id pairs with their links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: list[int]
-    times: list[int]
-
-
-def _align(text: str, encoded, proto, t: Tokenizers) -> Aligned | None:
-    """The groups of space+text; None where the joined bytes of either side differ from it."""
-    whole = (" " + text).encode("utf-8", "surrogatepass")
-    a = encoded.ids
-    a_tokens = [t.a_bytes[i] for i in a]
-    b = [p.id for p in proto.pieces]
-    b_tokens = [t.b_bytes[i] for i in b]
-    if b"".join(a_tokens) != whole or b"".join(b_tokens) != whole:
-        return None
-    at = char_starts(" " + text)
-    a_ends = refined_ends([(at[lo], at[hi]) for lo, hi in encoded.offsets], [len(x) for x in a_tokens])
-    # Spans of B count from the text's first byte; the space before it belongs to the first piece.
-    spans = [(p.begin + (k > 0), p.end + 1) for k, p in enumerate(proto.pieces)]
-    b_ends = refined_ends(spans, [len(x) for x in b_tokens])
-    found = common_groups(a, a_ends, b, b_ends)
-    links: dict[int, int] = {}
-    total = 0
-    for left, right in found:
-        total += len(left) * len(right)
-        if len(left) == 1 and len(right) == 1:
-            key = left[0] << 32 | right[0]
-            links[key] = links.get(key, 0) + 1
-            continue
-        count_left, count_right = _counted(left), _counted(right)
-        for x, m in count_left.items():
-            for y, n in count_right.items():
-                key = x << 32 | y
-                links[key] = links.get(key, 0) + m * n
-    groups = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found)
-    return Aligned(len(a), len(b), len(found), total, groups, list(links), list(links.values()))
-
-
-def _counted(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
+    data = np.frombuffer(text.encode(), np.uint8)
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
+def links_of(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, n: int):
+    """Every pair of ids that share one of ``n`` groups: group, pair code and number of links."""
+    n_a, n_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    size = n_a * n_b
+    small = np.flatnonzero(size <= LARGE_GROUP)
+    each = size[small]
+    group = np.repeat(small, each)
+    k = ragged(np.zeros(len(small), np.int64), each)
+    width = n_b[group]
+    codes = [a[first_a[group] + k // width] << 32 | b[first_b[group] + k % width]]
+    groups, times = [group], [np.ones(len(group), np.int64)]
+    for g in np.flatnonzero(size > LARGE_GROUP):  # distinct ids of each side once, with the product of their numbers
+        x, m = np.unique(a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
+        y, w = np.unique(b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
+        codes.append((x[:, None] << 32 | y[None, :]).ravel())
+        times.append((m[:, None] * w[None, :]).ravel())
+        groups.append(np.full(len(x) * len(y), g))
+    return np.concatenate(groups), np.concatenate(codes), np.concatenate(times), n_a, n_b
 
 
 class _Numbering:
@@ -195,26 +152,117 @@ class _Numbering:
 
     def __init__(self, t: Tokenizers):
         self.t = t
-        self.parts: dict[str, Aligned | None] = {}
+        self.part: dict[str, int] = {}
         self.number: dict[int, int] = {}
         self.documents = np.zeros(0, np.int64)  # of each number
-
-    def learn(self, texts: list[str]) -> None:
-        for k in range(0, len(texts), ENCODED_AT_ONCE):
-            some = texts[k : k + ENCODED_AT_ONCE]
-            encoded = self.t.a.encode_batch([" " + x for x in some], add_special_tokens=False)
-            protos = self.t.b.encode(some, return_type="proto", num_threads=1)
-            for text, e, p in zip(some, encoded, protos, strict=True):
-                got = _align(text, e, p, self.t)
-                if got is not None:
-                    for n, pair in enumerate(got.pairs):
-                        got.pairs[n] = self.number.setdefault(pair, len(self.number))
-                self.parts[text] = got
+        self.known = np.zeros(0, bool)  # whether both tokenizers give the part back
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
+        self.groups: list[str] = []
+        self.first = np.zeros(1, np.int64)  # of each part's entries in the next two
+        self.numbers, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, parts: list[str]) -> None:
+        """Add new parts. Many are encoded as one text, with a full stop between them: tokens never reach over it."""
+        joined, alone = [], []
+        for x in parts:
+            (joined if x and ("\x21" <= x[-1] <= "\x7e" or x[-1] > "\x7f") else alone).append(x)
+        if not self.t.cut:
+            joined, alone = [], parts
+        runs = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)] + [[x] for x in alone]
+        found, again = self._aligned(runs)
+        more, lost = self._aligned([[x] for run in again for x in run if len(run) > 1])
+        lost += [run for run in again if len(run) == 1]
+        found += more
+        order = [x for run, *_ in found for x in run] + [x for run in lost for x in run]
+        self.part.update(zip(order, range(len(self.part), len(self.part) + len(order)), strict=True))
+        n_lost = sum(map(len, lost))
+        self.known = np.concatenate([self.known, np.ones(len(order) - n_lost, bool), np.zeros(n_lost, bool)])
+        self.counts = np.concatenate([self.counts, *(f[1] for f in found), np.zeros((n_lost, 4), np.int64)])
+        for f in found:
+            self.groups += f[2]
+        self.groups += [""] * n_lost
+        codes = np.concatenate([_NONE, *(f[4] for f in found)])
+        distinct, at = np.unique(codes, return_inverse=True)
+        number = np.array([self.number.setdefault(c, len(self.number)) for c in distinct.tolist()], np.int64)
+        entries = np.concatenate([_NONE, *(f[3] for f in found), np.zeros(n_lost, np.int64)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(entries)])
+        self.numbers = np.concatenate([self.numbers, number[at]])
+        self.times = np.concatenate([self.times, *(f[5] for f in found)])
         self.documents = np.concatenate([self.documents, np.zeros(len(self.number) - len(self.documents), np.int64)])
 
+    def _aligned(self, runs: list[list[str]]) -> tuple[list[tuple], list[list[str]]]:
+        """Runs of parts with their alignment, and the runs that are not given back byte by byte."""
+        found, failed = [], []
+        for k in range(0, len(runs), ENCODED_AT_ONCE):
+            some = runs[k : k + ENCODED_AT_ONCE]
+            texts = [_BARRIER.join(x) for x in some]
+            encoded = self.t.a.encode_batch([" " + x for x in texts], add_special_tokens=False)
+            for run, text, e in zip(some, texts, encoded, strict=True):
+                got = _align(run, text, e, self.t.b.encode(text, return_type="proto"), self.t)
+                found.append((run, *got)) if got else failed.append(run)
+        return found, failed
+
     @property
     def full(self) -> bool:
-        return len(self.parts) >= PARTS or len(self.number) >= PAIRS
+        return len(self.part) >= PARTS or len(self.number) >= PAIRS
+
+
+def _align(run: list[str], text: str, encoded, proto, t: Tokenizers) -> tuple | None:
+    """Of each part: counts, groups as text, number of pairs; then all pairs and their links. None where the joined
+    bytes of either side differ from space+text."""
+    whole = (" " + text).encode()
+    a = np.array(encoded.ids, np.int64)
+    b = np.array([p.id for p in proto.pieces], np.int64)
+    if b"".join([t.a_bytes[i] for i in a.tolist()]) != whole or b"".join([t.b_bytes[i] for i in b.tolist()]) != whole:
+        return None
+    at = char_starts(" " + text)
+    spans = at[np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)]
+    a_ends = refined_ends(spans[:, 0], spans[:, 1], t.a_sizes[a])
+    # Spans of B follow each other and count from the text's first byte; the space before it belongs to the first piece.
+    hi = np.array([p.end for p in proto.pieces], np.int64) + 1
+    b_ends = refined_ends(np.concatenate([[0], hi[:-1]]), hi, t.b_sizes[b])
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    # Ends of the parts, each with the barrier after it.
+    size = np.array([len(x.encode()) + 1 for x in run], np.int64)
+    stops = np.cumsum(size + len(_BARRIER) - 1) - (len(_BARRIER) - 1)
+    last = np.searchsorted(cuts, stops)
+    if (cuts[np.minimum(last, len(cuts) - 1)] != stops).any():
+        return None
+    # The group of a barrier is the one right after a part.
+    owner = np.searchsorted(stops, cuts)
+    inside = np.ones(len(cuts), bool)
+    inside[last[:-1] + 1] = False
+    a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+    keep_a, keep_b = inside[a_group], inside[b_group]
+    a, a_group, b, b_group = a[keep_a], a_group[keep_a], b[keep_b], b_group[keep_b]
+    group, codes, times, n_a, n_b = links_of(a, a_group, b, b_group, len(cuts))
+    # One entry for each pair of a part.
+    entry = np.lexsort((codes, owner[group]))
+    part, codes, times = owner[group][entry], codes[entry], times[entry]
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])
+    starts = np.flatnonzero(fresh)
+    times = np.add.reduceat(times, starts)
+    per = lambda x: np.bincount(owner, weights=x, minlength=len(run)).astype(np.int64)
+    counts = np.stack([per(n_a), per(n_b), per(inside), per(n_a * n_b)], axis=1)
+    entries = np.bincount(part[starts], minlength=len(run))
+    return counts, _written(a, a_group, b, b_group, owner), entries, codes[starts], times
+
+
+def _written(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, owner: np.ndarray) -> list[str]:
+    """``a1,a2|b1;a3|b2`` of each part in order."""
+    key = np.concatenate([2 * a_group, 2 * b_group + 1])
+    order = np.argsort(key, kind="stable")
+    ids, key = np.concatenate([a, b])[order], key[order]
+    step = np.zeros(len(key), np.int64)  # what stands after an id: , | ; or the part's end
+    step[:-1] = np.where(key[1:] == key[:-1], 0, np.where(key[1:] >> 1 == key[:-1] >> 1, 1, 2))
+    part = owner[key >> 1]
+    step[:-1][part[1:] != part[:-1]] = 3
+    text = [None] * (2 * len(ids))
+    text[0::2] = map(str, ids.tolist())
+    text[1::2] = [",|;\n"[k] for k in step.tolist()]
+    text[-1] = ""
+    return "".join(text).split("\n")
 
 
 _ROW = pa.schema(
@@ -232,21 +280,36 @@ _DOCUMENT, _PAIRS = 0, 1
 _NONE = np.empty(0, np.int64)
 
 
-def _document(text: str, parts: list[str], known: _Numbering, digest: bool) -> tuple:
-    aligned = [known.parts[p] for p in parts] if text else [None]
-    if any(x is None for x in aligned):
-        return 0, 0, 0, 0, "", _NONE, _NONE
-    numbers = np.array([n for x in aligned for n in x.pairs], np.int64)
-    times = np.array([n for x in aligned for n in x.times], np.int64)
-    distinct, at = np.unique(numbers, return_inverse=True)
-    summed = np.zeros(len(distinct), np.int64)
-    np.add.at(summed, at, times)
-    groups = ";".join([x.groups for x in aligned])
-    total = lambda name: sum(getattr(x, name) for x in aligned)
-    return (
-        total("n_a"), total("n_b"), total("n_groups"), total("n_links"),
-        hashlib.sha256(groups.encode()).hexdigest() if digest else groups, distinct, summed,
-    )
+def _documents(texts: list[str], parts: list[list[str]], known: _Numbering, digest: bool) -> dict[str, pa.Array]:
+    """Counts, groups and pair numbers of each text."""
+    n = len(texts)
+    flat = np.fromiter((known.part[p] for ps in parts for p in ps), np.int64)
+    stops = np.cumsum([len(ps) for ps in parts])
+    row = np.repeat(np.arange(n), [len(ps) for ps in parts])
+    good = np.bincount(row, weights=~known.known[flat], minlength=n) == 0
+    good &= np.fromiter((x != "" for x in texts), bool, n)
+    flat, row = flat[good[row]], row[good[row]]
+    counts = np.zeros((n, 4), np.int64)
+    np.add.at(counts, row, known.counts[flat])
+    written = []
+    for x, ok in zip(parts, good.tolist(), strict=True):
+        text = ";".join([known.groups[known.part[p]] for p in x]) if ok else ""
+        written.append(hashlib.sha256(text.encode()).hexdigest() if digest and ok else text)
+    size = known.first[flat + 1] - known.first[flat]
+    entry = ragged(known.first[flat], size)
+    key = np.repeat(row, size) << 32 | known.numbers[entry]
+    distinct, at = np.unique(key, return_inverse=True)
+    times = np.zeros(len(distinct), np.int64)
+    np.add.at(times, at, known.times[entry])
+    numbers, owner = distinct & 0xFFFFFFFF, distinct >> 32
+    known.documents += np.bincount(numbers, minlength=len(known.documents))
+    bounds = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
+    columns = {c: pa.array(counts[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+    return columns | {
+        "groups": pa.array(written, pa.string()),
+        "numbers": pa.ListArray.from_arrays(bounds, pa.array(numbers.astype(np.int32))),
+        "times": pa.ListArray.from_arrays(bounds, pa.array(times)),
+    }
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -267,17 +330,10 @@ def _encode(batches: Iterator[pa.RecordBatch], files: tuple[str, str], digest: b
         ids = batch.column("doc_id")
         texts = ["" if x is None else x.decode() for x in batch.column("text").to_pylist()]
         parts = [parts_of(x, t.cut) for x in texts]
-        known.learn(list({p for ps in parts for p in ps if p not in known.parts}))
-        rows = [_document(x, ps, known, digest) for x, ps in zip(texts, parts, strict=True)]
-        if rows:
-            known.documents += np.bincount(np.concatenate([r[5] for r in rows]), minlength=len(known.documents))
-        names = ("n_a", "n_b", "n_groups", "n_links", "groups")
-        columns = {n: pa.array([r[k] for r in rows], _ROW.field(n).type) for k, n in enumerate(names)}
-        columns |= {
-            "kind": pa.array(np.full(len(rows), _DOCUMENT, np.int32)), "task": pa.array(np.full(len(rows), task)), "doc_id": ids,
-            "numbers": _lists([r[5] for r in rows], pa.int32()), "times": _lists([r[6] for r in rows], pa.int64()),
-        }
-        yield _batch(columns, len(rows))
+        known.learn(list({p for ps in parts for p in ps if p not in known.part}))
+        columns = _documents(texts, parts, known, digest)
+        columns |= {"kind": pa.array(np.full(len(texts), _DOCUMENT, np.int32)), "task": pa.array(np.full(len(texts), task)), "doc_id": ids}
+        yield _batch(columns, len(texts))
         if known.full:
             yield from _pairs(known, task)
             known, task = _Numbering(t), task + 1
