@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from gazeframe.operators.motion import (
     BUCKET,
@@ -27,7 +28,14 @@ MOTION = (
     "displacement_y_pixels double, velocity_x_pixels_per_second double, "
     "velocity_y_pixels_per_second double, speed_pixels_per_second double"
 )
-_STATE = "source_frame_index bigint, extraction_index bigint, image_name string, valid boolean, t double, x double, y double"
+#: A frame in state: whether its motion is out, event time, order, and what motion needs.
+_HELD = (
+    "done boolean, home boolean, ms bigint, source_frame_index bigint, extraction_index bigint, image_name string, "
+    "valid boolean, t double, x double, y double"
+)
+_FRAME = "is_home event_ms source_frame_index extraction_index image_name segmentation_valid timestamp_seconds center_x_pixels center_y_pixels".split()
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_frame_qc(frames: DataFrame, threshold: float, mask: str | None = None) -> DataFrame:
@@ -35,48 +43,119 @@ def stream_frame_qc(frames: DataFrame, threshold: float, mask: str | None = None
     return tracking_status(measure_frames(frames, threshold, mask), "segmentation_status")
 
 
-def _advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state
-) -> Iterator[pd.DataFrame]:
-    """Motion of one bucket's new frames, among which the last frame seen takes its own place."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches), ignore_index=True).assign(_new=True)
-    idle, newest = int(rows["_idle"].iloc[0]), int(rows["_ms"].max())
-    if state.exists:
-        names = (INDEX, "extraction_index", "image_name", "segmentation_valid", "timestamp_seconds", "center_x_pixels", "center_y_pixels")
-        seen = {k: np.nan if v is None else v for k, v in zip(names, state.get, strict=True)} | {"_new": False}
-        # Columns that the state does not hold are not read from its row.
-        front = {c: seen.get(c, rows[c].iloc[0]) for c in rows.columns}
-        rows = pd.DataFrame({c: np.insert(rows[c].to_numpy(), 0, front[c]) for c in rows.columns})
-    rows = rows.sort_values([INDEX, "extraction_index", "image_name"], kind="stable", ignore_index=True)
-    index = rows[INDEX].to_numpy(dtype=np.int64)
-    valid = rows["segmentation_valid"].to_numpy(dtype=bool)
-    shift = lambda first, values: np.concatenate(([first], values[:-1]))
-    t = rows["timestamp_seconds"].to_numpy(dtype=float)
-    x = rows["center_x_pixels"].to_numpy(dtype=float)
-    y = rows["center_y_pixels"].to_numpy(dtype=float)
-    dt = t - shift(np.nan, t)
-    usable = (index - shift(-2, index) == 1) & valid & shift(False, valid).astype(bool) & (dt > 0)
-    dx = np.where(usable, x - shift(np.nan, x), np.nan)
-    dy = np.where(usable, y - shift(np.nan, y), np.nan)
-    with np.errstate(invalid="ignore", divide="ignore"):
+class Held(NamedTuple):
+    done: bool
+    home: bool
+    ms: int
+    index: int
+    extraction: int
+    name: str
+    valid: bool
+    t: float | None
+    x: float | None
+    y: float | None
+
+    @property
+    def place(self) -> tuple:
+        return self.index, self.extraction, self.name
+
+
+def _number(v) -> float | None:
+    return None if v is None or v != v else float(v)
+
+
+def linked(before: Held | None, row: Held) -> tuple[float, float, float] | None:
+    """Elapsed time and step from the frame right before, if motion between the two is defined."""
+    if before is None or row.index - before.index != 1 or not (row.valid and before.valid):
+        return None
+    if None in (before.t, row.t, before.x, row.x, before.y, row.y) or row.t <= before.t:
+        return None
+    return row.t - before.t, row.x - before.x, row.y - before.y
+
+
+def settle(held: list[Held], now: int, eager: bool) -> tuple[list[tuple[Held, tuple | None]], list[Held]]:
+    """Frames whose motion is final at watermark ``now``, with it; and the frames that state keeps.
+
+    A frame is final when the watermark has passed it, as nothing up to it can arrive any more, or with ``eager`` also
+    when its predecessor is there. State keeps all other frames, the last frame and those that are right before one
+    still held.
+    """
+    held = sorted(held, key=lambda r: r.place)
+    out, now_done = [], []
+    before = None
+    for row in held:
+        ready = row.ms <= now or (eager and (row.index == 0 or (before is not None and before.index == row.index - 1)))
+        if not row.done and ready:
+            out.append((row, linked(before, row)))
+        now_done.append(row._replace(done=row.done or ready))
+        before = row
+    done = [r for r in now_done if r.done]
+    front = done[-1].index if done else 0
+    wanted = {r.index - 1 for r in now_done if not r.done}
+    return out, [r for r in now_done if not r.done or r.index >= front or r.index in wanted]
+
+
+class _Motion(StatefulProcessor):
+    """One bucket of frame numbers of a recording: frames wait in list state for what may still come before them."""
+
+    def __init__(self, idle_ms: int, eager: bool):
+        self.idle_ms, self.eager = idle_ms, eager
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", _HELD)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = []
+        for frame in rows:
+            for home, ms, index, extraction, name, valid, t, x, y in zip(*(frame[c].tolist() for c in _FRAME), strict=True):
+                new.append(Held(False, bool(home), int(ms), int(index), int(extraction), name, bool(valid), _number(t), _number(x), _number(y)))
+        self.handle.registerTimer(min(r.ms for r in new))
+        self.handle.registerTimer(max(r.ms for r in new) + self.idle_ms)
+        if self.eager:
+            yield self._released(key, [*self._state(), *new], timerValues.getCurrentWatermarkInMs())
+        else:
+            self.held.appendList([tuple(r) for r in new])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        held = self._state()
+        yield self._released(key, held, now)
+        if held and max(r.ms for r in held) + self.idle_ms <= now:
+            self.held.clear()
+
+    def _state(self) -> list[Held]:
+        return [Held(*r) for r in self.held.get()]
+
+    def _released(self, key, held: list[Held], now: int) -> pd.DataFrame:
+        out, kept = settle(held, now, self.eager)
+        if kept:
+            self.held.put([tuple(r) for r in kept])
+        waiting = [r.ms for r in kept if not r.done and r.ms > now]
+        if waiting:
+            self.handle.registerTimer(min(waiting))
+        own = [(r, m) for r, m in out if r.home]
+        number = lambda values: np.array([np.nan if v is None else v for v in values], dtype=float)
+        dt, dx, dy = (number(None if m is None else m[k] for _, m in own) if own else np.empty(0) for k in range(3))
         vx, vy = dx / dt, dy / dt
-    last = rows.iloc[-1]
-    state.update(
-        (int(index[-1]), int(last["extraction_index"]), str(last["image_name"]), bool(valid[-1]), float(t[-1]), float(x[-1]), float(y[-1]))
-    )
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1 + idle)
-    out = rows[["recording_id", INDEX, "image_name", "timestamp_seconds", "center_x_pixels", "center_y_pixels"]]
-    out = out.assign(
-        displacement_x_pixels=dx,
-        displacement_y_pixels=dy,
-        velocity_x_pixels_per_second=vx,
-        velocity_y_pixels_per_second=vy,
-        speed_pixels_per_second=np.hypot(vx, vy),
-    )
-    yield out[rows["_home"].to_numpy(dtype=bool) & rows["_new"].to_numpy(dtype=bool)]
+        return pd.DataFrame(
+            {
+                "recording_id": np.full(len(own), key[0], np.int64),
+                INDEX: np.array([r.index for r, _ in own], np.int64),
+                "image_name": pd.Series([r.name for r, _ in own], dtype=object),
+                "timestamp_seconds": number(r.t for r, _ in own) if own else np.empty(0),
+                "center_x_pixels": number(r.x for r, _ in own) if own else np.empty(0),
+                "center_y_pixels": number(r.y for r, _ in own) if own else np.empty(0),
+                "displacement_x_pixels": dx,
+                "displacement_y_pixels": dy,
+                "velocity_x_pixels_per_second": vx,
+                "velocity_y_pixels_per_second": vy,
+                "speed_pixels_per_second": np.hypot(vx, vy),
+            }
+        )
+
+    def close(self) -> None:
+        pass
 
 
 def stream_kinematics(
@@ -85,37 +164,39 @@ def stream_kinematics(
     event_time: str = "ts",
     delay: str = "10 minutes",
     idle_seconds: int = 3600,
+    eager: bool = False,
 ) -> DataFrame:
-    """Frame-to-frame motion with the last frame as state.
+    """Frame-to-frame motion of frames that arrive in any order within the watermark; equals the batch form.
+
+    A frame waits in state until the watermark passes its event time; then all frames up to it are there, if event
+    times do not decrease along the frame order. With ``eager`` it leaves as soon as its predecessor is there, which is as right where
+    no frame number repeats. Frames older than the watermark are dropped by Spark and counted: see :func:`late_rows`.
 
     State is kept per recording and bucket of frame numbers, the last frame of a bucket being
     repeated in the next one: a long recording spreads over many tasks, a task sees at most
-    one bucket of a recording, and a bucket's state expires on its own; set ``idle_seconds`` above the longest
-    pause after which motion is still wanted. Frames of one batch and the remembered frame are
-    sorted as in the batch form; a frame that comes after its successor's batch gets no motion.
-    Frames older than the watermark are dropped by Spark and counted: see :func:`late_rows`. With
-    many buckets alive, use the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    one bucket of a recording, and a bucket's state is cleared by a timer ``idle_seconds`` of event time after its newest frame.
+    A row without ``recording_id`` is no frame: it only moves the watermark, so that a finished recording can be closed.
+    State must be in RocksDB (``spark.sql.streaming.stateStore.providerClass``); :func:`run_available` sees to it.
     """
     if "extraction_index" not in frames.columns:
         frames = frames.withColumn("extraction_index", F.col(INDEX))
     index = F.col(INDEX)
     home = F.floor(index / BUCKET).cast("bigint")
     following = F.floor((index + 1) / BUCKET).cast("bigint")
+    # An empty list and not a filter, which Spark would move below the watermark.
+    places = F.when(F.col(KEY).isNotNull(), F.array_distinct(F.array(home, following))).otherwise(F.array().cast("array<bigint>"))
     timed = (
         published_centers(frame_timestamps(frames, fps))
         .withColumn("_event", F.col(event_time).cast("timestamp"))
         .withWatermark("_event", delay)
-        .withColumn("_ms", F.unix_millis("_event"))
-        .withColumn("_idle", F.lit(idle_seconds * 1000))
-        .withColumn("_bucket", F.explode(F.array_distinct(F.array(home, following))))
-        .withColumn("_home", home == F.col("_bucket"))
-        .select(
-            KEY, "_bucket", "_home", "_event", "_ms", "_idle", INDEX, "extraction_index", "image_name",
-            "segmentation_valid", "timestamp_seconds", "center_x_pixels", "center_y_pixels",
-        )
+        .withColumn("event_ms", F.unix_millis("_event"))
+        .withColumn("_bucket", F.explode(places))
+        .withColumn("is_home", home == F.col("_bucket"))
+        .withColumn("segmentation_valid", F.coalesce("segmentation_valid", F.lit(False)))
+        .select(KEY, "_bucket", "_event", *_FRAME)
     )
-    moved = timed.groupBy(KEY, "_bucket").applyInPandasWithState(
-        _advance, MOTION, _STATE, "append", "EventTimeTimeout"
+    moved = timed.groupBy(KEY, "_bucket").transformWithStateInPandas(
+        _Motion(idle_seconds * 1000, eager), outputStructType=MOTION, outputMode="Append", timeMode="EventTime"
     )
     motion = [c.split()[0] for c in MOTION.split(", ") if c.split()[1] == "double"]
     return moved.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in motion})
@@ -136,6 +217,8 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     Dropped late rows are reported as a warning with their number.
     """
     spark = stream.sparkSession
+    if not spark.conf.get(PROVIDER_KEY, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(PROVIDER_KEY, ROCKSDB)
     target = scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
