@@ -71,6 +71,30 @@ def weighted_resample(spark, sf_dir):
     return val.weighted_resample(_binned(spark, sf_dir), seed=5, ident="frame_id")
 
 
+_DRAW = f"({draw_sql(3, 5, 'frame_id')} + {draw_sql(4, 5, 'frame_id')} / 2147483647e0)"
+
+
+@query(
+    "frame_id:i weight:d draws:i",
+    f"""SELECT frame_id, weight, coalesce(draws, 0) AS draws FROM sized LEFT JOIN (
+          SELECT s.frame_id, count(*) AS draws FROM (SELECT least(floor({_DRAW} * total)::HUGEINT, total - 1) AS at FROM laid) p
+          ASOF JOIN (SELECT * FROM laid WHERE q > 0) s ON p.at >= s.first GROUP BY s.frame_id) hits USING (frame_id)""",
+    (
+        *BINNED,
+        f"""
+sized AS (SELECT frame_id, area / 7e0 + (frame_id % 13) / 3e0 - CASE WHEN frame_id % 13 = 0 THEN area / 7e0 ELSE 0 END AS weight FROM targeted),
+shares AS (SELECT frame_id, CASE WHEN weight > 0 THEN greatest(1e0, round_even(weight / (SELECT max(weight) FROM sized) * {val.SHARES}, 0)) ELSE 0 END::HUGEINT AS q
+  FROM sized),
+laid AS (SELECT *, sum(q) OVER (ORDER BY frame_id) - q AS first, sum(q) OVER () AS total FROM shares)""",
+    ),
+)
+def weighted_draws(spark, sf_dir):
+    area = F.size(F.filter("target", lambda t: t > 0)) / F.lit(7.0)
+    frame = F.col("frame_id")
+    uneven = area + (frame % 13) / F.lit(3.0) - F.when(frame % 13 == 0, area).otherwise(0)
+    return val.weighted_draws(V.labelled_maps(spark, sf_dir).select("frame_id", uneven.alias("weight")), seed=5, ident="frame_id")
+
+
 _SCORES = f"""
 candidates AS (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLD_CANDIDATES)}]) AS threshold,
     unnest(range({len(THRESHOLD_CANDIDATES)})) AS candidate),

@@ -67,6 +67,18 @@ def test_sampling(spark):
         sampled(spark, 0, 10.0)
 
 
+def test_a_video_of_any_length_is_many_tasks(spark):
+    n = 30_000_000
+    df = spark.createDataFrame([(n, 30.0, 5.0, True, {"a": 1}), (7, 30.0, 5.0, False, None)], "frame_count long, encoded_fps double, extraction_fps double, extract_all boolean, tags map<string,int>")
+    frames = catalog.sample_frame_indices(df)
+    per = frames.where("extract_all").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("source_frame_index").alias("s")).collect()
+    assert sum(r.n for r in per) == n and sum(r.s for r in per) == n * (n - 1) // 2
+    assert max(r.n for r in per) < n / 4
+    assert [r.source_frame_index for r in frames.where("NOT extract_all").collect()] == [0]
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") < plan.rindex("Generate")
+
+
 def test_names_and_indexing(spark):
     name = catalog.source_frame_name(F.lit("eye"), F.lit(19))
     assert spark.range(1).select(name).first()[0] == "eye_00020.png"

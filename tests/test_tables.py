@@ -148,6 +148,60 @@ def test_weights_and_resample(spark):
     assert drawn.exceptAll(val.weighted_resample(df, seed=1)).isEmpty()
 
 
+def test_draws_by_given_weights(spark):
+    n = 20_000
+    weight = F.when(F.col("image_id") == 77, 30_000.0).when(F.col("image_id") % 2 == 0, 0.0).otherwise((F.col("image_id") % 5 + 1) / 3.0)
+    df = spark.range(n).select(F.col("id").alias("image_id"), weight.alias("weight"), F.lit("x").alias("_other"))
+    drawn = val.weighted_draws(df, seed=4)
+    rows = drawn.collect()
+    assert drawn.columns == ["image_id", "weight", "_other", "draws"] and len(rows) == n
+    assert sum(r.draws for r in rows) == n and all(not r.draws for r in rows if r.weight == 0)
+    total = sum(r.weight for r in rows)
+    for light in range(5):  # each class near its share, the one heavy row too
+        share = lambda r: r.image_id % 5 == light and r.image_id != 77
+        want = n * sum(r.weight for r in rows if share(r)) / total
+        assert abs(sum(r.draws for r in rows if share(r)) - want) < 6 * want**0.5
+    heavy = next(r.draws for r in rows if r.image_id == 77)
+    assert abs(heavy - n * 30_000 / total) < 6 * (n * 30_000 / total) ** 0.5
+    again = val.weighted_draws(df.repartition(3), seed=4).select("image_id", "draws")
+    assert again.exceptAll(drawn.select("image_id", "draws")).isEmpty()
+    # One pass over the whole line for a few draws agrees with a search in the prefix sums.
+    few = spark.createDataFrame([(k, w) for k, w in enumerate([0.5, 0.0, 2.0, 1e-30, 7.25])], "image_id long, weight double")
+    assert {r.image_id: r.draws for r in val.weighted_draws(few, seed=9).collect()} == searched([0.5, 0.0, 2.0, 1e-30, 7.25], 9)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def searched(weights, seed):
+    import bisect
+
+    def unit(salt, key):
+        m = 2147483647
+        state = ((1 + salt * 1299709 + seed * 15485863) * 48271 + key) % m
+        for _ in range(2):
+            state = (state * 48271 + 11) % m
+        return state / m
+
+    shares = [max(1, round(w / max(weights) * val.SHARES)) if w else 0 for w in weights]
+    starts = [(sum(shares[:k]), k) for k in range(len(shares)) if shares[k]]
+    out = dict.fromkeys(range(len(weights)), 0)
+    for k in range(len(weights)):
+        at = int((unit(3, k) + unit(4, k) / 2147483647) * sum(shares))
+        out[starts[bisect.bisect_right(starts, (at, len(weights))) - 1][1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1.0, None], [1.0, -1.0], [float("nan")], [0.0, 0.0]])
+def test_weights_that_cannot_be_drawn(spark, weights):
+    df = spark.createDataFrame(list(enumerate(weights)), "image_id long, weight double")
+    with pytest.raises(Exception, match="ampling weight"):
+        val.weighted_draws(df, seed=1).collect()
+
+
+def test_no_rows_to_draw(spark):
+    assert val.weighted_draws(spark.createDataFrame([], "image_id long, weight double"), seed=1).collect() == []
+
+
 def replay(scores, patience, delta=1e-4):
     best, best_epoch, wait = -math.inf, 0, 0
     for epoch, s in enumerate(scores, 1):
