@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: list[str] = []
 
 
@@ -43,6 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let at most ``rows`` rows of whole texts cross to Python at once, unless the session has a smaller limit.
+
+    A batch stands several times in an executor, outside its heap: as it is written, and as it is read, for each task.
+    """
+    if int(spark.conf.get(BATCH_KEY)) > rows:
+        spark.conf.set(BATCH_KEY, str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for tables that several steps read; see :func:`clear_scratch`."""
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
