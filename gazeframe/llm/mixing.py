@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gazeframe.llm.words import U, mix
+from gazeframe.llm.words import U, mix, whole_row
 from gazeframe.operators.ordering import by_range, ordinal_within
 from gazeframe.session import durable, scratch_path
 
@@ -184,7 +184,7 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``docs`` with every row as often as :func:`mix_copies` says, all columns."""
     copies = mix_copies(docs, seed).groupBy("key").agg(F.min("copies").alias("least"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
     more = (F.col("all") - F.col("least") * F.col("n")).alias("more")
-    rows = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), whole_row(docs))
     met = rows.join(copies.select("key", "least", more), "key").withColumn("nth", F.row_number().over(_by_key()))
     times = (F.col("least") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)).cast("int")
     return met.where(times > 0).select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.llm.components import components, contract
-from gazeframe.llm.words import U, Words, groups, mix, slices, window_rows, windows
+from gazeframe.llm.words import U, Words, groups, mix, slices, window_rows, windows, whole_row
 from gazeframe.session import durable, scratch_path
 
 SHINGLE = 5
@@ -418,7 +418,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST_ID)).alias("id"),
         F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("tag"),
         F.col("text").alias("body"),
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        whole_row(docs),
     )
     same = Window.partitionBy("id", "body").orderBy("id")
     once = rows.join(kept, ["id", "tag"], "left_semi").withColumn("n", F.row_number().over(same)).where("n = 1")

@@ -321,20 +321,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_find, weights=weights), schema)
 
 
-def _redacted(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [None if t is None else redact(t, all_spans(t, weights)[1]) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
-
-
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with redacted ``text`` (null stays null) and ``n_chars``, if there, counted anew; rows and columns as before."""
     weights = train(docs)
-    rest = [c for c in docs.columns if c != "text"]
-    nested = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), docs["text"].alias("text"))
-    kind = nested.schema["row"].dataType.simpleString()
-    out = nested.mapInArrow(partial(_redacted, weights=weights), f"row {kind}, text string")
-    pick = {c: F.col("row")[c].alias(c) for c in rest} | {"text": F.col("text")}
-    if "n_chars" in pick:
-        pick["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[pick[c] for c in docs.columns])
+
+    @F.arrow_udf("string")
+    def clean(text: pa.Array) -> pa.Array:
+        parts = [pa.array([None if t is None else redact(t, all_spans(t, weights)[1]) for t in part.column("text").to_pylist()], pa.string())
+                 for part in slices(iter([pa.RecordBatch.from_arrays([text], names=["text"])]))]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    out = docs.withColumn("text", clean(docs["text"]))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out

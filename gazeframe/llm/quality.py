@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazeframe.llm.words import U, Words, mix, slices, window_rows, windows
+from gazeframe.llm.words import U, Words, mix, slices, whole_row, window_rows, windows
 from gazeframe.session import scratch_path
 
 LEAST_WORDS = 10
@@ -165,17 +165,21 @@ def _with_references(rows: DataFrame, lang: str, text: str, refs: tuple, step, s
     frequent, others = refs
     if others is None:
         return rows.mapInArrow(partial(step, refs=frequent), schema)
-    code = F.coalesce(F.col(lang), F.lit(""))
-    listed = code.isin(list(frequent))
+    listed = F.coalesce(F.col(lang), F.lit("")).isin(list(frequent))
+    joined = _joined(rows.where(~listed), lang, text, others)
+    return rows.where(listed).mapInArrow(partial(step, refs=frequent), schema).union(
+        joined.mapInArrow(partial(step, refs={}), schema)
+    )
+
+
+def _joined(rows: DataFrame, lang: str, text: str, others: DataFrame) -> DataFrame:
+    """``rows`` with ``n`` and ``sums`` of their language; frequent languages meet in parts."""
     salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
     side = others.select(
         F.col("lang").alias("_lang"), "n", "sums", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
-    keyed = rows.where(~listed).select("*", code.alias("_lang"), salt.alias("_salt"))
-    joined = keyed.join(side, ["_lang", "_salt"]).select(*rows.columns, "n", "sums")
-    return rows.where(listed).mapInArrow(partial(step, refs=frequent), schema).union(
-        joined.mapInArrow(partial(step, refs={}), schema)
-    )
+    keyed = rows.select("*", F.coalesce(F.col(lang), F.lit("")).alias("_lang"), salt.alias("_salt"))
+    return keyed.join(side, ["_lang", "_salt"]).select(*rows.columns, "n", "sums")
 
 
 def _references_of(batch: pa.RecordBatch, langs: list[str], refs: dict[str, Reference]) -> dict[str, Reference]:
@@ -268,23 +272,33 @@ def judge(docs: DataFrame) -> DataFrame:
     return _with_references(_inputs(docs, "doc_id"), "lang", "text", refs, _judge, f"doc_id bigint, {VERDICT}")
 
 
-def _accepted(batches: Iterator[pa.RecordBatch], refs: dict) -> Iterator[pa.RecordBatch]:
-    """Rows with an accepting verdict; text and language are read inside the row, so they travel once."""
-    for batch in batches:
-        row = batch.column("row")
-        fields = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
-        extra = [n for n in batch.schema.names if n != "row"]
-        judged = pa.RecordBatch.from_arrays(
-            [fields["text"].cast(pa.binary()), fields["lang"].fill_null(""), *map(batch.column, extra)], names=["text", "lang", *extra]
-        )
-        kept = [verdict.column("kept") for verdict in _judge(iter([judged]), refs)]
-        if kept:
-            yield batch.select(["row"]).filter(pa.concat_arrays(kept))
+def _verdict(text: pa.Array, lang: pa.Array, refs: dict, *reference: pa.Array) -> pa.Array:
+    columns = [text, lang, *reference]
+    batch = pa.RecordBatch.from_arrays(columns, names=["text", "lang", "n", "sums"][: len(columns)])
+    kept = [judged.column("kept") for judged in _judge(iter([batch]), refs)]
+    return pa.concat_arrays(kept) if kept else pa.array([], pa.bool_())
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an accepting verdict, all columns, in the same single pass over the texts."""
-    refs = references(_inputs(docs))
-    nested = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kind = nested.schema["row"].dataType.simpleString()
-    return _with_references(nested, "row.lang", "row.text", refs, _accepted, f"row {kind}").select("row.*")
+    """The rows of ``docs`` with an accepting verdict, all columns, whatever their names.
+
+    Null texts are empty and go; a null ``lang`` is a language of its own; rows that repeat go or stay together; an empty
+    table stays empty. Only text and language visit Python, and a truth value comes back.
+    """
+    frequent, others = references(_inputs(docs))
+
+    @F.arrow_udf("boolean")
+    def verdict(text: pa.Array, lang: pa.Array) -> pa.Array:
+        return _verdict(text, lang, frequent)
+
+    @F.arrow_udf("boolean")
+    def verdict_by_row(text: pa.Array, lang: pa.Array, n: pa.Array, sums: pa.Array) -> pa.Array:
+        return _verdict(text, lang, {}, n, sums)
+
+    text, lang = F.coalesce(docs["text"], F.lit("")).cast("binary"), F.coalesce(docs["lang"], F.lit(""))
+    if others is None:
+        return docs.where(verdict(text, lang))
+    listed = lang.isin(list(frequent))
+    rest = docs.where(~listed).select(whole_row(docs), text.alias("text"), lang.alias("lang"))
+    judged = _joined(rest, "lang", "text", others).where(verdict_by_row("text", "lang", "n", "sums"))
+    return docs.where(listed).where(verdict(text, lang)).union(judged.select("row.*"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazeframe.llm.words import whole_row
 from gazeframe.session import scratch_path
 
 SHARDS = 16
@@ -136,7 +137,7 @@ def shard(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        whole_row(docs),
         F.xxhash64("text").alias("hash"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST_ID)).alias("id"),
         (F.octet_length(body) + 1).cast("bigint").alias("size"),

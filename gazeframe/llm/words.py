@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -55,6 +57,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             row = stop
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as ``row``, whatever their names."""
+    return F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("row")
+
+
 class Words:
     """Word borders in a binary column: ``start``/``end`` in ``data``, ``first`` per row."""
 

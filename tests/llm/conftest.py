@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, rep long, kept string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, rep long, kept string, `meta.url` string"
 
 
 def made_documents():
@@ -29,7 +29,7 @@ def made_documents():
     flat[5] = "\n".join([flat[5][:60]] * 4 + ["", "  ", flat[5]])
     flat += [None, "", "   \n\t ", "é" * 30 + " ß x", "word glued " * 3, "x" * 30_000, "HÉLLO!! WORLD!! " * 40, "a\r\nb\x0bc\x0cd e"]
     return [
-        (i, t, ("en", "fr", None, "xx")[i % 4] if i % 9 == 0 else "en", None if i % 13 == 5 else f"s{i % 5}" if i % 3 else "s0", len(t or ""), "r", 1, 7, "k")
+        (i, t, ("en", "fr", None, "xx")[i % 4] if i % 9 == 0 else "en", None if i % 13 == 5 else f"s{i % 5}" if i % 3 else "s0", len(t or ""), "r", 1, 7, "k", "u")
         for i, t in enumerate(flat)
     ]
 
@@ -48,5 +48,5 @@ def docs(spark, rows):
 def odd(spark, rows):
     """Null ids and columns, and repeated rows."""
     some = rows[:30] + [rows[60], rows[61], rows[90]]
-    again = [(None, *x[1:]) for x in some[:3]] + [(None,) * 9] + some[:10] + [(4, None, *x[2:]) for x in some[:1]]
+    again = [(None, *x[1:]) for x in some[:3]] + [(None,) * 10] + some[:10] + [(4, None, *x[2:]) for x in some[:1]]
     return spark.createDataFrame(some + again, DOCS).repartition(3).cache()
