@@ -14,31 +14,36 @@ from gazeframe.llm.near_dedup import keep_one
 from gazeframe.llm.packing import pack
 from gazeframe.llm.pii import redacted
 from gazeframe.llm.quality import accepted
-from gazeframe.session import scratch_path
+from gazeframe.session import scratch_path, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose counts and histograms pass."""
+    small_batches(spark)
     return accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data replaced."""
+    small_batches(spark)
     return redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their shares."""
+    small_batches(spark)
     return mixed(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every remaining row."""
+    small_batches(spark)
     return pack(docs)
 
 
