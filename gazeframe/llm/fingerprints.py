@@ -1,7 +1,7 @@
 """Homomorphic fingerprints: sums of wide vectors hashed from paragraphs.
 
 A paragraph (a line) gives a vector of 8 lanes modulo 2^64, drawn from its bytes, and of 256 lanes
-modulo 2^16, in which every run of three of its words (all its words, if fewer) adds or takes one in one lane. The
+modulo 2^32, in which every run of three of its words (all its words, if fewer) adds or takes one in one lane. The
 fingerprint of a text is the sum over its paragraphs, lane by lane. So it does not depend on their
 order, and a paragraph is put in or taken out by adding or subtracting its vector. The first lanes
 decide equality; the angle between the second ones estimates how much two texts share.
@@ -27,7 +27,7 @@ _SALTS = mix(np.arange(1, WIDE + 1, dtype=np.uint64))
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Wide (uint64) and fine (uint16) sums of each text's paragraphs."""
+    """Wide (uint64) and fine (uint32) sums of each text's paragraphs."""
     lines, owner = [], []
     for i, t in enumerate(texts):
         own = [x for x in t.split(b"\n") if x]
@@ -52,7 +52,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     slot = owner[row] * FINE + (value >> U(56)).astype(np.int64) if len(row) else np.empty(0, np.int64)
     sign = np.where(value & U(1), 1.0, -1.0)
     fine = np.bincount(slot, weights=sign, minlength=len(texts) * FINE).reshape(len(texts), FINE)
-    return wide, fine.astype(np.int64).astype(np.uint16)
+    return wide, fine.astype(np.int64).astype(np.uint32)
 
 
 # White bytes become bytes that never occur in UTF-8, so that a line is one word.
@@ -61,7 +61,7 @@ _VISIBLE = bytes.maketrans(bytes([9, 11, 12, 13, 32]), bytes([0xF8, 0xF9, 0xFA,
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of fine lanes as signed numbers, row by row, from 0 to 1; two empty ones are alike."""
-    x, y = (v.astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v.astype(np.int32).astype(np.float64) for v in (a, b))
     dot, size = (x * y).sum(axis=1), np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     both_empty = ~x.any(axis=1) & ~y.any(axis=1)
     out = np.clip(np.where(size > 0, dot / np.where(size > 0, size, 1), both_empty.astype(float)), 0.0, 1.0)
@@ -69,7 +69,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def written(wide: np.ndarray, fine: np.ndarray) -> list[str]:
-    return [w.astype(">u8").tobytes().hex() + f.astype(">u2").tobytes().hex() for w, f in zip(wide, fine, strict=True)]
+    return [w.astype(">u8").tobytes().hex() + f.astype(">u4").tobytes().hex() for w, f in zip(wide, fine, strict=True)]
+
+
+def _folded(fine: np.ndarray) -> bytes:
+    """Signed lanes in two bytes each where they fit, else in four."""
+    lanes = fine.astype(np.int32)
+    narrow = lanes.astype(np.int16)
+    return (narrow if (narrow == lanes).all() else lanes).tobytes()
+
+
+def _unfolded(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int16 if len(raw) == 2 * FINE else np.int32).astype(np.int32).astype(np.uint32)
 
 
 def edit(text: str, after: str) -> str:
@@ -91,7 +102,7 @@ def _deal(batches: Iterator[pa.RecordBatch], starts: np.ndarray) -> Iterator[pa.
                 pa.array(np.zeros(len(ids), np.int32)),
                 *(batch.column(c) for c in ("id", "text")),
                 pa.array([w.tobytes() for w in wide], pa.binary()),
-                pa.array([f.tobytes() for f in fine], pa.binary()),
+                pa.array([_folded(f) for f in fine], pa.binary()),
             ],
             names=["part", "halo", "id", "text", "wide", "fine"],
         )
@@ -125,8 +136,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answers(pairs: list) -> pa.RecordBatch:
-    wide, fine = (np.array([np.frombuffer(own[c], k) for own, _ in pairs]) for c, k in ((4, np.uint64), (5, np.uint16)))
-    next_fine = np.array([np.frombuffer(after[5], np.uint16) for _, after in pairs])
+    wide = np.array([np.frombuffer(own[4], np.uint64) for own, _ in pairs])
+    fine, next_fine = (np.array([_unfolded(row[5]) for row in rows]) for rows in zip(*pairs, strict=True))
     texts = [own[3].decode("utf-8", "replace") for own, _ in pairs]
     edited = [edit(t, after[3].decode("utf-8", "replace")) for t, (_, after) in zip(texts, pairs, strict=True)]
     # Only paragraphs from the first changed one on are taken out and put in.
