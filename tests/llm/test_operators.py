@@ -143,6 +143,39 @@ def test_packing(docs, rows):
     assert got.padding.sum() == min(best[(len(lengths) - 1, k)] for k in range(1, 6))
 
 
+def least_padding(lengths, buckets):
+    """The plain dynamic programme, for few lengths."""
+    at, count = sorted(set(lengths)), Counter(lengths)
+    best = {(-1, 0): 0}
+    for k in range(1, buckets + 1):
+        for j in range(len(at)):
+            cost = lambda i: sum(count[x] * (at[j] - x) for x in at[i + 1 : j + 1])
+            ways = [best[i, k - 1] + cost(i) for i in range(-1, j) if (i, k - 1) in best]
+            if ways:
+                best[j, k] = min(ways)
+    return min(v for (j, _), v in best.items() if j == len(at) - 1)
+
+
+@pytest.mark.parametrize("most", [400_000, 5])
+def test_packing_of_very_long_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(packing, "LENGTHS", most)
+    lengths = [20_001, 33_333, 2, 100_000, 100_007, 33_331, 20_001, 16_384, 16_385, 5, 64_001]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    for buckets in (3, 5, 16):
+        got = packing.pack(docs, buckets=buckets).collect()
+        assert {r.bucket_length for r in got} <= set(lengths)
+        padding, least = sum(r.padding for r in got), least_padding(lengths, buckets)
+        assert padding == least if most > 5 else least <= padding <= least + sum(lengths) / 8192
+
+
+def test_likeness_of_very_long_repetitive_texts(spark):
+    n = [30_000, 40_000, 100_000]
+    docs = spark.createDataFrame([(i, "w " * k) for i, k in enumerate(n)] + [(9, "other words than these")], "doc_id long, text string")
+    got = fingerprints.fingerprint_edits(docs).orderBy("doc_id").collect()
+    assert all(r.near_edited > 0.99 for r in got[:3]) and all(r.near_next > 0.99 for r in got[:2])
+    assert got[2].near_next < 0.5
+
+
 def test_fingerprints(docs, rows):
     got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
     texts = [r[1] or "" for r in rows]
