@@ -7,6 +7,8 @@ travels as one row per segment.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,18 +56,23 @@ def ordinal_within(
     order: list[Column | str],
     segment: Column | None = None,
     name: str = "ordinal",
+    whole: dict[str, Callable[[Column | str], Column]] | None = None,
 ) -> DataFrame:
     """Zero-based position in the order of the group, two-level.
 
     ``segment`` must not decrease along ``order``; without it the frame has to come from
-    :func:`by_range`.
+    :func:`by_range`. ``whole`` names columns that are replaced by an aggregate of theirs over the whole group, such as
+    a minimum, which may be taken of the segments' own: it travels with the positions, one row per segment.
     """
     df = _segmented(df, segment)
-    counts = df.groupBy(*keys, _SEG).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole or {}
+    counts = df.groupBy(*keys, _SEG).agg(F.count(F.lit(1)).alias("_n"), *[fn(c).alias(c) for c, fn in whole.items()])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, _SEG, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *keys, _SEG, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), *[fn(c).over(group).alias(c) for c, fn in whole.items()]
     )
+    df = df.drop(*whole)
     local = Window.partitionBy(*keys, _SEG).orderBy(*order)
     ranked = df.withColumn("_local", F.row_number().over(local) - 1)
     return (

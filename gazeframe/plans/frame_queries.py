@@ -341,6 +341,30 @@ def manifest_violations(spark, sf_dir):
     )
 
 
+# Pages stand for images and masks: most are paired, every seventh file is absent, every fifth mask is named differently.
+_FILES = """
+listed AS (SELECT concat('img/f', page_id, '.png') AS image_path, CASE WHEN page_id % 3 = 0 THEN ''
+    WHEN page_id % 5 = 0 THEN concat('masks/g', page_id, '.png') ELSE concat('masks/f', page_id, '.png') END AS mask_path, page_id FROM pages),
+present AS (SELECT path FROM (SELECT image_path AS path, page_id FROM listed UNION ALL SELECT mask_path, page_id + 3 FROM listed) f WHERE page_id % 7 <> 0)"""
+
+
+@query(
+    "rule:s path:s",
+    """SELECT 'file_missing' AS rule, path FROM (SELECT image_path AS path FROM listed UNION SELECT mask_path FROM listed) l
+         WHERE path <> '' AND path NOT IN (SELECT path FROM present)
+       UNION ALL SELECT 'names_differ', mask_path FROM listed WHERE mask_path <> '' AND page_id % 5 = 0""",
+    (_FILES,),
+)
+def manifest_file_violations(spark, sf_dir):
+    page = F.col("page_id")
+    mask = F.format_string("masks/%s%d.png", F.when(page % 5 == 0, "g").otherwise("f"), page)
+    listed = V.table(spark, sf_dir, "pages").select(
+        "page_id", F.format_string("img/f%d.png", page).alias("image_path"), F.when(page % 3 == 0, "").otherwise(mask).alias("mask_path")
+    )
+    files = listed.select(F.col("image_path").alias("path"), "page_id").union(listed.select("mask_path", page + 3))
+    return tables.manifest_file_violations(listed, files.where("page_id % 7 <> 0").select("path"))
+
+
 # --- temporal rules ---------------------------------------------------------------------
 
 

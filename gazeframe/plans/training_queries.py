@@ -10,6 +10,7 @@ from gazeframe.plans import stand_ins as V
 from gazeframe.plans.pixel_queries import border_ctes
 from gazeframe.plans.registry import query
 from gazeframe.schemas import THRESHOLD_CANDIDATES
+from gazeframe.sources import tables
 
 TINY, LARGE = 2.0, 3.0  # cut-offs that split the 8x8 targets
 
@@ -71,6 +72,25 @@ def weighted_resample(spark, sf_dir):
     return val.weighted_resample(_binned(spark, sf_dir), seed=5, ident="frame_id")
 
 
+@query(
+    "stem:s rule:s",
+    """SELECT * FROM (SELECT concat('f', frame_id) AS stem, CASE WHEN frame_id % 17 = 3 THEN 'size_mismatch'
+           WHEN count(DISTINCT level) > 2 OR min(level) <> 0 THEN 'mask_not_binary' WHEN max(level) = 0 THEN 'mask_empty' END AS rule
+         FROM (SELECT frame_id, CASE frame_id % 19 WHEN 4 THEN t + 5 WHEN 6 THEN t * (1 + i % 2) ELSE t END AS level FROM targets) l
+         GROUP BY frame_id) r WHERE rule IS NOT NULL""",
+    (V.TARGETS_SQL,),
+)
+def mask_violations(spark, sf_dir):
+    frame = F.col("frame_id")
+    level = lambda t, i: F.when(frame % 19 == 4, t + 5).when(frame % 19 == 6, t * (1 + i % 2)).otherwise(t)
+    pairs = V.labelled_maps(spark, sf_dir).select(
+        F.format_string("f%d", frame).alias("stem"), F.col("map_width").alias("width"), F.col("map_height").alias("height"),
+        F.when(frame % 17 == 3, 9).otherwise(F.col("map_width")).alias("mask_width"), F.col("map_height").alias("mask_height"),
+        F.transform("target", level).alias("mask_pixels"),
+    )
+    return tables.mask_violations(pairs)
+
+
 _DRAW = f"({draw_sql(3, 5, 'frame_id')} + {draw_sql(4, 5, 'frame_id')} / 2147483647e0)"
 
 

@@ -38,7 +38,8 @@ FAMILIES = (
     "run_analysis_images center_marker stream_frame_qc weighted_resample select_threshold "
     "run_analysis_videos single_precision_maps single_precision_sweep result_violations velocity_table_lenient "
     "checkpoint_thresholds config_violations run_registry sample_frame_indices stream_kinematics balanced_weights "
-    "early_stop_replay augment_zoom augment_affine augment_photometric training_pairs"
+    "early_stop_replay augment_zoom augment_affine augment_photometric training_pairs "
+    "weighted_draws manifest_file_violations mask_violations"
 ).split()
 
 
