@@ -1,5 +1,7 @@
 """Every text operator against its plain version, on texts of all kinds."""
 
+import random
+import string
 from collections import Counter
 
 import pytest
@@ -60,6 +62,44 @@ def test_personal_data(docs, rows):
     assert got[3][:4] == (1, 1, 1, 1)
 
 
+RANDOM_ALPHABETS = {
+    "lower": (string.ascii_lowercase, 0.97),
+    "upper": (string.ascii_uppercase, 0.97),
+    "letters": (string.ascii_letters, 0.97),
+    "alnum": (string.ascii_letters + string.digits, 0.97),
+    "base64": (string.ascii_letters + string.digits + "+/", 0.97),
+    "lower and digits": (string.ascii_lowercase + string.digits, 0.9),
+    "upper and digits": (string.ascii_uppercase + string.digits, 0.85),
+}
+
+
+@pytest.mark.parametrize("name", RANDOM_ALPHABETS)
+def test_planted_random_strings(spark, name):
+    alphabet, least = RANDOM_ALPHABETS[name]
+    rnd = random.Random(name)
+    key = lambda: "".join(rnd.choice(alphabet) for _ in range(rnd.choice((20, 24, 32, 48))))
+    planted = [(k, f"see {word} there", 4, 4 + len(word)) for k, word in enumerate(key() for _ in range(600))]
+    docs = spark.createDataFrame([p[:2] for p in planted], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).select("doc_id", "spans").collect()}
+    found = sum(spans[k] == f"random:{a}:{b}" or spans[k].startswith(("hex:", "access:")) for k, _, a, b in planted)
+    assert found >= least * len(planted)
+
+
+def test_words_and_names_are_no_secrets(spark):
+    plain_words = (
+        "Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften electroencefalografista lentokonesuihkuturbiini "
+        "najneobhospodarovavatelnejsi to-do-or-not-to-do-it-now AbstractSingletonProxyFactoryBean load_user_profile_by_id_2 "
+        "----------------------- ======================= 9876543210_9876543210_9 usr/local/share/python3/site-packages "
+        "123e4567-e89b-12d3-a456-426614174000 " + "9F3A7C1E" * 5
+    ).split()
+    rnd = random.Random(3)
+    long_one = "".join(rnd.choice(string.ascii_lowercase) for _ in range(100_000))
+    docs = spark.createDataFrame([*enumerate(plain_words), (100, long_one), (101, "qzxkvwjmbtrplfdnhgsckjwq qzxkvwjmbtrplfdnhgsc7")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).collect()}
+    assert {k for k, v in spans.items() if v} == {100, 101}
+    assert spans[100] == "random:0:100000" and spans[101] == "random:0:24,random:25:46"
+
+
 def test_secrets(docs, rows):
     got = table(secret_scan.find_secrets(docs), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     for i, t, *_ in rows:
