@@ -41,6 +41,26 @@ def finite(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
+_UNITS = float(1 << 52)
+
+
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that has the same bits in any order of rows and any partitioning.
+
+    Values are rounded to multiples of 2^-52, which numbers of one or more already are, and added as whole numbers;
+    they must stay below 10^12 in size. A NaN or infinity among them makes the sum as usual.
+    """
+    usual = F.sum(value)
+    fine = value.between(-1e12, 1e12)
+    whole = F.sum(F.when(fine, F.rint(value * _UNITS).cast("decimal(28,0)")))
+    return F.when(F.count_if(value.isNotNull() & ~fine) > 0, usual).otherwise(whole.cast("double") / _UNITS)
+
+
+def exact_avg(value: Column) -> Column:
+    """The mean to :func:`exact_sum`; NULL without values."""
+    return exact_sum(value) / F.nullif(F.count(value), F.lit(0))
+
+
 def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

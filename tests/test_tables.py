@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,55 @@ def test_overlap(spark):
     assert sweep == {(k, 0.5): v for k, v in got.items()}
 
 
+@pytest.mark.parametrize("element", ["double", "float"])
+def test_sweep_against_single_cuts(spark, element):
+    rnd = np.random.default_rng(4)
+    levels = [round(float(v), 2) for v in rnd.random(400)]
+    rows = [(k, levels[k * 40 : k * 40 + 40], [int(v) for v in rnd.random(40) > 0.6], 8) for k in range(10)]
+    rows += [(0, *rows[3][1:]), (20, [None, 0.9, float("nan")], [1, None, 1], 3), (21, [0.9], [1, 1], 1), (22, [0.9, 0.9], [1], 1)]
+    df = spark.createDataFrame([*rows, (23, [], [], 1), (24, None, None, 1)], LABELLED.replace("double", element)).repartition(3)
+    cuts = (0.7, 0.3, 0.5, 0.3, 0.91)
+    swept = val.image_sweep(df, cuts, ["id"]).collect()
+    assert len(swept) == 14 * len(cuts)
+    for k, cut in enumerate(cuts):
+        want = sorted((r.id, r.iou, r.dice, r.target_area) for r in val.overlap_scores(df.where("id < 20"), cut).collect())
+        assert sorted((r.id, r.iou, r.dice, r.target_area) for r in swept if r.candidate == k and r.id < 20) == want
+    odd = {(r.id, r.candidate): (r.target_area, round(r.iou, 3)) for r in swept if r.id >= 20}
+    # A missing probability lies above no cut, NaN above all; a list is as long as it is.
+    assert odd[20, 0] == (2, 0.333) and odd[20, 4] == (2, 0.5)
+    assert odd[21, 0] == (2, 0.5) and odd[22, 0] == (1, 0.5) and odd[22, 4] == (1, 0.0)
+
+
+def test_sweep_shuffles_and_explodes_no_pixel(spark):
+    df = spark.createDataFrame([(0, [0.5] * 9, [1] * 9, 3)], LABELLED)
+    plan = val.image_sweep(df, tuple(k / 1001 for k in range(1, 1001)), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and plan.count("Generate ") == 1
+
+
+def test_means_do_not_depend_on_partitions(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(k, [float(v) for v in rnd.random(30)], [int(v) for v in rnd.random(30) > 0.5], 6) for k in range(500)]
+    df = spark.createDataFrame(rows, LABELLED)
+    sweeps, losses = set(), set()
+    for parts in (1, 7, 200):
+        dealt = df.repartition(parts, F.xxhash64(F.col("id") + parts))
+        sweeps.add(tuple(sorted(map(tuple, val.threshold_sweep(dealt, "id", (0.3, 0.5)).collect()))))
+        losses.add(val.validation_loss(dealt.withColumnRenamed("prob", "logit"), []).first()[0])
+    assert len(sweeps) == 1 and len(losses) == 1
+    z, t = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    assert losses.pop() == pytest.approx(np.mean(np.maximum(z, 0) - z * t + np.log1p(np.exp(-np.abs(z)))), abs=1e-12)
+    empty = val.validation_loss(df.limit(0).withColumnRenamed("prob", "logit"), []).first()
+    assert empty[0] is None
+
+
+def test_exact_sum_of_wide_and_broken_values(spark):
+    from gazeframe.functions.columns import exact_avg, exact_sum
+
+    of = lambda values: spark.createDataFrame([(v,) for v in values], "v double").agg(exact_sum(F.col("v")), exact_avg(F.col("v"))).first()
+    assert tuple(of([1e11, 2.0**-30, -1e11, None])) == (2.0**-30, 2.0**-30 / 3)
+    assert of([1e300, 1.0])[0] == 1e300 and math.isnan(of([float("nan"), 1.0])[0]) and tuple(of([])) == (None, None)
+
+
 def test_threshold_choice(spark):
     def square(side, value):
         inside = [1 if y < side and x < side else 0 for y in range(100) for x in range(100)]
