@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from gazeframe.operators.results import tracking_status, velocity_columns
 from gazeframe.operators.scoring import score_frames
 from gazeframe.operators.segmentation import measure_frames
 from gazeframe.sources.catalog import frame_catalogue, index_frames
+from gazeframe.sources.images import image_scan, list_images
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,8 @@ def analyze_frames(
     """From scanned image folders: score and measure in the scan, then join the file index.
 
     ``listing`` (:func:`gazeframe.sources.images.list_images` of the same folders) gives the names
-    without decoding a file; without it the names are read from ``images``. Pixels and maps are never shuffled:
+    without decoding a file; without it the names are read from ``images``, which decodes files a second time
+    (:func:`analyze_folders` does neither). Pixels and maps are never shuffled:
     only narrow measurements meet the index.
     """
     _check(threshold, calculate_velocity, acquisition_fps, images.columns)
@@ -107,6 +109,25 @@ def analyze_frames(
     return _tables(measured, threshold, calculate_velocity, acquisition_fps)
 
 
+def analyze_folders(
+    spark: SparkSession,
+    folder: str,
+    load_scorer: Callable,
+    threshold: float = S.DEFAULT_THRESHOLD,
+    calculate_velocity: bool = False,
+    acquisition_fps: float | None = None,
+    batch_size: int = 32,
+    size: int = S.MODEL_SIZE,
+    root: str | None = None,
+) -> AnalysisResult:
+    """:func:`analyze_frames` of folders on disk (a glob may name many): names come from the listing, each file is
+    decoded once."""
+    return analyze_frames(
+        image_scan(spark, folder, root), load_scorer, threshold, calculate_velocity, acquisition_fps, batch_size, size,
+        listing=list_images(spark, folder, root),
+    )
+
+
 def analyze_videos(
     videos: DataFrame,
     images: DataFrame,

@@ -18,6 +18,7 @@ from gazeframe.plans.frame_queries import _STATUS, _VISIBILITY
 from gazeframe.plans.registry import query
 from gazeframe.session import scratch_path
 from gazeframe.sources.images import image_scan as images_of
+from gazeframe.sources.images import image_sizes as sizes_of
 
 # --- geometry ---------------------------------------------------------------------------
 
@@ -130,6 +131,21 @@ def image_scan(spark, sf_dir):
     return seen.select("*", F.posexplode("pixels").alias("i", "level"))
 
 
+@query(
+    "recording_id:s image_name:s original_width:i original_height:i scale_x:d resized_width:i resized_height:i pad_top:i",
+    """SELECT DISTINCT concat('set ', frame_id // 100) AS recording_id, concat('eye_', printf('%05d', frame_id % 100 + 1), '.png') AS image_name,
+         8 AS original_width, 8 AS original_height, 148 / 8 AS scale_x, 148 AS resized_width, 148 AS resized_height, 0 AS pad_top FROM grey""",
+    (V.GREY_SQL,),
+)
+def image_sizes(spark, sf_dir):
+    """Sizes of written image files from their headers, and the scale of each."""
+    folder = scratch_path(spark, "grey-files")
+    V.write_grey_files(spark, sf_dir, folder)
+    sizes = sizes_of(spark, f"{folder}/*", folder)
+    scale = G.resize_scale(F.col("original_width"), F.col("original_height"))
+    return sizes.withColumn("g", scale).select("*", "g.*")
+
+
 # --- scoring ----------------------------------------------------------------------------
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +59,53 @@ def list_images(spark: SparkSession, folder: str, root: str | None = None) -> Da
         name.alias("image_name"),
         "path",
     )
+
+
+#: Fixed by the file format: signature, then a 13-byte header chunk that begins with width and height.
+_PNG_HEAD = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR"
+_HEAD_BYTES = len(_PNG_HEAD) + 8
+
+
+def _png_size(head: bytes) -> tuple[int | None, int | None]:
+    if len(head) < _HEAD_BYTES or not head.startswith(_PNG_HEAD):
+        return None, None
+    width, height = struct.unpack_from(">II", head, len(_PNG_HEAD))
+    return (width, height) if 0 < width < 1 << 31 and 0 < height < 1 << 31 else (None, None)
+
+
+def _opened(uri: str, stores: dict) -> tuple[fs.FileSystem, str]:
+    """The store of a file and its path there; one store for each scheme and host."""
+    if "://" not in uri:
+        return stores.setdefault("file", fs.LocalFileSystem()), re.sub(r"^file:", "", uri)
+    scheme, rest = uri.split("://", 1)
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)  # the store's own name
+    host = rest.split("/", 1)[0]
+    if scheme == "file":
+        return stores.setdefault("file", fs.LocalFileSystem()), rest[len(host) :]
+    if (scheme, host) not in stores:
+        stores[scheme, host] = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    store, root = stores[scheme, host]
+    return store, root.rstrip("/") + rest[len(host) :] if scheme in ("hdfs", "viewfs") else rest
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stores: dict = {}
+    for batch in batches:
+        sizes = []
+        for uri in batch.column("path").to_pylist():
+            store, path = _opened(uri, stores)
+            with store.open_input_file(path) as file:
+                sizes.append(_png_size(file.read_at(_HEAD_BYTES, 0)))
+        width, height = (pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, width, height], names=[*batch.schema.names, "original_width", "original_height"])
+
+
+def image_sizes(spark: SparkSession, folder: str, root: str | None = None) -> DataFrame:
+    """The listing of :func:`list_images` with ``original_width`` and ``original_height`` from the files' headers.
+
+    Tasks read the first 24 bytes of each of their files and decode nothing. Files that are no PNG have NULL sizes;
+    Spark lists no file without bytes.
+    """
+    listed = list_images(spark, folder, root)
+    schema = "recording_id string, image_name string, path string, original_width int, original_height int"
+    return listed.mapInArrow(_heads, schema)

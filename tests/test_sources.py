@@ -256,6 +256,38 @@ def test_image_flow_shuffles_nothing_wide(spark, tmp_path):
     assert not {"prob", "pixels", "logit", "model_image"} & set(re.findall(r"\b(\w+)#", top))
 
 
+def test_sizes_from_headers(spark, tmp_path):
+    for name in ("b 1", "c+2"):
+        (tmp_path / name).mkdir()
+        for k in range(3):
+            write_png(tmp_path / name / f"eye 1+2%_{k:05d}.png", disc(80, 70))
+    where = str(tmp_path / "*")
+    columns = ("recording_id", "image_name", "original_width", "original_height")
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    sizes = images.image_sizes(spark, where)
+    assert rows(sizes) == rows(images.image_scan(spark, where)) and len(rows(sizes)) == 6
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "image#" not in plan and "content" not in plan.split("Relation")[0]
+    # Only the header counts: the rest may be cut off; what is no PNG has no size.
+    whole = (tmp_path / "b 1" / "eye 1+2%_00000.png").read_bytes()
+    (tmp_path / "d").mkdir()
+    for name, data in {"cut": whole[:24], "short": whole[:23], "empty": b"", "other": b"GIF89a" + bytes(40)}.items():
+        (tmp_path / "d" / f"{name}.png").write_bytes(data)
+    got = {r.image_name: (r.original_width, r.original_height) for r in images.image_sizes(spark, str(tmp_path / "d")).collect()}
+    assert got == {"cut.png": (200, 160), "short.png": (None, None), "other.png": (None, None)}
+
+
+def test_folders_are_decoded_once(spark, tmp_path):
+    folder = tmp_path / "rec"
+    folder.mkdir()
+    for k in range(3):
+        write_png(folder / f"eye_{k + 1:05d}.png", disc(80, 70))
+    a = analysis.analyze_folders(spark, str(folder), bright_scorer, 0.5).table
+    b = analysis.analyze_frames(images.image_scan(spark, str(folder)), bright_scorer, 0.5).table
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert a._jdf.queryExecution().optimizedPlan().toString().count("Relation [image") == 1
+
+
 def test_video_catalogue_equals_folder(spark, tmp_path):
     folder = tmp_path / "vid"
     folder.mkdir()
