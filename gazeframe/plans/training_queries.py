@@ -423,7 +423,86 @@ def augment_photometric(spark, sf_dir):
     return _flat(A.augment_photometric(V.grey(spark, sf_dir), 8, _draws(), chance=0.6))
 
 
-@query("frame_id:i i:i image:d mask:i")
+# Every step of a training pair in turn, at a side of 12 and with the transforms' own chances and ranges; p0 to p5 are
+# the pairs after each.
+_SHOWN_AT_12 = """
+wide_pixels AS (SELECT frame_id, i % 16 AS sx, i // 16 AS sy, g.g AS image, t.t AS mask FROM grey g JOIN targets t USING (frame_id, i)),
+ids AS (SELECT DISTINCT frame_id FROM grey),
+cells AS (SELECT frame_id, i, i % 12 AS x, i // 12 AS y FROM ids, (SELECT unnest(range(144)) AS i) c),
+fit_x AS (SELECT xo, sx, greatest(0, 1 - abs((sx + 0.5e0 - (xo + 0.5e0) * (16 / 12)) / (16 / 12))) AS w
+  FROM (SELECT unnest(range(12)) AS xo) a, (SELECT unnest(range(16)) AS sx) b),
+fit_y AS (SELECT yo, sy, greatest(0, 1 - abs((sy + 0.5e0 - (yo + 0.5e0) * (4 / 3)) / (4 / 3))) AS w
+  FROM (SELECT unnest(range(3)) AS yo) a, (SELECT unnest(range(4)) AS sy) b),
+fit_wide AS (SELECT frame_id, xo, sy, floor(round(sum(image * w) / sum(w), 6) + 0.5e0) AS v FROM wide_pixels JOIN fit_x USING (sx) GROUP BY ALL),
+fit_small AS (SELECT frame_id, xo, yo, floor(round(sum(v * w) / sum(w), 6) + 0.5e0) AS image FROM fit_wide JOIN fit_y USING (sy) GROUP BY ALL),
+p0 AS (SELECT c.*, coalesce(s.image, 0) AS image, coalesce(m.mask, 0) AS mask FROM cells c
+  LEFT JOIN fit_small s ON s.frame_id = c.frame_id AND s.xo = c.x AND s.yo = c.y - 4
+  LEFT JOIN wide_pixels m ON m.frame_id = c.frame_id AND c.y BETWEEN 4 AND 6 AND m.sx = floor((c.x + 0.5e0) * 16 / 12)
+    AND m.sy = floor((c.y - 4 + 0.5e0) * 4 / 3))"""
+
+_ZOOMED_AT_12 = f"""
+room AS (SELECT frame_id, CASE WHEN {_u('zoom')} < 0.2e0 THEN greatest(1, round_even(12 * (0.85e0 + (1.15e0 - 0.85e0) * {_u('zoom_scale')}), 0))::BIGINT
+    ELSE 12 END AS n FROM ids),
+placed AS (SELECT frame_id, n, CASE WHEN n > 12 THEN 1 ELSE -1 END * {_integer('zoom_left', 'abs(n - 12)')} AS dx,
+    CASE WHEN n > 12 THEN 1 ELSE -1 END * {_integer('zoom_top', 'abs(n - 12)')} AS dy FROM room),
+zoom_taps AS (SELECT frame_id, o, s, greatest(0, 1 - abs((s + 0.5e0 - (o + 0.5e0) * (12 / n)) / greatest(12 / n, 1))) AS w
+  FROM (SELECT frame_id, n, unnest(range(n)) AS o FROM room) a, (SELECT unnest(range(12)) AS s) b),
+zoom_wide AS (SELECT p.frame_id, o AS xo, y, floor(round(sum(image * w) / sum(w), 6) + 0.5e0) AS v
+  FROM p0 p JOIN zoom_taps t ON t.frame_id = p.frame_id AND t.s = p.x GROUP BY ALL),
+zoom_grown AS (SELECT p.frame_id, xo, o AS yo, floor(round(sum(v * w) / sum(w), 6) + 0.5e0) AS image
+  FROM zoom_wide p JOIN zoom_taps t ON t.frame_id = p.frame_id AND t.s = p.y GROUP BY ALL),
+p1 AS (SELECT c.*, coalesce(g.image, 0) AS image, coalesce(p.mask, 0) AS mask FROM cells c JOIN placed z USING (frame_id)
+  LEFT JOIN zoom_grown g ON g.frame_id = c.frame_id AND g.xo = c.x + dx AND g.yo = c.y + dy
+  LEFT JOIN p0 p ON p.frame_id = c.frame_id AND g.xo IS NOT NULL
+    AND p.x = floor((c.x + dx + 0.5e0) * 12 / n) AND p.y = floor((c.y + dy + 0.5e0) * 12 / n))"""
+
+_MOVED_AT_12 = f"""
+margins AS (SELECT frame_id, {_u('pad')} < 0.2e0 AS on_, {_integer('pad_left', '3')} AS l, {_integer('pad_right', '3')} AS r,
+    {_integer('pad_top', '3')} AS t, {_integer('pad_bottom', '3')} AS b FROM ids),
+shifts AS (SELECT frame_id, CASE WHEN on_ THEN {_integer('crop_left', 'l + r')} - l ELSE 0 END AS dx,
+    CASE WHEN on_ THEN {_integer('crop_top', 't + b')} - t ELSE 0 END AS dy FROM margins),
+p2 AS (SELECT c.*, coalesce(image, 0) AS image, coalesce(mask, 0) AS mask FROM cells c JOIN shifts USING (frame_id)
+  LEFT JOIN p1 p ON p.frame_id = c.frame_id AND p.x = c.x + dx AND p.y = c.y + dy),
+p3 AS (SELECT c.*, image, mask FROM cells c JOIN (SELECT frame_id, {_u('flip_h')} < 0.2e0 AS h, {_u('flip_v')} < 0.2e0 AS v FROM ids) d USING (frame_id)
+  JOIN p2 p ON p.frame_id = c.frame_id AND p.x = CASE WHEN h THEN 11 - c.x ELSE c.x END AND p.y = CASE WHEN v THEN 11 - c.y ELSE c.y END),
+angles AS (SELECT frame_id, {_u('affine')} < 0.2e0 AS on_, pi() / 180 * (-15 + 30 * {_u('angle')}) AS a,
+    0.95e0 + (1.05e0 - 0.95e0) * {_u('affine_scale')} AS s FROM ids),
+looked AS (SELECT c.*, on_, cos(a) / s * (x - 5.5e0) + sin(a) / s * (y - 5.5e0) + 6 AS u,
+    -sin(a) / s * (x - 5.5e0) + cos(a) / s * (y - 5.5e0) + 6 AS v FROM cells c JOIN angles USING (frame_id)),
+corners AS (SELECT *, u >= 0 AND u < 12 AND v >= 0 AND v < 12 AS inside, u - 0.5e0 - floor(u - 0.5e0) AS fx, v - 0.5e0 - floor(v - 0.5e0) AS fy,
+    least(11, greatest(0, floor(u - 0.5e0))) AS x0, least(11, greatest(0, floor(u + 0.5e0))) AS x1,
+    least(11, greatest(0, floor(v - 0.5e0))) AS y0, least(11, greatest(0, floor(v + 0.5e0))) AS y1 FROM looked),
+p4 AS (SELECT n.frame_id, n.i, n.x, n.y, CASE WHEN NOT on_ THEN o.image WHEN inside THEN floor(round(
+    (a.image * (1 - fx) + b.image * fx) * (1 - fy) + (c.image * (1 - fx) + d.image * fx) * fy, 6)) ELSE 0 END AS image,
+    CASE WHEN NOT on_ THEN o.mask WHEN inside THEN m.mask ELSE 0 END AS mask
+  FROM corners n JOIN p3 o ON o.frame_id = n.frame_id AND o.i = n.i
+  JOIN p3 a ON a.frame_id = n.frame_id AND a.x = x0 AND a.y = y0 JOIN p3 b ON b.frame_id = n.frame_id AND b.x = x1 AND b.y = y0
+  JOIN p3 c ON c.frame_id = n.frame_id AND c.x = x0 AND c.y = y1 JOIN p3 d ON d.frame_id = n.frame_id AND d.x = x1 AND d.y = y1
+  LEFT JOIN p3 m ON m.frame_id = n.frame_id AND m.x = floor(u) AND m.y = floor(v))"""
+
+_TONED_AT_12 = f"""
+shades AS (SELECT frame_id, {_u('jitter')} < 0.2e0 AS on_, 0.8e0 + (1.2e0 - 0.8e0) * {_u('brightness')} AS bf,
+    0.8e0 + (1.2e0 - 0.8e0) * {_u('contrast')} AS cf, {_u('jitter_order')} < 0.5e0 AS bright_first,
+    {_u('blur')} < 0.2e0 AS soft, 0.1e0 + (2e0 - 0.1e0) * {_u('sigma')} AS sigma FROM ids),
+lit AS (SELECT p.*, on_, bf, cf, bright_first, soft, sigma, CASE WHEN bright_first THEN least(255, floor(round(image * bf, 6))) ELSE image END AS v
+  FROM p4 p JOIN shades USING (frame_id)),
+levels AS (SELECT frame_id, floor(avg(v) + 0.5e0) AS m FROM lit GROUP BY frame_id),
+steep AS (SELECT l.*, least(255, greatest(0, floor(round(m + (v - m) * cf, 6)))) AS c FROM lit l JOIN levels USING (frame_id)),
+shaded AS (SELECT frame_id, i, x, y, mask, soft, sigma, CASE WHEN NOT on_ THEN image WHEN bright_first THEN c
+    ELSE least(255, floor(round(c * bf, 6))) END AS v FROM steep),
+reach AS (SELECT unnest(range(-2, 3)) AS d),
+rows_soft AS (SELECT t.frame_id, t.i, t.x, t.y, sum(n.v * exp(-0.5e0 * pow(d / t.sigma, 2))) / sum(exp(-0.5e0 * pow(d / t.sigma, 2))) AS v
+  FROM shaded t, reach, shaded n WHERE t.soft AND n.frame_id = t.frame_id AND n.y = t.y AND n.x = 11 - abs(11 - abs(t.x + d)) GROUP BY ALL),
+both_soft AS (SELECT t.frame_id, t.i, sum(n.v * exp(-0.5e0 * pow(d / t.sigma, 2))) / sum(exp(-0.5e0 * pow(d / t.sigma, 2))) AS v
+  FROM shaded t, reach, rows_soft n WHERE n.frame_id = t.frame_id AND n.x = t.x AND n.y = 11 - abs(11 - abs(t.y + d)) GROUP BY ALL),
+p5 AS (SELECT t.frame_id, t.i, coalesce(round_even(round(b.v, 6), 0), t.v) AS image, mask FROM shaded t LEFT JOIN both_soft b USING (frame_id, i))"""
+
+
+@query(
+    "frame_id:i i:i image:d mask:i",
+    "SELECT frame_id, i, image / 255 AS image, CASE WHEN mask > 0 THEN 1 ELSE 0 END AS mask FROM p5",
+    (V.GREY_SQL, V.TARGETS_SQL, _SHOWN_AT_12, _ZOOMED_AT_12, _MOVED_AT_12, _TONED_AT_12),
+)
 def training_pairs(spark, sf_dir):
     pairs = V.grey(spark, sf_dir).select(
         "frame_id",
