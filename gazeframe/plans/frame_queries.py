@@ -160,6 +160,17 @@ def analysis_csv_sink(spark, sf_dir):
     return tables.read_analysis(spark, path, _VELOCITY_SCHEMA)
 
 
+@query(_VELOCITY, "SELECT * FROM tracked", TRACKING)
+def analysis_recordings(spark, sf_dir):
+    """One file per recording, read back under the files' names."""
+    path = scratch_path(spark, "recordings")
+    tables.write_recordings(results.velocity_columns(motion.track_frames(V.measurements(spark, sf_dir))), path)
+    plain = ", ".join(f for f in _VELOCITY_SCHEMA.split(", ") if not f.startswith("recording_id "))
+    name = F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1)
+    rows = tables.read_analysis(spark, path, plain)
+    return rows.withColumn("recording_id", name.cast("bigint"))
+
+
 @query(
     "run_id:i epoch:i train_loss:d val_loss:d macro_dice:d macro_iou:d balanced_iou:d threshold:d "
     "tiny_iou:d medium_iou:d large_iou:d low_circularity_iou:d learning_rate:d",

@@ -7,11 +7,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe.functions.raster import grey_levels
+from gazeframe.sources.files import opened
 
 
 def _placed(uri: Column, root: str | None) -> tuple[Column, Column]:
@@ -73,27 +73,12 @@ def _png_size(head: bytes) -> tuple[int | None, int | None]:
     return (width, height) if 0 < width < 1 << 31 and 0 < height < 1 << 31 else (None, None)
 
 
-def _opened(uri: str, stores: dict) -> tuple[fs.FileSystem, str]:
-    """The store of a file and its path there; one store for each scheme and host."""
-    if "://" not in uri:
-        return stores.setdefault("file", fs.LocalFileSystem()), re.sub(r"^file:", "", uri)
-    scheme, rest = uri.split("://", 1)
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)  # the store's own name
-    host = rest.split("/", 1)[0]
-    if scheme == "file":
-        return stores.setdefault("file", fs.LocalFileSystem()), rest[len(host) :]
-    if (scheme, host) not in stores:
-        stores[scheme, host] = fs.FileSystem.from_uri(f"{scheme}://{host}/")
-    store, root = stores[scheme, host]
-    return store, root.rstrip("/") + rest[len(host) :] if scheme in ("hdfs", "viewfs") else rest
-
-
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stores: dict = {}
     for batch in batches:
         sizes = []
         for uri in batch.column("path").to_pylist():
-            store, path = _opened(uri, stores)
+            store, path = opened(uri, stores)
             with store.open_input_file(path) as file:
                 sizes.append(_png_size(file.read_at(_HEAD_BYTES, 0)))
         width, height = (pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe import schemas as S
+from gazeframe.session import durable, scratch_path
+from gazeframe.sources.files import opened
 
 
 SINK_BLOCK = 1 << 16
@@ -25,6 +35,75 @@ def write_analysis(table: DataFrame, path: str, fmt: str = "csv", mode: str = "e
     writer.format(fmt).save(path)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], folder: str, header: bytes) -> Iterator[pa.RecordBatch]:
+    stores: dict = {}
+    for batch in batches:
+        done: dict[str, list] = {"recording_id": [], "path": [], "bytes": []}
+        for name, parts in zip(batch.column("recording_id").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            store, final = opened(f"{folder.rstrip('/')}/{name}.csv", stores)
+            store.create_dir(final.rsplit("/", 1)[0], recursive=True)
+            attempt = f"{final}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(attempt) as out:
+                out.write(header)
+                for part in parts:
+                    source, path = opened(part, stores)
+                    with source.open_input_stream(path) as rows:
+                        while piece := rows.read(_COPY_BYTES):
+                            out.write(piece)
+                size = out.tell()
+            store.move(attempt, final)
+            for key, value in zip(done, (name, final, size), strict=True):
+                done[key].append(value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(done["recording_id"], pa.string()), pa.array(done["path"], pa.string()), pa.array(done["bytes"], pa.int64())],
+            names=list(done),
+        )
+
+
+_COPY_BYTES = 1 << 20
+
+
+def write_recordings(table: DataFrame, folder: str, mode: str = "errorifexists") -> DataFrame:
+    """One ``<recording>.csv`` below ``folder`` for every recording, rows in frame order; returns its name, path and bytes.
+
+    Blocks of frames are sorted and written as headless parts by many tasks, through Spark's committer, into the shared folder. Then one
+    task for each recording copies its parts, in order, in pieces of a megabyte, and gives the file its name when it is
+    whole: a repeated or doubled task writes its own copy and replaces the same file by the same bytes. A recording named
+    ``a/b`` is a file in a folder; a missing or climbing name fails. ``overwrite`` replaces files, but removes none of other recordings.
+    """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"Not a mode of this sink: {mode}")
+    spark = table.sparkSession
+    store, place = opened(folder, {})
+    if mode == "errorifexists" and store.get_file_info(place).type != fs.FileType.NotFound:
+        raise FileExistsError(f"The folder is there already: {folder}")
+    name = F.col("recording_id").cast("string")
+    sound = name.isNotNull() & (name != "") & ~name.startswith("/") & ~F.array_contains(F.split(name, "/"), "..")
+    # The letter keeps Spark from reading numbers or dates into folder names.
+    keyed = table.withColumns(
+        {
+            "_recording": F.when(sound, F.concat(F.lit("r"), name)).otherwise(F.raise_error(F.lit("A recording needs a name for its file."))),
+            "_block": F.coalesce(F.floor(F.col("frame_number") / SINK_BLOCK), F.lit(-1)),
+        }
+    )
+    columns = [c for c in table.columns if c not in ("recording_id", "frame_number")]
+    stage = scratch_path(spark, "recording-parts")
+    dealt = keyed.repartition("_recording", "_block").sortWithinPartitions("_recording", "_block", "frame_number")
+    plain_options = {"header": False, "nullValue": "", "emptyValue": "", "compression": "none"}
+    dealt.select(*columns, "_recording", "_block").write.partitionBy("_recording", "_block").options(**plain_options).csv(stage)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(stage)
+    schema = "recording_id string, path string, bytes bigint"
+    if "_recording" not in listed.columns:  # an empty table has no parts
+        return spark.createDataFrame([], schema)
+    # A list holds one path for each block and file of a recording, 65 536 frames apiece.
+    files = F.transform(F.sort_array(F.collect_list(F.struct("_block", "path"))), lambda f: f.path)
+    parts = listed.select("_recording", "_block", "path").groupBy("_recording").agg(files.alias("parts"))
+    named = parts.select(F.substring("_recording", 2, 1 << 20).alias("recording_id"), "parts")
+    line = io.StringIO()
+    csv.writer(line, lineterminator="\n").writerow(columns)
+    return durable(named.mapInArrow(partial(_joined, folder=folder, header=line.getvalue().encode()), schema))
+
+
 def read_analysis(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":

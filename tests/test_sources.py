@@ -4,6 +4,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -231,6 +232,42 @@ def test_image_folder_end_to_end(spark, tmp_path):
     assert first[0] == "eye_00001.png" and first[7] == "" and '""' not in text
 
 
+def test_one_file_per_recording(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SINK_BLOCK", 16)
+    rows = [(r, n, f"{r}_{n}.png", None if n % 7 == 0 else n / 2, "a, \"b\"" if n == 3 else "") for r in ("001", "b/2020-01-01", "x y%") for n in range(1, 101)]
+    schema = "recording_id string, frame_number int, image_name string, speed double, quality_reason string"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    target = tmp_path / "out"
+    made = {r.recording_id: r.bytes for r in tables.write_recordings(df, str(target)).collect()}
+    found = {str(p.relative_to(target)): p for p in target.rglob("*") if p.is_file()}
+    assert set(found) == {f"{r}.csv" for r in made} == {"001.csv", "b/2020-01-01.csv", "x y%.csv"}
+    for name, path in found.items():
+        assert path.stat().st_size == made[name[:-4]]
+        lines = path.read_text().splitlines()
+        assert lines[0] == "image_name,speed,quality_reason"
+        assert [line.split(",")[0] for line in lines[1:]] == [f"{name[:-4]}_{n}.png" for n in range(1, 101)]
+        assert lines[7].endswith(",,") and lines[1].endswith(",0.5,")
+    with pytest.raises(FileExistsError):
+        tables.write_recordings(df, str(target))
+    before = {n: p.read_bytes() for n, p in found.items()}
+    tables.write_recordings(df, str(target), "overwrite")
+    assert {n: p.read_bytes() for n, p in found.items()} == before
+    assert sum(p.is_file() for p in target.rglob("*")) == 3
+    assert tables.write_recordings(df.limit(0), str(tmp_path / "none")).count() == 0
+    for bad in (None, "", "/etc/x", "a/../../b"):
+        with pytest.raises(Exception, match="needs a name"):
+            tables.write_recordings(df.limit(1).withColumn("recording_id", F.lit(bad).cast("string")), str(tmp_path / "bad"))
+
+
+def test_a_repeated_task_leaves_one_file(spark, tmp_path):
+    part = tmp_path / "part.csv"
+    part.write_bytes(b"1,2\n")
+    batch = pa.RecordBatch.from_pylist([{"recording_id": "a", "parts": [part.as_uri()]}])
+    for _ in range(2):
+        list(tables._joined(iter([batch]), str(tmp_path / "out"), b"x,y\n"))
+    assert [(p.name, p.read_bytes()) for p in (tmp_path / "out").iterdir()] == [("a.csv", b"x,y\n1,2\n")]
+
+
 def test_names_with_spaces_and_nested_folders(spark, tmp_path):
     for folder in ("b/rec1", "c/rec1"):
         (tmp_path / folder).mkdir(parents=True)
