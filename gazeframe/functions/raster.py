@@ -7,14 +7,17 @@ column expressions.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@lru_cache(maxsize=256)
 def axis_weights(size: int, new_size: int) -> np.ndarray:
-    """Triangle-filter weights, shape (new_size, size); wider when shrinking."""
+    """Triangle-filter weights, shape (new_size, size); wider when shrinking. Shared: not to be written to."""
     scale = size / new_size
     reach = max(scale, 1.0)
     centre = (np.arange(new_size) + 0.5) * scale
@@ -23,7 +26,9 @@ def axis_weights(size: int, new_size: int) -> np.ndarray:
     taps = np.arange(size)
     raw = np.maximum(0.0, 1.0 - np.abs((taps + 0.5 - centre[:, None]) / reach))
     raw = np.where((taps >= first[:, None]) & (taps < stop[:, None]), raw, 0.0)
-    return raw / raw.sum(axis=1, keepdims=True)
+    weights = raw / raw.sum(axis=1, keepdims=True)
+    weights.flags.writeable = False
+    return weights
 
 
 def _levels(values: np.ndarray) -> np.ndarray:

@@ -1,3 +1,4 @@
+import math
 import re
 import struct
 import sys
@@ -314,6 +315,35 @@ def test_sizes_from_headers(spark, tmp_path):
     assert got == {"cut.png": (200, 160), "short.png": (None, None), "other.png": (None, None)}
 
 
+def test_scores_by_batches(spark):
+    from gazeframe.operators.scoring import score_frames
+
+    def load():
+        seen = []
+
+        def scorer(batch):
+            seen.append(len(batch))
+            assert batch.dtype == np.float32 and len(batch) <= 3 and batch.shape[1:] == (2, 2)
+            batch *= 2  # scorers may write into their input
+            return batch[:, None]
+
+        return scorer
+
+    rows = [(k, {"a": k}, [k / 8, 0.0, -k / 8, None if k == 99 else 1.0]) for k in range(10)]
+    schema = "id int, extra map<string,int>, model_image array<float>"
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    got = {r.id: (r.extra, r.prob, r.map_width) for r in score_frames(df, load, 2, batch_size=3).collect()}
+    assert len(got) == 10
+    for k, (extra, prob, side) in got.items():
+        assert extra == {"a": k} and side == 2
+        assert prob == pytest.approx([1 / (1 + math.exp(-2 * z)) for z in (k / 8, 0.0, -k / 8, 1.0)], abs=1e-6)
+    plan = score_frames(df, load, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    for bad in ([0.5] * 3, None):
+        with pytest.raises(Exception, match="2 x 2 levels"):
+            score_frames(spark.createDataFrame([(1, {}, bad), (2, {}, [0.5] * 5)], schema), load, 2).collect()
+
+
 def test_folders_are_decoded_once(spark, tmp_path):
     folder = tmp_path / "rec"
     folder.mkdir()
