@@ -75,7 +75,7 @@ def with_range_medians(
 ) -> Iterator[pa.RecordBatch]:
     """Append to each row the median ``value`` of the other rows of its group with an index within its radius.
 
-    Rows come sorted by group and index. Rows without ``value`` have no median and are nobody's neighbour, like rows
+    Rows come sorted by group and index, and a group has one radius. Rows without ``value`` have no median and are nobody's neighbour, like rows
     without index; fewer than ``least`` neighbours give no median. A row leaves when a later index shows that its range
     is complete, so what is held is what the ranges of waiting rows reach over, whatever the length of a group.
     """
@@ -91,7 +91,7 @@ def with_range_medians(
         needed = ready
         if ready < table.num_rows:
             top = int(np.searchsorted(group, group[-1], "left"))
-            needed = top + int(np.searchsorted(line[top:], (line - reach)[ready:].min(), "left"))
+            needed = top + int(np.searchsorted(line[top:], line[ready] - reach[ready], "left"))
         have = table.column(value).is_valid().to_numpy() & table.column(index).is_valid().to_numpy()
         values = _numbers(table, value, 0.0, np.float64)
         starts, ends = _bounds(group, line, reach, have)

@@ -27,7 +27,7 @@ def test_range_medians(monkeypatch, rows, one_radius):
         group = np.sort(rng.integers(0, 4, n))
         index = np.concatenate([np.sort(rng.integers(-5, 40, (group == k).sum())) for k in range(4)])
         lost = np.array([j == 0 or group[j] != group[j - 1] for j in range(n)], bool) & (rng.random(n) < 0.5)
-        radius = np.full(n, 4) if one_radius else rng.integers(1, 9, n)
+        radius = np.full(n, 4) if one_radius else rng.integers(1, 9, 4)[group]
         value, missing = rng.integers(1, 12, n).astype(float), rng.random(n) < 0.2
         table = pa.table(
             {
