@@ -264,7 +264,7 @@ def replay(scores, patience, delta=1e-4):
     return best_epoch, len(scores), False
 
 
-def test_early_stop(spark, monkeypatch):
+def test_early_stop(spark):
     import random
 
     rnd = random.Random(5)
@@ -274,13 +274,27 @@ def test_early_stop(spark, monkeypatch):
         runs[k] = [round(rnd.random() ** k, 5) for _ in range(rnd.randint(1, 300))]
     rows = [(k, e, s) for k, scores in runs.items() for e, s in enumerate(scores, 1)]
     df = spark.createDataFrame(rows, "run_id int, epoch int, balanced_iou double")
-    for chunk in (65536, 50):
-        monkeypatch.setattr(val, "_CHUNK", chunk)
-        got = {r.run_id: (r.best_epoch, r.stop_epoch, r.stopped_early) for r in val.early_stop_replay(df).collect()}
-        assert got == {k: replay(v, 40) for k, v in runs.items()}
+    got = {r.run_id: (r.best_epoch, r.stop_epoch, r.stopped_early) for r in val.early_stop_replay(df).collect()}
+    assert got == {k: replay(v, 40) for k, v in runs.items()}
     assert got[0] == (25, 65, True)
 
 
+def test_early_stop_of_long_runs(spark):
+    """Runs over several segments: one that always improves, one that stops at once, one without a name."""
+    n = 150_000
+    runs = spark.range(1, n + 1).selectExpr(
+        "explode(array('up', 'down', NULL)) AS run_id", "id AS epoch", "id AS _id"
+    ).selectExpr(
+        "run_id", "epoch",
+        f"CASE run_id WHEN 'up' THEN _id / 100D WHEN 'down' THEN 1 - _id / {n}D ELSE if(_id <= 30, NULL, if(_id = 31, double('NaN'), double(_id % 7))) END AS balanced_iou",
+    )
+    got = {r.run_id: tuple(r)[1:] for r in val.early_stop_replay(runs).collect()}
+    assert got["up"] == (n, n / 100, n, False)
+    assert got["down"] == (1, 1 - 1 / n, 41, True)
+    assert got[None] == (34, 6.0, 74, True)
+    assert val.early_stop_replay(runs.limit(0)).count() == 0
+
+
 def test_loss_matches_definition(spark):
     df = spark.createDataFrame([(0, [2.0, -1.0], [1, 0])], "id int, logit array<double>, target array<int>")
     want = (math.log(1 + math.exp(-2)) + math.log(1 + math.exp(-1))) / 2
