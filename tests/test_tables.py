@@ -279,6 +279,20 @@ def test_early_stop(spark):
     assert got[0] == (25, 65, True)
 
 
+def test_early_stop_with_tasks_without_runs(spark):
+    df = spark.createDataFrame([(k, e, e / 8) for k in range(3) for e in (1, 2)], "run_id int, epoch int, balanced_iou double")
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in val.early_stop_replay(df).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(k, 2, 0.25, 2, False) for k in range(3)]
+
+
 def test_early_stop_of_long_runs(spark):
     """Runs over several segments: one that always improves, one that stops at once, one without a name."""
     n = 150_000
