@@ -234,12 +234,10 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def table_stream(spark, sf_dir: str, table: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table of a folder as a file stream."""
+def table_stream(spark, sf_dir: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A table of a folder as a file stream; the table is one file or a folder of files.
+
+    The path ends in a pattern that only the table matches: given a plain path, a stream takes folders alone.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{table}.parque[t]")

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gazeframe.operators import motion
+from __spark_entry__ import queries
+from gazeframe.operators import motion, results, segmentation
 from gazeframe.plans import stand_ins as V
 from gazeframe.streaming import live
 
@@ -138,3 +139,19 @@ def test_dropped_rows_are_reported(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     with pytest.warns(UserWarning, match="behind the watermark"):
         live.run_available(live.stream_kinematics(stream, 10.0), "dropped")
+
+
+@pytest.mark.parametrize("files", [0, 5])
+def test_streamed_tables_are_files_or_folders(spark, tmp_path, files):
+    table = V.table(spark, SF, "embeddings")
+    path = tmp_path / "embeddings.parquet"
+    if files:
+        table.repartition(files).write.parquet(str(path))
+        table.limit(3).write.parquet(str(tmp_path / "old_embeddings.parquet"))
+    else:
+        path.symlink_to(f"{SF}/embeddings.parquet")
+    got = queries()["stream_frame_qc"](spark, str(tmp_path))
+    want = results.tracking_status(segmentation.measure_frames(V.maps(spark, SF), 0.7), "segmentation_status")
+    names = ["frame_id", "selected_component_area", "quality_reason", "segmentation_status"]
+    assert got.count() == table.count() > 0
+    assert sorted(got.select(names).collect()) == sorted(want.select(names).collect())
