@@ -11,6 +11,8 @@ from gazeframe.plans.registry import query
 from gazeframe.session import scratch_path
 from gazeframe.streaming import live
 
+TURNS = 5
+
 
 @query(
     MEASURED + " segmentation_status:s",
@@ -24,15 +26,17 @@ def stream_frame_qc(spark, sf_dir):
 
 @query(_MOTION, "SELECT * FROM tracked", TRACKING)
 def stream_kinematics(spark, sf_dir):
-    # The events arrive in five files, rows dealt to them in no order; a row without recording closes the stream.
+    # The events arrive in five turns, rows dealt to their files in no order; a row without recording closes the stream.
     events = V.table(spark, sf_dir, "events")
+    days = events.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
     path = scratch_path(spark, "arriving")
-    for part in range(5):
-        piece = V.measurements_of(events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == part)).orderBy(F.xxhash64("image_name"))
-        piece.coalesce(1).write.parquet(f"{path}/{part}")
-    schema = spark.read.parquet(f"{path}/0").schema
+    dealt = V.measurements_of(events).repartition(TURNS * spark.sparkContext.defaultParallelism, "image_name")
+    dealt.sortWithinPartitions(F.xxhash64("image_name")).write.parquet(f"{path}/frames")
+    written = spark.read.parquet(f"{path}/frames")
+    schema, files = written.schema, len(written.inputFiles())
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in ("ts", "acquisition_fps")]
-    close = events.agg((F.max("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts")).select(*nothing, "ts", F.lit(1.0).alias("acquisition_fps"))
+    end = F.max("ts") + F.expr(f"INTERVAL {4000 + days} DAYS")
+    close = events.agg(end.alias("ts")).select(*nothing, "ts", F.lit(1.0).alias("acquisition_fps"))
     close.select(schema.names).write.parquet(f"{path}/z")
-    arriving = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
-    return live.run_available(live.stream_kinematics(arriving, delay="1000 days"), "kinematics")
+    arriving = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", -(-files // TURNS)).parquet(path)
+    return live.run_available(live.stream_kinematics(arriving, delay=f"{1000 + days} days"), "kinematics")

@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -28,11 +30,9 @@ MOTION = (
     "displacement_y_pixels double, velocity_x_pixels_per_second double, "
     "velocity_y_pixels_per_second double, speed_pixels_per_second double"
 )
-#: A frame in state: whether its motion is out, event time, order, and what motion needs.
-_HELD = (
-    "done boolean, home boolean, ms bigint, source_frame_index bigint, extraction_index bigint, image_name string, "
-    "valid boolean, t double, x double, y double"
-)
+#: State holds frames by the block, as Arrow streams: a call and a record for each frame would cost more than all else.
+_HELD = "frames binary"
+BLOCK = 10_000
 _FRAME = "is_home event_ms source_frame_index extraction_index image_name segmentation_valid timestamp_seconds center_x_pixels center_y_pixels".split()
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,6 +44,8 @@ def stream_frame_qc(frames: DataFrame, threshold: float, mask: str | None = None
 
 
 class Held(NamedTuple):
+    """A frame in state: whether its motion is out, event time, order, and what motion needs."""
+
     done: bool
     home: bool
     ms: int
@@ -55,44 +57,58 @@ class Held(NamedTuple):
     x: float | None
     y: float | None
 
-    @property
-    def place(self) -> tuple:
-        return self.index, self.extraction, self.name
 
+_HELD_SCHEMA = pa.schema(
+    [("done", pa.bool_()), ("home", pa.bool_()), ("ms", pa.int64()), ("index", pa.int64()), ("extraction", pa.int64())]
+    + [("name", pa.string()), ("valid", pa.bool_()), ("t", pa.float64()), ("x", pa.float64()), ("y", pa.float64())]
+)
+_PLACE = [(c, "ascending") for c in ("index", "extraction", "name")]
 
-def _number(v) -> float | None:
-    return None if v is None or v != v else float(v)
 
+def _table(columns: list) -> pa.Table:
+    """Columns of frames, in the order of :class:`Held`; a number that is NaN is missing."""
+    return pa.table([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, _HELD_SCHEMA, strict=True)], _HELD_SCHEMA)
 
-def linked(before: Held | None, row: Held) -> tuple[float, float, float] | None:
-    """Elapsed time and step from the frame right before, if motion between the two is defined."""
-    if before is None or row.index - before.index != 1 or not (row.valid and before.valid):
-        return None
-    if None in (before.t, row.t, before.x, row.x, before.y, row.y) or row.t <= before.t:
-        return None
-    return row.t - before.t, row.x - before.x, row.y - before.y
 
+def _blocks(held: pa.Table) -> list[tuple[bytes]]:
+    out = []
+    for i in range(0, held.num_rows, BLOCK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD_SCHEMA) as stream:
+            stream.write_table(held.slice(i, BLOCK))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
 
-def settle(held: list[Held], now: int, eager: bool) -> tuple[list[tuple[Held, tuple | None]], list[Held]]:
-    """Frames whose motion is final at watermark ``now``, with it; and the frames that state keeps.
+
+def settled(held: pa.Table, now: int, eager: bool) -> tuple[pa.Table, np.ndarray, pa.Table]:
+    """Frames whose motion is final at watermark ``now``; elapsed time and step of each from the frame right before, NaN where
+    motion between the two is not defined; and the frames that state keeps.
 
     A frame is final when the watermark has passed it, as nothing up to it can arrive any more, or with ``eager`` also
     when its predecessor is there. State keeps all other frames, the last frame and those that are right before one
     still held.
     """
-    held = sorted(held, key=lambda r: r.place)
-    out, now_done = [], []
-    before = None
-    for row in held:
-        ready = row.ms <= now or (eager and (row.index == 0 or (before is not None and before.index == row.index - 1)))
-        if not row.done and ready:
-            out.append((row, linked(before, row)))
-        now_done.append(row._replace(done=row.done or ready))
-        before = row
-    done = [r for r in now_done if r.done]
-    front = done[-1].index if done else 0
-    wanted = {r.index - 1 for r in now_done if not r.done}
-    return out, [r for r in now_done if not r.done or r.index >= front or r.index in wanted]
+    held = held.sort_by(_PLACE)
+    done, ms, index, valid, *spot = (held[c].to_numpy() for c in ("done", "ms", "index", "valid", "t", "x", "y"))
+    follows = np.diff(index, prepend=index[:1]) == 1
+    ready = ms <= now
+    if eager:
+        ready |= follows | (index == 0)
+    step = np.vstack([np.diff(v, prepend=np.nan) for v in spot])
+    linked = follows & valid & np.roll(valid, 1) & (step[0] > 0) & ~np.isnan(step).any(axis=0)
+    out = ~done & ready
+    now_done = done | ready
+    front = index[now_done].max(initial=0)
+    keep = ~now_done | (index >= front) | np.isin(index, index[~now_done] - 1)
+    kept = held.set_column(0, _HELD_SCHEMA.field(0), pa.array(now_done)).filter(pa.array(keep))
+    return held.filter(pa.array(out)), np.where(linked, step, np.nan)[:, out], kept
+
+
+def settle(held: list[Held], now: int, eager: bool) -> tuple[list[tuple[Held, tuple | None]], list[Held]]:
+    """:func:`settled` for a list of frames."""
+    rows = lambda table: [Held(*r) for r in zip(*(c.to_pylist() for c in table.columns), strict=True)]
+    out, step, kept = settled(_table(list(zip(*held, strict=True)) or [[]] * len(_HELD_SCHEMA)), now, eager)
+    return [(r, None if np.isnan(m[0]) else tuple(m.tolist())) for r, m in zip(rows(out), step.T, strict=True)], rows(kept)
 
 
 class _Motion(StatefulProcessor):
@@ -106,46 +122,49 @@ class _Motion(StatefulProcessor):
         self.held = handle.getListState("held", _HELD)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = []
-        for frame in rows:
-            for home, ms, index, extraction, name, valid, t, x, y in zip(*(frame[c].tolist() for c in _FRAME), strict=True):
-                new.append(Held(False, bool(home), int(ms), int(index), int(extraction), name, bool(valid), _number(t), _number(x), _number(y)))
-        self.handle.registerTimer(min(r.ms for r in new))
-        self.handle.registerTimer(max(r.ms for r in new) + self.idle_ms)
+        new = pa.concat_tables(_table([np.zeros(len(f), bool), *(f[c] for c in _FRAME)]) for f in rows)
+        self.handle.registerTimer(pc.min(new["ms"]).as_py())
         if self.eager:
-            yield self._released(key, [*self._state(), *new], timerValues.getCurrentWatermarkInMs())
+            yield self._released(key, pa.concat_tables([self._state(), new]), timerValues.getCurrentWatermarkInMs())
         else:
-            self.held.appendList([tuple(r) for r in new])
+            self.held.appendList(_blocks(new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         held = self._state()
-        yield self._released(key, held, now)
-        if held and max(r.ms for r in held) + self.idle_ms <= now:
+        if not held.num_rows:  # cleared by a timer before
+            return
+        released = self._released(key, held, now)
+        if len(released):
+            yield released
+        idle = pc.max(held["ms"]).as_py() + self.idle_ms
+        if idle <= now:
             self.held.clear()
-
-    def _state(self) -> list[Held]:
-        return [Held(*r) for r in self.held.get()]
-
-    def _released(self, key, held: list[Held], now: int) -> pd.DataFrame:
-        out, kept = settle(held, now, self.eager)
-        if kept:
-            self.held.put([tuple(r) for r in kept])
-        waiting = [r.ms for r in kept if not r.done and r.ms > now]
-        if waiting:
-            self.handle.registerTimer(min(waiting))
-        own = [(r, m) for r, m in out if r.home]
-        number = lambda values: np.array([np.nan if v is None else v for v in values], dtype=float)
-        dt, dx, dy = (number(None if m is None else m[k] for _, m in own) if own else np.empty(0) for k in range(3))
+        else:
+            self.handle.registerTimer(idle)
+
+    def _state(self) -> pa.Table:
+        return pa.concat_tables([_HELD_SCHEMA.empty_table(), *(pa.ipc.open_stream(b).read_all() for (b,) in self.held.get())])
+
+    def _released(self, key, held: pa.Table, now: int) -> pd.DataFrame:
+        out, step, kept = settled(held, now, self.eager)
+        if kept.num_rows:
+            self.held.put(_blocks(kept))
+        waiting = kept.filter(pc.and_(pc.invert(kept["done"]), pc.greater(kept["ms"], now)))
+        if waiting.num_rows:
+            self.handle.registerTimer(pc.min(waiting["ms"]).as_py())
+        home = out["home"].to_numpy()
+        own = out.filter(out["home"])
+        dt, dx, dy = step[:, home]
         vx, vy = dx / dt, dy / dt
         return pd.DataFrame(
             {
-                "recording_id": np.full(len(own), key[0], np.int64),
-                INDEX: np.array([r.index for r, _ in own], np.int64),
-                "image_name": pd.Series([r.name for r, _ in own], dtype=object),
-                "timestamp_seconds": number(r.t for r, _ in own) if own else np.empty(0),
-                "center_x_pixels": number(r.x for r, _ in own) if own else np.empty(0),
-                "center_y_pixels": number(r.y for r, _ in own) if own else np.empty(0),
+                "recording_id": np.full(own.num_rows, key[0], np.int64),
+                INDEX: own["index"].to_numpy(),
+                "image_name": pd.Series(own["name"].to_pylist(), dtype=object),
+                "timestamp_seconds": own["t"].to_numpy(),
+                "center_x_pixels": own["x"].to_numpy(),
+                "center_y_pixels": own["y"].to_numpy(),
                 "displacement_x_pixels": dx,
                 "displacement_y_pixels": dy,
                 "velocity_x_pixels_per_second": vx,

@@ -155,3 +155,15 @@ def test_streamed_tables_are_files_or_folders(spark, tmp_path, files):
     names = ["frame_id", "selected_component_area", "quality_reason", "segmentation_status"]
     assert got.count() == table.count() > 0
     assert sorted(got.select(names).collect()) == sorted(want.select(names).collect())
+
+
+def test_events_of_many_years_arrive_whole(spark, tmp_path, monkeypatch):
+    """No frame is late, however long the events last; a bucket sets one timer in a micro-batch."""
+    events = V.table(spark, SF, "events")
+    events.withColumn("ts", F.col("ts") + F.make_dt_interval(F.col("event_id") * 4)).write.parquet(str(tmp_path / "events.parquet"))
+    runs, late = [], live.late_rows
+    monkeypatch.setattr(live, "late_rows", lambda query: runs.append(query.recentProgress) or late(query))
+    got = queries()["stream_kinematics"](spark, str(tmp_path))
+    assert got.count() == events.count()
+    assert sum(p["numInputRows"] > 1 for p in runs[0]) == 5
+    assert all(o["customMetrics"].get("numRegisteredTimers", 0) <= 1 for p in runs[0] for o in p["stateOperators"])
