@@ -1,9 +1,9 @@
 """Optimal length buckets: boundaries from a dynamic programme, token-budget batches inside each.
 
-The histogram has one row per length that occurs. A dynamic programme over it finds the
-boundaries with the least padding when every text is padded to the boundary of its bucket. If more than ``LENGTHS`` different
-lengths occur, those above 16 384 words are gathered into bins of a part in 8 192, each standing for its longest text, so that
-what reaches the driver is bounded; padding then is at most the least one and a part in 8 192 of the words. Inside a
+The histogram has one row per length that occurs, at any size of the input. A dynamic programme over it finds the
+boundaries with the least padding when every text is padded to the boundary of its bucket. Only the histogram reaches the
+driver, as two numbers for a length: ``m`` different lengths need texts of ``m * (m - 1) / 2`` words in all, so that it grows with the
+root of the input at most (a million lengths: half a trillion words). Inside a
 bucket texts are ranked in hash order, across any number of tasks, and cut into batches of as many
 texts as the token budget holds.
 """
@@ -20,29 +20,16 @@ from gazeframe.session import scratch_path
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-EXACT, STEPS = 1 << 14, 1 << 13
-LENGTHS = 400_000
+LENGTHS = 400_000  # cuts weighed at once by the driver, about; no result depends on it
 PART = 50_000  # texts ranked by one window, about
 
 
-def grid_length(n: Column) -> Column:
-    """The least grid length that is not below ``n``."""
-    octave = F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)))) - 13, F.lit(0)).cast("int")
-    step = F.expr("1L") * F.pow(F.lit(2.0), octave).cast("bigint")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("bigint") * step)
-
-
 def length_histogram(sized: DataFrame) -> np.ndarray:
-    """Length, texts and words, ascending; one row per length or, of too many, per bin of long ones."""
-    spark = sized.sparkSession
-    path = scratch_path(spark, "length-histogram")
-    sized.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
-    exact = spark.read.parquet(path)
-    rows = exact.select("n_words", "n", (F.col("n_words") * F.col("n")).alias("words"))
-    if exact.count() > LENGTHS:
-        binned = rows.groupBy(grid_length(F.col("n_words")).alias("bin"))
-        rows = binned.agg(F.max("n_words").alias("longest"), F.sum("n").alias("texts"), F.sum("words").alias("words")).drop("bin")
-    return np.array(sorted(tuple(r) for r in rows.collect()), dtype=np.int64).reshape(-1, 3)
+    """Length, texts and words, ascending; one row per length."""
+    found = sized.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lengths, texts = (found[c].to_numpy() for c in ("n_words", "n"))
+    order = np.argsort(lengths)
+    return np.column_stack([lengths, texts, lengths * texts])[order].astype(np.int64)
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, words: np.ndarray, buckets: int) -> list[int]:
@@ -55,9 +42,9 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, words: np.ndarray,
     m = len(lengths)
     if m == 0:
         return []
-    n = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    w = np.concatenate([[0], np.cumsum(words)]).astype(np.float64)
-    top = np.asarray(lengths, dtype=np.float64)
+    n = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    w = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
+    top = np.asarray(lengths, dtype=np.int64)
     cost = lambda i, j: top[j] * (n[j + 1] - n[i]) - (w[j + 1] - w[i])  # run i..j
     best = cost(np.zeros(m, int), np.arange(m))
     cuts = [np.zeros(m, int)]
@@ -70,15 +57,18 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, words: np.ndarray,
             last = np.minimum(mid, right)
             first = np.minimum(left, last)
             size = last - first + 1
-            i = ragged(first, size)
-            j = np.repeat(mid, size)
-            value = np.where(i > 0, best[i - 1], 0.0) + cost(i, j)
-            starts = np.cumsum(size) - size
-            least = np.minimum.reduceat(value, starts)
-            hit = np.flatnonzero(value == np.repeat(least, size))
-            owner = np.repeat(np.arange(len(mid)), size)[hit]
-            pick = i[hit[np.searchsorted(owner, np.arange(len(mid)))]]
-            now[mid], cut[mid] = least, pick
+            pick = np.empty(len(mid), int)
+            turn = (np.cumsum(size) - 1) // LENGTHS
+            for some in np.split(np.arange(len(mid)), np.flatnonzero(np.diff(turn)) + 1):
+                many = size[some]
+                i = ragged(first[some], many)
+                value = np.where(i > 0, best[i - 1], 0) + cost(i, np.repeat(mid[some], many))
+                least = np.minimum.reduceat(value, np.cumsum(many) - many)
+                hit = np.flatnonzero(value == np.repeat(least, many))
+                owner = np.repeat(np.arange(len(some)), many)[hit]
+                pick[some] = i[hit[np.searchsorted(owner, np.arange(len(some)))]]
+                now[mid[some]] = least
+            cut[mid] = pick
             lo, hi, left, right = (
                 np.concatenate([lo, mid + 1]),
                 np.concatenate([mid - 1, hi]),

@@ -208,6 +208,16 @@ def test_packing_of_very_long_texts(spark, monkeypatch, most):
         assert padding == least if most > 5 else least <= padding <= least + sum(lengths) / 8192
 
 
+@pytest.mark.parametrize("most", [5, 1])
+def test_packing_does_not_depend_on_the_number_of_lengths(spark, monkeypatch, most):
+    lengths = [100_000, 100_007, 100_007, 64_001, 64_003, 33_331, 33_333, 33_333, 20_001, 20_003, 16_385, 16_384, 5, 2]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    want = sorted(packing.pack(docs, buckets=11).collect())
+    monkeypatch.setattr(packing, "LENGTHS", most)
+    assert sorted(packing.pack(docs, buckets=11).collect()) == want
+    assert sum(r.padding for r in want) == least_padding(lengths, 11)
+
+
 def test_likeness_of_very_long_repetitive_texts(spark):
     n = [30_000, 40_000, 100_000]
     docs = spark.createDataFrame([(i, "w " * k) for i, k in enumerate(n)] + [(9, "other words than these")], "doc_id long, text string")
