@@ -7,8 +7,9 @@ tokenizers end a token the text is cut into groups.
 
 Neither tokenizer joins what stands before a single space with what follows it (checked for B's pieces
 when its file is read), so a text is encoded as parts between such spaces, and each different part of a task is encoded and
-aligned once. A task numbers the id pairs it meets; documents refer to the numbers. Per task a pair
-travels once to be counted over the corpus, and its count travels back to the task's documents.
+aligned once; new parts are encoded many at once, with a space between them as in a text. A task numbers the id
+pairs it meets; documents refer to the numbers. Per task a pair travels once to be counted over the corpus, and
+its count travels back to the task's documents.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +38,15 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PARTS, PAIRS = 500_000, 400_000
 PAIRS_PER_ROW = 20_000
 #: Parts that are encoded as one text, such texts at once, and links from which a group counts distinct ids.
-JOINED, ENCODED_AT_ONCE, LARGE_GROUP = 1_000, 16, 1_024
+JOINED, ENCODED_AT_ONCE, LARGE_GROUP = 300, 16, 1_024
 _BARRIER = " . "
+_AFTER_ID = (",", "|", ";", "")
 
 _SPACE = "▁"
 # A cut before a space is safe after an ASCII character that is not white, and between a character beyond
-# ASCII and an ASCII character that is not white; both tokenizers then begin a token at the space.
-_UNSAFE = re.compile(r"(?:^|[\x00-\x20\x7f]) | $|[^\x00-\x7f] [^\x21-\x7e]")
+# ASCII and an ASCII character that is not white; both tokenizers then begin a token at the space. B has no token
+# for an empty text, so the last space is never cut at.
+_CUT = re.compile(r" (?!\Z)(?:(?<=[\x21-\x7e] )|(?<=[^\x00-\x7f] )(?=[\x21-\x7e]))")
 
 
 def byte_values() -> dict[str, int]:
@@ -61,6 +65,7 @@ class Tokenizers:
     b_bytes: list[bytes]
     a_sizes: np.ndarray
     b_sizes: np.ndarray
+    written: pa.Array  # every id with each of _AFTER_ID
     cut: bool
 
 
@@ -87,28 +92,13 @@ def load(a_file: str, b_file: str) -> Tokenizers:
     cut = not any(inner.search(p) for i, p in enumerate(pieces) if not b.is_control(i))
     a_sizes = np.zeros(max(a_bytes) + 1, np.int64)
     a_sizes[list(a_bytes)] = [len(x) for x in a_bytes.values()]
-    return Tokenizers(a, b, a_bytes, b_bytes, a_sizes, np.array([len(x) for x in b_bytes], np.int64), cut)
+    written = pa.array([f"{i}{c}" for i in range(max(len(a_sizes), len(b_bytes))) for c in _AFTER_ID], pa.string())
+    return Tokenizers(a, b, a_bytes, b_bytes, a_sizes, np.array([len(x) for x in b_bytes], np.int64), written, cut)
 
 
 def parts_of(text: str, cut: bool = True) -> list[str]:
     """The text between safe single spaces; the spaces cut at are left out."""
-    if not cut:
-        return [text]
-    found = text.split(" ")
-    if not _UNSAFE.search(text):
-        return found
-    out = [found[0]]
-    for part in found[1:]:
-        last, first = out[-1][-1:], part[:1]
-        after_ascii = "\x21" <= last <= "\x7e"
-        between = last > "\x7f" and "\x21" <= first <= "\x7e"
-        if after_ascii or between:
-            out.append(part)
-        else:
-            out[-1] += " " + part
-    if len(out) > 1 and not out[-1]:  # B has no token for an empty text
-        out[-2:] = [out[-2] + " "]
-    return out
+    return _CUT.split(text) if cut else [text]
 
 
 def refined_ends(lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -161,20 +151,23 @@ class _Numbering:
         self.first = np.zeros(1, np.int64)  # of each part's entries in the next two
         self.numbers, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def numbers_of(self, parts: list[str]) -> np.ndarray:
+        """Numbers of different parts; new ones are added."""
+        self.learn([x for x in parts if x not in self.part])
+        return np.fromiter(map(self.part.__getitem__, parts), np.int64, len(parts))
+
     def learn(self, parts: list[str]) -> None:
-        """Add new parts. Many are encoded as one text, with a full stop between them: tokens never reach over it."""
+        """Add new parts, each once. Many are encoded as one text."""
         joined, alone = [], []
         for x in parts:
-            (joined if x and ("\x21" <= x[-1] <= "\x7e" or x[-1] > "\x7f") else alone).append(x)
-        if not self.t.cut:
-            joined, alone = [], parts
-        runs = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)] + [[x] for x in alone]
-        found, again = self._aligned(runs)
-        more, lost = self._aligned([[x] for run in again for x in run if len(run) > 1])
-        lost += [run for run in again if len(run) == 1]
+            # A piece with the sign for a space is never given back as it was.
+            can_join = x and ("\x21" <= x[-1] <= "\x7e" or x[-1] > "\x7f") and _SPACE not in x
+            (joined if can_join and self.t.cut else alone).append(x)
+        found, again = self._aligned([joined[k : k + JOINED] for k in range(0, len(joined), JOINED)])
+        more, lost = self._aligned([[x] for x in chain(alone, *again)])
         found += more
         order = [x for run, *_ in found for x in run] + [x for run in lost for x in run]
-        self.part.update(zip(order, range(len(self.part), len(self.part) + len(order)), strict=True))
+        self.part.update(zip(order, range(len(self.known), len(self.known) + len(order)), strict=True))
         n_lost = sum(map(len, lost))
         self.known = np.concatenate([self.known, np.ones(len(order) - n_lost, bool), np.zeros(n_lost, bool)])
         self.counts = np.concatenate([self.counts, *(f[1] for f in found), np.zeros((n_lost, 4), np.int64)])
@@ -191,15 +184,19 @@ class _Numbering:
         self.documents = np.concatenate([self.documents, np.zeros(len(self.number) - len(self.documents), np.int64)])
 
     def _aligned(self, runs: list[list[str]]) -> tuple[list[tuple], list[list[str]]]:
-        """Runs of parts with their alignment, and the runs that are not given back byte by byte."""
+        """Parts of many runs with their alignment, and the runs that are not given back byte by byte."""
         found, failed = [], []
         for k in range(0, len(runs), ENCODED_AT_ONCE):
-            some = runs[k : k + ENCODED_AT_ONCE]
-            texts = [_BARRIER.join(x) for x in some]
-            encoded = self.t.a.encode_batch([" " + x for x in texts], add_special_tokens=False)
-            for run, text, e in zip(some, texts, encoded, strict=True):
-                got = _align(run, text, e, self.t.b.encode(text, return_type="proto"), self.t)
-                found.append((run, *got)) if got else failed.append(run)
+            some = [_Run(x) for x in runs[k : k + ENCODED_AT_ONCE]]
+            encoded = self.t.a.encode_batch([" " + x.text for x in some], add_special_tokens=False)
+            good = []
+            for run, e in zip(some, encoded, strict=True):
+                same = run.given_back(e, self.t.b.encode(run.text, return_type="proto"), self.t)
+                good.append(run) if same else failed.append(run.parts)
+            if got := _align(good, self.t):
+                found.append(got)
+            else:
+                failed += [x.parts for x in good]
         return found, failed
 
     @property
@@ -207,31 +204,56 @@ class _Numbering:
         return len(self.part) >= PARTS or len(self.number) >= PAIRS
 
 
-def _align(run: list[str], text: str, encoded, proto, t: Tokenizers) -> tuple | None:
-    """Of each part: counts, groups as text, number of pairs; then all pairs and their links. None where the joined
-    bytes of either side differ from space+text."""
-    whole = (" " + text).encode()
-    a = np.array(encoded.ids, np.int64)
-    b = np.array([p.id for p in proto.pieces], np.int64)
-    if b"".join([t.a_bytes[i] for i in a.tolist()]) != whole or b"".join([t.b_bytes[i] for i in b.tolist()]) != whole:
+class _Run:
+    """Parts as one text, a full stop between two where a bare space is not safe; tokens never reach over it.
+    All but a single part end with a character that is not white."""
+
+    def __init__(self, parts: list[str]):
+        self.parts = parts
+        self.barred = [x[-1] > "\x7f" and not "\x21" <= y[0] <= "\x7e" for x, y in pairwise(parts)] + [False]
+        gaps = [_BARRIER if x else " " for x in self.barred]
+        gaps[-1] = ""
+        self.text = "".join(chain.from_iterable(zip(parts, gaps, strict=True)))
+
+    def given_back(self, encoded, proto, t: Tokenizers) -> bool:
+        """Keep the tokens; whether the joined bytes of both sides are space+text."""
+        whole, pieces = (" " + self.text).encode(), list(proto.pieces)
+        self.size, self.a, self.a_offsets = len(whole), encoded.ids, encoded.offsets
+        self.b, self.b_ends = [p.id for p in pieces], [p.end for p in pieces]
+        return b"".join([t.a_bytes[i] for i in self.a]) == whole and b"".join([t.b_bytes[i] for i in self.b]) == whole
+
+
+def _align(runs: list[_Run], t: Tokenizers) -> tuple | None:
+    """All parts of the runs; of each part: counts, groups as text, number of pairs; then all pairs and their links.
+    None where a part does not end with a token on both sides."""
+    parts = [x for run in runs for x in run.parts]
+    if not parts:
         return None
-    at = char_starts(" " + text)
-    spans = at[np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)]
+    flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+    a, b = flat(x.a for x in runs), flat(x.b for x in runs)
+    # The texts behind each other, each after its space, are one text in which each run's offsets count from its start.
+    at = char_starts("".join([" " + x.text for x in runs]))
+    before = lambda sizes: np.cumsum([0, *sizes[:-1]])
+    offsets = flat(chain.from_iterable(x.a_offsets for x in runs)).reshape(-1, 2)
+    spans = at[offsets + np.repeat(before([len(x.text) + 1 for x in runs]), [len(x.a) for x in runs])[:, None]]
     a_ends = refined_ends(spans[:, 0], spans[:, 1], t.a_sizes[a])
     # Spans of B follow each other and count from the text's first byte; the space before it belongs to the first piece.
-    hi = np.array([p.end for p in proto.pieces], np.int64) + 1
+    hi = flat(x.b_ends for x in runs) + 1
+    hi += np.repeat(before([x.size for x in runs]), [len(x.b) for x in runs])
     b_ends = refined_ends(np.concatenate([[0], hi[:-1]]), hi, t.b_sizes[b])
     cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    # Ends of the parts, each with the barrier after it.
-    size = np.array([len(x.encode()) + 1 for x in run], np.int64)
-    stops = np.cumsum(size + len(_BARRIER) - 1) - (len(_BARRIER) - 1)
+    # Ends of the parts, each with its space and the barrier before it.
+    barred = np.array([y for x in runs for y in x.barred])
+    size = np.array([len(x.encode()) + 1 for x in parts], np.int64)
+    size[1:] += np.where(barred[:-1], len(_BARRIER) - 1, 0)
+    stops = np.cumsum(size)
     last = np.searchsorted(cuts, stops)
     if (cuts[np.minimum(last, len(cuts) - 1)] != stops).any():
         return None
     # The group of a barrier is the one right after a part.
     owner = np.searchsorted(stops, cuts)
     inside = np.ones(len(cuts), bool)
-    inside[last[:-1] + 1] = False
+    inside[last[barred] + 1] = False
     a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
     keep_a, keep_b = inside[a_group], inside[b_group]
     a, a_group, b, b_group = a[keep_a], a_group[keep_a], b[keep_b], b_group[keep_b]
@@ -243,26 +265,25 @@ def _align(run: list[str], text: str, encoded, proto, t: Tokenizers) -> tuple |
     fresh[1:] = (codes[1:] != codes[:-1]) | (part[1:] != part[:-1])
     starts = np.flatnonzero(fresh)
     times = np.add.reduceat(times, starts)
-    per = lambda x: np.bincount(owner, weights=x, minlength=len(run)).astype(np.int64)
+    per = lambda x: np.bincount(owner, weights=x, minlength=len(parts)).astype(np.int64)
     counts = np.stack([per(n_a), per(n_b), per(inside), per(n_a * n_b)], axis=1)
-    entries = np.bincount(part[starts], minlength=len(run))
-    return counts, _written(a, a_group, b, b_group, owner), entries, codes[starts], times
+    entries = np.bincount(part[starts], minlength=len(parts))
+    return parts, counts, _written(a, a_group, b, b_group, owner, t), entries, codes[starts], times
 
 
-def _written(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, owner: np.ndarray) -> list[str]:
+def _written(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, owner: np.ndarray, t: Tokenizers) -> list[str]:
     """``a1,a2|b1;a3|b2`` of each part in order."""
     key = np.concatenate([2 * a_group, 2 * b_group + 1])
     order = np.argsort(key, kind="stable")
     ids, key = np.concatenate([a, b])[order], key[order]
-    step = np.zeros(len(key), np.int64)  # what stands after an id: , | ; or the part's end
-    step[:-1] = np.where(key[1:] == key[:-1], 0, np.where(key[1:] >> 1 == key[:-1] >> 1, 1, 2))
     part = owner[key >> 1]
-    step[:-1][part[1:] != part[:-1]] = 3
-    text = [None] * (2 * len(ids))
-    text[0::2] = map(str, ids.tolist())
-    text[1::2] = [",|;\n"[k] for k in step.tolist()]
-    text[-1] = ""
-    return "".join(text).split("\n")
+    borders = np.flatnonzero(part[1:] != part[:-1])
+    step = np.full(len(key), 3)  # what stands after an id: , | ; or the part's end
+    step[:-1] = np.where(key[1:] == key[:-1], 0, np.where(key[1:] >> 1 == key[:-1] >> 1, 1, 2))
+    step[borders] = 3
+    texts = t.written.take(pa.array(len(_AFTER_ID) * ids + step))
+    bounds = np.concatenate([[0], borders + 1, [len(ids)]])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), texts), "").to_numpy(zero_copy_only=False).tolist()
 
 
 _ROW = pa.schema(
@@ -280,27 +301,30 @@ _DOCUMENT, _PAIRS = 0, 1
 _NONE = np.empty(0, np.int64)
 
 
-def _documents(texts: list[str], parts: list[list[str]], known: _Numbering, digest: bool) -> dict[str, pa.Array]:
-    """Counts, groups and pair numbers of each text."""
+def _documents(texts: list[str], sizes: list[int], flat: np.ndarray, known: _Numbering, digest: bool) -> dict[str, pa.Array]:
+    """Counts, groups and pair numbers of each text, which has the next ``sizes`` of the parts ``flat``."""
     n = len(texts)
-    flat = np.fromiter((known.part[p] for ps in parts for p in ps), np.int64)
-    stops = np.cumsum([len(ps) for ps in parts])
-    row = np.repeat(np.arange(n), [len(ps) for ps in parts])
+    row = np.repeat(np.arange(n), sizes)
     good = np.bincount(row, weights=~known.known[flat], minlength=n) == 0
     good &= np.fromiter((x != "" for x in texts), bool, n)
     flat, row = flat[good[row]], row[good[row]]
-    counts = np.zeros((n, 4), np.int64)
-    np.add.at(counts, row, known.counts[flat])
+    sums = np.zeros((len(flat) + 1, 4), np.int64)
+    np.cumsum(known.counts[flat], axis=0, out=sums[1:])
+    counts = np.diff(sums[np.searchsorted(row, np.arange(n + 1))], axis=0)
+    groups = map(known.groups.__getitem__, flat.tolist())
     written = []
-    for x, ok in zip(parts, good.tolist(), strict=True):
-        text = ";".join([known.groups[known.part[p]] for p in x]) if ok else ""
+    for k, ok in zip(sizes, good.tolist(), strict=True):
+        text = ";".join(islice(groups, k)) if ok else ""
         written.append(hashlib.sha256(text.encode()).hexdigest() if digest and ok else text)
     size = known.first[flat + 1] - known.first[flat]
     entry = ragged(known.first[flat], size)
     key = np.repeat(row, size) << 32 | known.numbers[entry]
-    distinct, at = np.unique(key, return_inverse=True)
-    times = np.zeros(len(distinct), np.int64)
-    np.add.at(times, at, known.times[entry])
+    order = np.argsort(key)
+    key, times = key[order], known.times[entry[order]]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    starts = np.flatnonzero(fresh)
+    distinct, times = key[starts], np.add.reduceat(times, starts) if len(starts) else times
     numbers, owner = distinct & 0xFFFFFFFF, distinct >> 32
     known.documents += np.bincount(numbers, minlength=len(known.documents))
     bounds = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
@@ -330,8 +354,9 @@ def _encode(batches: Iterator[pa.RecordBatch], files: tuple[str, str], digest: b
         ids = batch.column("doc_id")
         texts = ["" if x is None else x.decode() for x in batch.column("text").to_pylist()]
         parts = [parts_of(x, t.cut) for x in texts]
-        known.learn(list({p for ps in parts for p in ps if p not in known.part}))
-        columns = _documents(texts, parts, known, digest)
+        words = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        flat = known.numbers_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        columns = _documents(texts, [len(x) for x in parts], flat, known, digest)
         columns |= {"kind": pa.array(np.full(len(texts), _DOCUMENT, np.int32)), "task": pa.array(np.full(len(texts), task)), "doc_id": ids}
         yield _batch(columns, len(texts))
         if known.full:

@@ -111,6 +111,42 @@ def test_parts_are_encoded_like_whole_texts():
         assert [i for p in parts for i in t.b.encode(p)] == t.b.encode(text), repr(text)
 
 
+def test_parts_in_any_order_are_encoded_like_each_alone():
+    t = alignment.load(*(os.path.join(alignment.FOLDER, f) for f in (alignment.A_FILE, alignment.B_FILE)))
+    r = random.Random(4)
+    pool = ["a", "B", "'s", "7", "é", "ñ", "中", " ", "\u0085", "\u3000", "\t", "\n", ".", "!", "🙂", "‍", "the", "́", "▁"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    parts = sorted({p for x in texts for p in alignment.parts_of(x)} | {"", " "})
+    r.shuffle(parts)
+    together = alignment._Numbering(t)
+    together.learn(parts[:2000])
+    together.learn(parts[2000:])
+    said = lambda known, p: (known.known[known.part[p]], known.counts[known.part[p]].tolist(), known.groups[known.part[p]])
+    for p in parts:
+        alone = alignment._Numbering(t)
+        alone.learn([p])
+        assert said(together, p) == said(alone, p), repr(p)
+
+
+def test_tokenizers_get_little_more_than_the_parts(monkeypatch):
+    t = alignment.load(*(os.path.join(alignment.FOLDER, f) for f in (alignment.A_FILE, alignment.B_FILE)))
+    given = []
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch(self, texts, **how):
+            given.extend(texts)
+            return self.inner.encode_batch(texts, **how)
+
+    monkeypatch.setattr(t, "a", Seen(t.a))
+    r = random.Random(5)
+    parts = sorted({"".join(r.choice("aeinrstéñ") for _ in range(r.randint(2, 7))) + r.choice(("", "", "", ".")) for _ in range(5000)})
+    alignment._Numbering(t).learn(parts)
+    assert sum(map(len, given)) < 1.1 * sum(len(p) + 1 for p in parts)
+
+
 def test_odd_tables(spark, odd):
     got = alignment.align(odd).documents.collect()
     assert len(got) == odd.count()
