@@ -143,6 +143,7 @@ def analyze_videos(
     Velocity mode takes every frame, whatever cap the catalogue has. Each video's ``acquisition_fps`` is used, else the
     container's rate, unless one is given for all. Images outside the catalogue are measured and
     then dropped by the join, as only narrow measurements are shuffled; leave them out of ``images`` where they are many.
+    The catalogue is never broadcast: Spark sizes it by its videos, however many frames they give.
     """
     _check(threshold, calculate_velocity, acquisition_fps, [*videos.columns, *images.columns])
     wanted = videos
@@ -154,7 +155,7 @@ def analyze_videos(
     maps = score_frames(prepare_frames(images, size), load_scorer, size, batch_size)
     measured = measure_frames(maps, threshold, model_size=size)
     shared = [c for c in frames.columns if c in measured.columns and c not in ("recording_id", "image_name")]
-    measured = measured.drop(*shared).join(frames, ["recording_id", "image_name"])
+    measured = measured.drop(*shared).join(frames.hint("merge"), ["recording_id", "image_name"])
     return _tables(measured, threshold, calculate_velocity, acquisition_fps)
 
 

@@ -470,7 +470,9 @@ def run_analysis_videos(spark, sf_dir):
         F.format_string("%s_%05d.png", "video_name", n + 1).alias("image_name"),
         ((key * 7 + n) % count).alias("frame_id"),
     )
-    images = _grey_images(spark, sf_dir, files)
+    # Spark sizes the files by their cameras: it would broadcast every one of them, or score them in a few large tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    images = _grey_images(spark, sf_dir, files.repartition(tasks, "frame_id").hint("merge"))
     return analysis.analyze_videos(videos, images, _contrast_scorer, 0.7, True, size=8).table
 
 

@@ -59,3 +59,12 @@ def test_shuffles(spark, name, most):
     plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     kinds = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition")
     assert sum(plan.count(k) for k in kinds) <= most
+
+
+def test_files_of_videos_are_not_broadcast(spark):
+    """Neither in the plan nor after adaptive execution has changed it."""
+    table = queries()["run_analysis_videos"](spark, SF)
+    plan = lambda: table._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan()
+    assert len(table.collect())
+    assert "Broadcast" not in plan()

@@ -371,3 +371,26 @@ def test_video_catalogue_equals_folder(spark, tmp_path):
     own = videos.withColumn("acquisition_fps", F.lit(20.0)).withColumn("max_frames", F.lit(2))
     times = analysis.analyze_videos(own, scan, bright_scorer, 0.5, True, size=64).table.orderBy("frame_number").collect()
     assert [t.timestamp_seconds for t in times] == [k / 20 for k in range(6)]
+
+
+def test_video_catalogue_is_not_broadcast(spark):
+    """Two rows give any number of frames, and no size that Spark knows of tells so."""
+    videos = spark.range(2, numPartitions=1).select(
+        F.concat(F.lit("vid"), "id").alias("video_name"),
+        F.lit(300).alias("frame_count"),
+        F.lit(10.0).alias("encoded_fps"),
+        F.lit(5.0).alias("extraction_fps"),
+        F.lit(False).alias("extract_all"),
+    )
+    name = F.concat(F.lit("vid"), F.col("id") % 2)
+    scan = spark.range(600).select(
+        name.alias("recording_id"),
+        catalog.source_frame_name(name, F.expr("id div 2")).alias("image_name"),
+        F.array_repeat(F.lit(0), 64).alias("pixels"),
+        F.lit(8).alias("original_width"),
+        F.lit(8).alias("original_height"),
+    )
+    for velocity, many in ((True, 600), (False, 300)):
+        table = analysis.analyze_videos(videos, scan, bright_scorer, 0.5, velocity, size=8).table
+        assert len(table.collect()) == many
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
